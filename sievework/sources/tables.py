@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +34,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffle files belong to finished steps only, so that the cluster's disks are freed before the next."""
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
