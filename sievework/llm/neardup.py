@@ -5,9 +5,9 @@ Items are the distinct tokens of a text and its distinct pairs of adjacent token
 1. Equal texts collapse to the record with the least key.
 2. A counting sketch of fixed size tells how rare each item is; it covers all records. Any fixed order of items is
    correct for the prefix filter, so collisions in the sketch cost time only.
-3. Each record is posted under the rarest items of its prefix (two similar records share at least one of them), with a
-   parity bitmap of its items. Items that no other record can have are not posted.
-4. Under each item the bitmaps are compared in tiles with exclusive-or and bit counts. The bitmaps of two sets differ in no
+3. Each record is posted under the rarest items of its prefix (two similar records share at least one of them). Items that no
+   other record can have are not posted, and postings without another of a fitting size and place are dropped.
+4. The others get a parity bitmap of their record's items. Under each item the bitmaps are compared in tiles with exclusive-or and bit counts. The bitmaps of two sets differ in no
    more bits than the sets differ in items, so the radius (1-t)/(1+t) * (|a|+|b|) loses no pair; pairs whose
    population counts differ by more than the radius are skipped unseen. Items in very many records are cut into tiles
    that are compared by different tasks.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import materialize, release
 from ._items import item_sets
 
 THRESHOLD = 0.6
@@ -125,12 +125,16 @@ def _sketch(broadcast) -> np.ndarray:
     return codes
 
 
+def tile_of(key: int, tiles: int) -> int:
+    return (key * 0x9E3779B1 >> 7) % tiles
+
+
 def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch) -> Iterator[pa.RecordBatch]:
-    """(item, tiles, record, size, place, bitmap) for the prefix items of each record."""
+    """(item, tiles, record, size, place) for the prefix items of each record."""
     codes = _sketch(sketch)
     for batch in batches:
         keys, texts = _texts(batch)
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for key, items in zip(keys, item_sets(texts, least)):
             if items is None:
                 continue
@@ -142,87 +146,110 @@ def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sk
             if not len(place):
                 continue
             own, c = items[order[place]].view(np.int64), decode_count(code[order[place]])
-            bits = parity(items, width_of(n)).tobytes()
             tiles = np.maximum(1, -(-c // TILE))
-            for item, at, t in zip(own.tolist(), place.tolist(), tiles.tolist()):
-                tile = (int(key) * 0x9E3779B1 >> 7) % t
-                for u in range(t):
-                    for col, x in zip(out, (item, min(tile, u), max(tile, u), int(key), n, at, bits)):
-                        col.append(x)
+            if tiles.max() == 1:
+                cols = (own, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), place)
+            else:
+                cells = [(i, min(tile, u), max(tile, u), p) for i, p, t in zip(own.tolist(), place.tolist(), tiles.tolist()) for tile in (tile_of(int(key), t),) for u in range(t)]
+                cols = tuple(np.array(x, np.int64) for x in zip(*cells))
+            size = len(cols[0])
+            for col, x in zip(out, (*cols[:3], np.full(size, key, np.int64), np.full(size, n, np.int64), cols[3])):
+                col.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["item", "ta", "tb", "rec", "n", "place", "bits"])
-
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t, safe=False) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["item", "ta", "tb", "rec", "n", "place"])
 
-POSTING = "item long, ta int, tb int, rec long, n int, place int, bits binary"
-
-
-def compare_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs within the radius under each (item, ta, tb). The rows come ordered by these and by size.
 
-    A tile is the strip of all rows against those a fixed number of rows further on, over all items of a batch at once.
-    """
-    need = threshold / (1 + threshold)
+POSTING = "item long, ta int, tb int, rec long, n int, place int"
 
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        item, ta, tb, rec, n, place = (t.column(k).to_numpy() for k in range(6))
-        bitmaps = [np.frombuffer(b, np.uint8) for b in t.column(6).to_pylist()]
-        base = np.stack([fold(b, BASE_BITS) for b in bitmaps]).view(np.uint64)
-        pop = np.bitwise_count(base).sum(axis=1, dtype=np.int32)
-        group = np.cumsum((np.diff(item, prepend=item[0]) != 0) | (np.diff(ta, prepend=ta[0]) != 0) | (np.diff(tb, prepend=tb[0]) != 0))
-        tile = ((rec.astype(object) * 0x9E3779B1 >> 7) % np.maximum(tb + 1, 1)).astype(np.int64) if (ta != tb).any() else None
-        left, right, i, s = [], [], np.arange(len(item)), 1
-        while len(i):
-            i = i[i + s < len(item)]
-            j = i + s
-            on = (group[i] == group[j]) & (n[i] >= threshold * n[j] - 1e-9)
-            i = i[on]
-            j = i + s
-            overlap = np.ceil(need * (n[i] + n[j]) - 1e-9)
-            radius = n[i] + n[j] - 2 * overlap
-            ok = (np.abs(pop[i] - pop[j]) <= radius) & (n[i] - place[i] >= overlap) & (n[j] - place[j] >= overlap) & (rec[i] != rec[j])
-            a, b, radius = i[ok], j[ok], radius[ok]
-            near = np.bitwise_count(base[a] ^ base[b]).sum(axis=1, dtype=np.int32) <= radius
-            left.append(a[near])
-            right.append(b[near])
-            s += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        keep = np.ones(len(a), np.bool_)
-        seen: dict[tuple[int, int], bool] = {}
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            width = min(len(bitmaps[x]), len(bitmaps[y])) * 8
-            if width > BASE_BITS:
-                p = (int(rec[x]), int(rec[y]))
-                if p not in seen:
-                    d = np.bitwise_count(fold(bitmaps[x], width) ^ fold(bitmaps[y], width)).sum(dtype=np.int32)
-                    seen[p] = d <= n[x] + n[y] - 2 * np.ceil(need * (n[x] + n[y]) - 1e-9)
-                keep[k] = seen[p]
-        a, b = a[keep], b[keep]
-        pairs = np.unique(np.stack((np.minimum(rec[a], rec[b]), np.maximum(rec[a], rec[b])), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of at least that many rows that never cut a run of equal (item, ta, tb)."""
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) < 50_000:
+        count += batch.num_rows
+        if count < rows:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
-        last = [t.column(k)[t.num_rows - 1].as_py() for k in range(3)]
-        same = np.logical_and.reduce([t.column(k).to_numpy() == last[k] for k in range(3)])
-        cut = int(np.argmax(same)) if same.any() else t.num_rows
+        same = np.logical_and.reduce([(x := t.column(k).to_numpy()) == x[-1] for k in range(3)])
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
         if cut:
-            yield compare(t.slice(0, cut))
+            yield t.slice(0, cut)
         held = t.slice(cut).to_batches()
+        count = t.num_rows - cut
     if held:
-        yield compare(pa.Table.from_batches(held).combine_chunks())
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def strips(t: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, radius): rows of one group whose sizes and places in the prefix admit the threshold, one strip of tiles at a time.
+
+    A strip is all rows of all groups against those s rows further on. Rows come by size, so a row whose s-th follower is
+    too large is done. Within cells of two tiles only rows of different tiles are compared.
+    """
+    need = threshold / (1 + threshold)
+    item, ta, tb, rec, n, place = (t.column(k).to_numpy() for k in range(6))
+    new = np.ones(len(item), np.bool_)
+    new[1:] = (item[1:] != item[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])
+    group = np.cumsum(new)
+    i, s = np.arange(len(item)), 1
+    while len(i):
+        i = i[i + s < len(item)]
+        j = i + s
+        on = (group[i] == group[j]) & (n[i] >= threshold * n[j] - 1e-9)
+        i = i[on]
+        j = i + s
+        overlap = np.ceil(need * (n[i].astype(np.int64) + n[j]) - 1e-9).astype(np.int64)
+        ok = (n[i] - place[i] >= overlap) & (n[j] - place[j] >= overlap) & (rec[i] != rec[j])
+        yield i[ok], j[ok], (n[i].astype(np.int64) + n[j] - 2 * overlap)[ok]
+        s += 1
+
+
+def with_partner(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The postings that have any admissible other under their item. The rows come ordered by item, tiles and size."""
+    for t in whole_groups(batches):
+        keep = np.zeros(t.num_rows, np.bool_)
+        for i, j, _ in strips(t, threshold):
+            keep[i] = keep[j] = True
+        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs within the radius under each item; postings with bitmaps, ordered by item, tiles and size."""
+    need = threshold / (1 + threshold)
+    for t in whole_groups(batches):
+        rec, n = t.column(3).to_numpy(), t.column(4).to_numpy().astype(np.int64)
+        bitmaps = [np.frombuffer(b, np.uint8) for b in t.column(6).to_pylist()]
+        base = np.stack([fold(b, BASE_BITS) for b in bitmaps]).view(np.uint64)
+        pop = np.bitwise_count(base).sum(axis=1, dtype=np.int32)
+        pairs: set[tuple[int, int, int, int]] = set()
+        for i, j, radius in strips(t, threshold):
+            ok = np.abs(pop[i] - pop[j]) <= radius
+            i, j, radius = i[ok], j[ok], radius[ok]
+            ok = np.bitwise_count(base[i] ^ base[j]).sum(axis=1, dtype=np.int32) <= radius
+            i, j = i[ok], j[ok]
+            swap = rec[i] > rec[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            _, first = np.unique(np.stack((rec[i], rec[j]), axis=1), axis=0, return_index=True)
+            pairs.update(zip(rec[i[first]].tolist(), rec[j[first]].tolist(), i[first].tolist(), j[first].tolist()))
+        near: dict[tuple[int, int], bool] = {}
+        for a, b, i, j in pairs:
+            if (a, b) not in near:
+                width = min(len(bitmaps[i]), len(bitmaps[j])) * 8
+                radius = n[i] + n[j] - 2 * np.ceil(need * (n[i] + n[j]) - 1e-9)
+                near[a, b] = width == BASE_BITS or np.bitwise_count(fold(bitmaps[i], width) ^ fold(bitmaps[j], width)).sum(dtype=np.int64) <= radius
+        out = [p for p, ok in near.items() if ok]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, texts = _texts(batch)
-        rows = [(int(k), s.tobytes()) for k, s in zip(keys, item_sets(texts, least)) if s is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["rec", "items"])
+        rows = [(int(k), parity(s, width_of(len(s))).tobytes(), s.tobytes()) for k, s in zip(keys, item_sets(texts, least)) if s is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["rec", "bits", "items"])
 
 
 def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -264,11 +291,18 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     parts = one.mapInArrow(lambda b: sketch_part(b, least), "slice int, cells binary, counts binary")
     summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(sketch_sum, "slice int, codes binary")
     sketch = spark.sparkContext.broadcast([(r.slice, bytes(r.codes)) for r in summed.collect()])
+    del parts, summed
+    release(spark)
+    cells = ("item", "ta", "tb")
     posted = one.mapInArrow(lambda b: postings(b, least, threshold, sketch), POSTING)
-    near = posted.repartition("item", "ta", "tb").sortWithinPartitions("item", "ta", "tb", "n").mapInArrow(lambda b: compare_tiles(b, threshold), "a long, b long")
-    near = materialize(near.distinct(), "near")
-    wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    sets = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: set_rows(b, least), "rec long, items binary").dropDuplicates(["rec"]), "sets")
+    posted = materialize(posted.repartition(*cells).sortWithinPartitions(*cells, "n").mapInArrow(lambda b: with_partner(b, threshold), POSTING), "postings")
+    release(spark)
+    wanted = materialize(posted.select(F.col("rec").alias("key")).distinct(), "wanted")
+    sets = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: set_rows(b, least), "rec long, bits binary, items binary").dropDuplicates(["rec"]), "sets")
+    release(spark)
+    near = posted.join(sets.select("rec", "bits"), "rec").select(*posted.columns, "bits").repartition(*cells).sortWithinPartitions(*cells, "n")
+    near = materialize(near.mapInArrow(lambda b: compare_tiles(b, threshold), "a long, b long").distinct(), "near")
+    release(spark)
     a, b = sets.select(F.col("rec").alias("a"), F.col("items").alias("x")), sets.select(F.col("rec").alias("b"), F.col("items").alias("y"))
     pairs = near.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, threshold), "a long, b long, similarity double")
     return materialize(pairs, "similar"), members
