@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import neardup
+from . import neardup, pieces, spans
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines at which a piece of an oversized block may naturally begin: the operator's cuts of the greatest strength."""
+    return pieces.boundaries(table(spark, sf_dir, "code_blocks"))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized blocks."""
+    return pieces.pieces(table(spark, sf_dir, "code_blocks"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +27,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.expand(pairs, members, neardup.long_enough(copied, "block_key", "content"))
 
 
-QUERIES = {"p2_found": p2_found}
+def records_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and knowledge records with their long text under one key: twice the block_key, or twice the knowledge_key and one."""
+    blocks = table(spark, sf_dir, "code_blocks", "block_key", "content", "ingested_at")
+    known = table(spark, sf_dir, "vuln_knowledge", "knowledge_key", "patch_diff", "ingested_at")
+    rows = lambda df, key, text, odd: df.select((F.col(key) * 2 + odd).alias("rec"), F.col(text).alias("text"), "ingested_at")
+    return rows(blocks, "block_key", "content", 0).unionByName(rows(known, "knowledge_key", "patch_diff", 1))
+
+
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record that shares a span of 200 or more characters with another, and how many of its characters are shared."""
+    lengths = spans.shared_lengths(records_with_text(spark, sf_dir), "rec", "text", "ingested_at")
+    known = F.col("rec") % 2 == 1
+    return lengths.select(F.when(known, "vuln_knowledge").otherwise("code_blocks").alias("rec_table"), F.shiftright("rec", 1).alias("rec_key"), "shared_chars")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of p5_shared."""
+    return p5_shared(spark, sf_dir).select("rec_table", "rec_key").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p5_found": p5_found, "p5_shared": p5_shared}
