@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import neardup, pieces, spans
+from . import bpe, leak, neardup, pieces, spans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,4 +47,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_shared(spark, sf_dir).select("rec_table", "rec_key").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p5_found": p5_found, "p5_shared": p5_shared}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    return bpe.token_ids(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items by document, with the longest run of consecutive words and the item's words."""
+    return leak.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and an item of which it holds 12 consecutive words or more."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
