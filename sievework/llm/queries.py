@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, leak, neardup, pieces, spans
+from . import bpe, leak, neardup, pieces, secrets, spans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.expand(pairs, members, neardup.long_enough(copied, "block_key", "content"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of blocks on which a credential begins."""
+    return secrets.secret_lines(table(spark, sf_dir, "code_blocks", "block_key", "file_path", "content"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks with credentials, these replaced and all else unchanged."""
+    return secrets.redacted(table(spark, sf_dir, "code_blocks", "block_key", "file_path", "content"))
+
+
 def records_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and knowledge records with their long text under one key: twice the block_key, or twice the knowledge_key and one."""
     blocks = table(spark, sf_dir, "code_blocks", "block_key", "content", "ingested_at")
@@ -62,4 +72,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
