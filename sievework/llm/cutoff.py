@@ -31,7 +31,7 @@ THRESHOLDS = dict.fromkeys(LANGUAGES, 1.0)
 #: Fewest events of a context before a shorter one is used.
 LEAST_EVENTS = 12
 #: Added to the log-odds of a text as long as its source's limit.
-AT_LIMIT = 2.0
+AT_LIMIT = 0.5
 MARKS = ("...", "…", "[...]", "[…]", "(...)")
 
 _SENTENCE_END = {"。": ".", "！": "!", "？": "?", "，": ",", "；": ";", "：": ":", "…": ".", "”": '"', "“": '"', "「": '"', "」": '"', "（": "(", "）": ")", "、": ",", "«": '"', "»": '"', "‘": "'", "’": "'", "�": "R"}
@@ -57,6 +57,7 @@ class _Shape(dict):
 
 
 _SHAPE = _Shape()
+_HAN = re.compile("[㐀-鿿]")
 _RUN = re.compile(r"([aA0Z ])\1+")
 _FIELD = re.compile(r"[A-Z][\w\-]*(?: [\w\-]+)?: \S")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
@@ -68,10 +69,9 @@ def shape(line: str) -> str:
 
 
 def language(lang: str | None, text: str) -> str:
-    """The language column where it names a known one; Chinese also by script."""
+    """The language of a line: the column where it names a known one, but Chinese by script alone."""
     name = (lang or "").strip().lower()[:2]
-    sample = text[:2000]
-    if sum("㐀" <= c <= "鿿" for c in sample) * 5 > len(sample):
+    if not text.isascii() and len(_HAN.findall(text)) * 5 > len(text):
         return "zh"
     return name if name in LANGUAGES and name != "zh" else "other"
 
@@ -141,14 +141,13 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shapes: dict[tuple[str, str], list[str]] = defaultdict(list)
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = language(lang, text)
             lines = lines_of(text)
             kinds = [kind for kind, _ in lines[1:]] + [""]
             for k, (kind, line) in enumerate(lines):
                 # a line of running text before another of its kind may be wrapped: it is no stop
                 wrapped = kind in ("prose", "quote") and kinds[k] == kind
                 if k or len(lines) == 1:
-                    shapes[own, kind].append(shape(line) + " " * wrapped)
+                    shapes[language(lang, line), kind].append(shape(line) + " " * wrapped)
         for key, s in shapes.items():
             counts.add(key, s)
     out: list[list] = [[], [], [], [], []]
@@ -200,7 +199,7 @@ def judge(text: str, lang: str | None, limits: tuple[int, int], model: Model) ->
     """Whether a text with ink was cut off; limits: its source's in characters and in bytes, 0 for none."""
     at_limit = limits[0] and len(text) == limits[0] or limits[1] and limits[1] - 3 <= len(text.encode("utf-8", "surrogatepass")) <= limits[1] + 2
     body = text.rstrip()
-    own = language(lang, text)
+    own = language(lang, body[body.rfind("\n") + 1 :])
     if body.endswith("�"):
         return True
     if at_limit:
