@@ -323,3 +323,35 @@ def expand(pairs: DataFrame, members: DataFrame, eligible_copies: DataFrame) ->
     within = ok.select("r", F.col("k").alias("ka")).join(ok.select("r", F.col("k").alias("kb")), "r").where("ka < kb")
     both = across.select("ka", "kb").unionByName(within.select("ka", "kb"))
     return both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): the least node of each connected component of the pairs (a, b). Labels spread and jump until none changes."""
+    spark = pairs.sparkSession
+    edges = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        spread = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+        new = materialize(spread.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), "labels")
+        changed = new.where("root <> old").limit(1).count()
+        labels = new.select("node", "root")
+        release(spark)
+        if not changed:
+            return labels
+
+
+def groups(pairs: DataFrame, members: DataFrame, eligible_copies: DataFrame) -> DataFrame:
+    """(key, group_id, n_links): every record that is similar or equal to another, its group, and how many records it is similar to.
+
+    group_id is the least key of the group. Copies are counted, not expanded into pairs.
+    """
+    own = members.join(eligible_copies, "key", "left_semi")
+    size = own.groupBy("rep").agg(F.count("*").alias("n"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.join(size.withColumnRenamed("rep", "b"), "b", "left").groupBy("a").agg(F.sum(F.coalesce("n", F.lit(1))).alias("links"))
+    roots = components(pairs)
+    reps = roots.select(F.col("node").alias("rep"), "root").join(links.withColumnRenamed("a", "rep"), "rep", "full").join(size, "rep", "full")
+    reps = reps.select("rep", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("n_links"))
+    return reps.join(own, "rep", "left").select(F.coalesce("key", "rep").alias("key"), F.col("root").alias("group_id"), F.col("n_links").cast("long").alias("n_links"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, cutoff, leak, neardup, pieces, secrets, spans
+from . import bpe, cutoff, leak, neardup, pieces, secrets, spans, syntax
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.expand(pairs, members, neardup.long_enough(copied, "block_key", "content"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per block that is similar or equal to another: its group and its number of similar blocks."""
+    blocks = table(spark, sf_dir, "code_blocks", "block_key", "content", "ingested_at")
+    pairs, members = neardup.similar_texts(blocks, "block_key", "content", "ingested_at")
+    copied = blocks.join(members.select(F.col("key").alias("block_key")), "block_key", "left_semi")
+    eligible = neardup.long_enough(copied, "block_key", "content").distinct()
+    return neardup.groups(pairs, members, eligible).withColumnRenamed("key", "block_key")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of blocks on which a credential begins."""
     return secrets.secret_lines(table(spark, sf_dir, "code_blocks", "block_key", "file_path", "content"))
@@ -37,6 +46,16 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "code_blocks", "block_key", "file_path", "content"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files that are not valid in their language."""
+    return syntax.invalid_files(table(spark, sf_dir, "code_blocks"))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of invalid files per repository and language."""
+    return syntax.rates(table(spark, sf_dir, "code_blocks"), table(spark, sf_dir, "trees"))
+
+
 def records_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and knowledge records with their long text under one key: twice the block_key, or twice the knowledge_key and one."""
     blocks = table(spark, sf_dir, "code_blocks", "block_key", "content", "ingested_at")
@@ -82,4 +101,4 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.rates(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_rates": p8_rates}

@@ -227,10 +227,11 @@ def shared_spans(records: DataFrame, least: int = LEAST, length: int = ANCHOR, h
     release(spark)
     own = materialize(seen.join(shared, "anchor").groupBy("rec").agg(F.collect_set("anchor").alias("shared")), "own")
     release(spark)
-    found = records.join(own, "rec").select("rec", "text", "shared").mapInArrow(lambda b: window_rows(b, least, length), "anchor long, rec long, start int, context string")
+    few = materialize(own.select("rec"), "sharing")  # small enough to broadcast at first, so that only these texts are shuffled
+    found = records.join(few, "rec", "left_semi").join(own, "rec").select("rec", "text", "shared").mapInArrow(lambda b: window_rows(b, least, length), "anchor long, rec long, start int, context string")
     hot = materialize(shared.where(F.col("n") >= hot_from).select("anchor"), "hot")
-    few = found.join(hot, "anchor", "left_anti") if (any_hot := not hot.isEmpty()) else found
-    common = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: shared_starts(b, least), "rec long, begin long, end long")
+    rest = found.join(hot, "anchor", "left_anti") if (any_hot := not hot.isEmpty()) else found
+    common = rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: shared_starts(b, least), "rec long, begin long, end long")
     return common.unionByName(hot_starts(found.join(hot, "anchor", "left_semi"), least)) if any_hot else common
 
 
