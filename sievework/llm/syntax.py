@@ -173,11 +173,12 @@ def java_tokens(text: str) -> Tokens:
     return kinds, places
 
 
-def c_tokens(text: str, words: dict[str, str], plus: bool) -> Tokens:
-    """Tokens of the first branch of each conditional; `#if 0` gives way to its other branch. An open conditional is an error."""
+def c_tokens(text: str, words: dict[str, str], plus: bool, last: bool = False) -> Tokens:
+    """Tokens of the first branch of each conditional, or of the last; `#if 0` gives way to its other branch. An open conditional is an error."""
     kinds: list[str] = []
     places: list[int] = []
     branches: list[str] = []  # on: this branch counts; done: another one did; off: inside what does not count
+    starts: list[int] = []  # how many tokens there were where each conditional began
     for m in _C.finditer(text):
         k = m.lastindex
         if k == 1:
@@ -191,13 +192,18 @@ def c_tokens(text: str, words: dict[str, str], plus: bool) -> Tokens:
                 name = d.group(1)
                 counts = not branches or branches[-1] == "on"
                 if name in ("if", "ifdef", "ifndef"):
+                    starts.append(len(kinds))
                     branches.append("off" if not counts else "next" if name == "if" and d.group(2).strip() == "0" else "on")
                     continue
                 if name in ("else", "elif", "elifdef", "elifndef") and branches:
+                    if last and branches[-1] == "on":
+                        del kinds[starts[-1] :], places[starts[-1] :]
+                        continue
                     branches[-1] = {"on": "done", "next": "on"}.get(branches[-1], branches[-1])
                     continue
                 if name == "endif" and branches:
                     branches.pop()
+                    starts.pop()
                     continue
                 if not counts:
                     continue
@@ -234,24 +240,28 @@ def parser(language: str) -> grammars.Parser:
     return _PARSERS[language]
 
 
-def tokens(text: str, language: str) -> Tokens:
+def tokens(text: str, language: str, last: bool = False) -> Tokens:
     if language == "json":
         return json_tokens(text)
     if language == "python":
         return python_tokens(text)
     if language == "java":
         return java_tokens(text)
-    return c_tokens(text, _CPP_WORDS if language == "c++" else _C_WORDS, language == "c++")
+    return c_tokens(text, _CPP_WORDS if language == "c++" else _C_WORDS, language == "c++", last)
 
 
 def first_error(text: str, language: str) -> int | None:
     """The line, from 1, of the first token that the language's grammar admits no file with; None for valid files.
 
-    Empty and blank texts are valid except in JSON. What the table rejects in Python is parsed once more by the
+    A C or C++ file must be valid both with the first and with the last branch of each of its conditionals. Empty and blank
+    texts are valid except in JSON. What the table rejects in Python is parsed once more by the
     interpreter's own parser, which knows rules beyond the grammar's table.
     """
     kinds, places = tokens(text, language)
     at = parser(language).error([*kinds, grammars.END])
+    if at is None and language in ("c", "c++") and re.search(r"^[ \t]*#[ \t]*el", text, re.M):
+        kinds, places = tokens(text, language, True)
+        at = parser(language).error([*kinds, grammars.END])
     if at is None:
         return None
     if language == "python":
