@@ -29,8 +29,8 @@ from ._items import item_sets
 
 THRESHOLD = 0.6
 MIN_TOKENS = 40
-#: The sketch has 2**CELL_BITS cells of one byte, whatever the size of the data: this bounds what is broadcast.
-CELL_BITS = 26
+#: The sketch has 2**CELL_BITS cells of four bits, whatever the size of the data: this bounds what is broadcast.
+CELL_BITS = 27
 SLICE_BITS = 16
 #: Most records of one item that a task compares with as many others.
 TILE = 2048
@@ -38,14 +38,32 @@ BASE_BITS = 512
 
 
 def encode_counts(counts: np.ndarray) -> np.ndarray:
-    """Counts as bytes: themselves up to 127, eighths of powers of two beyond. Keeps the order."""
-    high = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)).astype(np.int64)
-    return np.where(counts < 128, counts, np.minimum(high, 255)).astype(np.uint8)
+    """Counts as four bits, two cells a byte: themselves up to 7, powers of two from 8 on, at most 15. Keeps the order."""
+    code = np.minimum(counts, 7).astype(np.uint8)
+    high = counts >= 8
+    code[high] = np.minimum(8 + np.floor(np.log2(counts[high] / 8)).astype(np.int64), 15)
+    return code[::2] | code[1::2] << 4
 
 
-def decode_count(code: np.ndarray) -> np.ndarray:
-    """The largest count that has each code."""
-    return np.where(code < 128, code, np.ceil(128 * 2 ** ((code.astype(np.float64) - 127) / 8))).astype(np.int64)
+class Sketch:
+    """The dense sketch: codes of cells, and the greatest count of each slice, which bounds counts beyond the codes."""
+
+    def __init__(self, slices: list[tuple[int, int, bytes]]):
+        self.codes = np.zeros(1 << CELL_BITS - 1, np.uint8)
+        self.most = np.zeros(1 << CELL_BITS - SLICE_BITS, np.int64)
+        half = 1 << SLICE_BITS - 1
+        for s, most, packed in slices:
+            self.codes[s * half : (s + 1) * half] = np.frombuffer(zlib.decompress(packed), np.uint8)
+            self.most[s] = most
+
+    def code(self, items: np.ndarray) -> np.ndarray:
+        cells = (items >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        return self.codes[cells >> 1] >> ((cells & 1) << 2).astype(np.uint8) & np.uint8(15)
+
+    def at_most(self, items: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """An upper bound of the counts of items with these codes."""
+        most = self.most[(items >> np.uint64(64 - CELL_BITS + SLICE_BITS)).astype(np.int64)]
+        return np.where(code < 8, code, np.where(code < 15, (16 << np.maximum(code.astype(np.int64) - 8, 0)) - 1, most))
 
 
 def parity(items: np.ndarray, width: int) -> np.ndarray:
@@ -101,7 +119,7 @@ def sketch_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total = -1, None
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(encode_counts(total).tobytes(), 1)], pa.binary())], names=["slice", "codes"])
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(total.max())], pa.int64()), pa.array([zlib.compress(encode_counts(total).tobytes(), 1)], pa.binary())], names=["slice", "most", "codes"])
 
     for batch in batches:
         for s, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -114,15 +132,12 @@ def sketch_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _sketch(broadcast) -> np.ndarray:
+def _sketch(broadcast) -> Sketch:
     """The dense sketch, unpacked once in each Python worker."""
-    codes = getattr(broadcast, "dense", None)
-    if codes is None:
-        codes = np.zeros(1 << CELL_BITS, np.uint8)
-        for s, packed in broadcast.value:
-            codes[s << SLICE_BITS : (s + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(packed), np.uint8)
-        broadcast.dense = codes
-    return codes
+    dense = getattr(broadcast, "dense", None)
+    if dense is None:
+        dense = broadcast.dense = Sketch(broadcast.value)
+    return dense
 
 
 def tile_of(key: int, tiles: int) -> int:
@@ -131,7 +146,7 @@ def tile_of(key: int, tiles: int) -> int:
 
 def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch) -> Iterator[pa.RecordBatch]:
     """(item, tiles, record, size, place) for the prefix items of each record."""
-    codes = _sketch(sketch)
+    counts = _sketch(sketch)
     for batch in batches:
         keys, texts = _texts(batch)
         out: list[list] = [[], [], [], [], [], []]
@@ -139,13 +154,14 @@ def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sk
             if items is None:
                 continue
             n = len(items)
-            code = codes[(items >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            code = counts.code(items)
             prefix = n - int(np.ceil(threshold * n - 1e-9)) + 1
             order = np.argsort((code.astype(np.uint64) << np.uint64(56)) | (items >> np.uint64(8)), kind="stable")[:prefix]
             place = np.flatnonzero(code[order] > 1)
             if not len(place):
                 continue
-            own, c = items[order[place]].view(np.int64), decode_count(code[order[place]])
+            own = items[order[place]]
+            c, own = counts.at_most(own, code[order[place]]), own.view(np.int64)
             tiles = np.maximum(1, -(-c // TILE))
             if tiles.max() == 1:
                 cols = (own, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), place)
@@ -289,8 +305,8 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     one, members = copies(records, key, text, version)
     spark = records.sparkSession
     parts = one.mapInArrow(lambda b: sketch_part(b, least), "slice int, cells binary, counts binary")
-    summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(sketch_sum, "slice int, codes binary")
-    sketch = spark.sparkContext.broadcast([(r.slice, bytes(r.codes)) for r in summed.collect()])
+    summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(sketch_sum, "slice int, most long, codes binary")
+    sketch = spark.sparkContext.broadcast([(r.slice, r.most, bytes(r.codes)) for r in summed.collect()])
     del parts, summed
     release(spark)
     cells = ("item", "ta", "tb")
@@ -298,14 +314,14 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     posted = materialize(posted.repartition(*cells).sortWithinPartitions(*cells, "n").mapInArrow(lambda b: with_partner(b, threshold), POSTING), "postings")
     release(spark)
     wanted = materialize(posted.select(F.col("rec").alias("key")).distinct(), "wanted")
-    sets = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: set_rows(b, least), "rec long, bits binary, items binary").dropDuplicates(["rec"]), "sets")
+    sets = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: set_rows(b, least), "rec long, bits binary, items binary"), "sets")
     release(spark)
     near = posted.join(sets.select("rec", "bits"), "rec").select(*posted.columns, "bits").repartition(*cells).sortWithinPartitions(*cells, "n")
     near = materialize(near.mapInArrow(lambda b: compare_tiles(b, threshold), "a long, b long").distinct(), "near")
     release(spark)
     a, b = sets.select(F.col("rec").alias("a"), F.col("items").alias("x")), sets.select(F.col("rec").alias("b"), F.col("items").alias("y"))
     pairs = near.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, threshold), "a long, b long, similarity double")
-    return materialize(pairs, "similar"), members
+    return materialize(pairs.distinct(), "similar"), members
 
 
 def long_enough(records: DataFrame, key: str, text: str, least: int = MIN_TOKENS) -> DataFrame:
