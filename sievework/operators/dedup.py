@@ -13,11 +13,11 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def last_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The last row of each key by seq, with `position`: the least seq of the key, where the key first came in.
+    """The last row of each key by seq, with `position`: the least seq of the key, where the key first came in; a column of that name is replaced.
 
     Pre-aggregated: max_by over whole rows combines before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c != "position"]
     merged = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("__row"), F.min(seq).alias("position"))
     return merged.select(*keys, "__row.*", "position")
 

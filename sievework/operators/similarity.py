@@ -61,7 +61,11 @@ def shared_min(blocks: DataFrame, key: str, text: str) -> DataFrame:
 
 def signature(items, num_perm: int = NUM_PERM):
     """MinHash by independent 64-bit hashes."""
-    return F.array(*[F.array_min(F.transform(items, lambda x, s=s: F.xxhash64(x, F.lit(s)))) for s in range(num_perm)])
+
+    def least(seed: int):
+        return F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(seed))))
+
+    return F.array(*[least(seed) for seed in range(num_perm)])
 
 
 def minhash(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS) -> DataFrame:
