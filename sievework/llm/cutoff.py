@@ -234,7 +234,7 @@ def limits(documents: DataFrame) -> DataFrame:
 def cut_off(documents: DataFrame) -> DataFrame:
     """(doc_id): documents whose text was cut off. Distinct. Null, empty and blank texts are no cases; a null source has no limit."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), "text", "lang", "source").where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0))
+    docs = documents.select(F.col("doc_id").cast("long"), "text", "lang", "source").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S"))
     rows = docs.select("text", "lang").mapInArrow(count_rows, "language string, kind string, context int, stops long, goes_on long").groupBy("language", "kind", "context").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"))
     # at most languages x kinds x symbols**3 rows, whatever the corpus
     model = spark.sparkContext.broadcast(Model([tuple(r) for r in rows.collect()]))
@@ -244,7 +244,7 @@ def cut_off(documents: DataFrame) -> DataFrame:
 
 def rates(documents: DataFrame) -> DataFrame:
     """(source, n_docs, n_cut, rate) over the documents with ink of each source; a null source is one of its own."""
-    docs = documents.where(F.length(F.trim("text")) > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct()
+    docs = documents.where(F.col("text").rlike(r"(?U)\S")).select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct()
     cut = cut_off(documents).withColumn("cut", F.lit(1))
     joined = docs.join(cut, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("cut").alias("n_cut"))
     return joined.withColumn("rate", F.round(F.col("n_cut") / F.col("n_docs"), 6))

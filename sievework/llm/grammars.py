@@ -131,7 +131,7 @@ named_rest: NAME fields | '<' (type_arg (',' type_arg)*)? '>' ('.' NAME type_arg
   | '[' (']' dims (NAME fields | '::' 'new') | expr ']' tail* operations) | calls operations
 calls: ('(' args? ')' tail* | '++' tail* | '--' tail* | '::' (NAME | 'new') tail*)?
 resource: modifier* NAME (named_rest) | PRIMITIVE NAME fields
-catch: 'catch' '(' modifier* class_type ('|' class_type)* NAME ')' block
+catch: 'catch' '(' modifier* class_type (BINARY class_type)* NAME ')' block
 for_control: ';' expr? ';' exprs? | modifier+ type NAME for_decl | PRIMITIVE dims NAME for_decl | NAME named_rest for_more | expr_start for_more
 for_decl: ':' expr | fields ';' expr? ';' exprs?
 for_more: ':' expr | (',' expr)* ';' expr? ';' exprs?
@@ -246,18 +246,18 @@ declaration: word+ declaration_rest
 declaration_rest: first_declarator? declaration_end
 first_declarator: ptr+ direct suffix* trailer* | suffix+ trailer*
 trailer: QUALIFIER ('(' expr ')')? | 'override' | 'final' | 'noexcept' ('(' expr ')')? | 'throw' '(' ignored* ')' | '&' | '&&' | '->' type | attribute | '[' expr? ']' | '(' params? ')' | requires | 'try'
-declaration_end: ';' | '=' (init | 'default' | 'delete') more_declarators ';' | ',' ptr* direct suffix* (':' expr)? ('=' init)? more_declarators ';' | ':' colon | @brace
+declaration_end: ';' | '=' ('default' | 'delete' | init) more_declarators ';' | ',' ptr* direct suffix* (':' expr)? ('=' init)? more_declarators ';' | ':' colon | @brace
 colon: NUM ('=' init)? more_declarators ';' | ctor_init (',' ctor_init)* (';' | body)
 ctor_init: NAME targs? ('::' NAME targs?)* ('(' args? ')' | braces)? '...'?
 body: block catch*
 catch: 'catch' '(' (param) ')' block
-word: TYPE | QUALIFIER | name | struct | enum | attribute | 'typedef' | 'friend' | 'inline' | 'auto' | 'decltype' '(' expr ')' | 'typename' | 'operator' operator | '~' NAME | '::'
+word: TYPE | QUALIFIER | name | struct | enum | attribute | 'typedef' | 'friend' | 'inline' | 'constexpr' | 'mutable' | 'auto' | 'decltype' '(' expr ')' | 'typename' | 'operator' operator | '~' NAME | '::'
 name: NAME targs? ('::' ('~' NAME | 'template'? NAME targs? | 'operator' operator | '*'))*
 operator: '(' ')' | '[' ']' | BINARY | PREFIX | '~' | '+' | '-' | '*' | '&' | '&&' | '<' | '>' '>'? | '=' | '++' | '--' | '->' | ',' | 'new' ('[' ']')? | 'delete' ('[' ']')? | TYPE | NAME targs? ('::' NAME targs?)* ptr* | STR NAME | 'bool'
 word_tail: word
 word_name: name | '~' NAME | 'operator' operator | '[' NAME (',' NAME)* ']'
 word_name_strict: NAME | QUALIFIER | TYPE
-typed_word: TYPE | QUALIFIER | struct | enum | 'typedef' | 'extern' | 'auto' | 'decltype' '(' expr ')' | 'typename' | 'inline'
+typed_word: TYPE | QUALIFIER | struct | enum | 'typedef' | 'extern' | 'auto' | 'decltype' '(' expr ')' | 'typename' | 'inline' | 'constexpr'
 struct: ('struct' | 'union' | 'class') attribute* (name ('final')? (':' bases)? members? | members)
 bases: base (',' base)*
 base: (ACCESS | 'virtual')* name '...'?

@@ -74,6 +74,69 @@ def json_tokens(text: str) -> Tokens:
     return kinds, places
 
 
+_PYTHON_STRING = re.compile(r"(?i:br|rb|b|r|u)?(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|\"(?:\\(?:\r\n|.)|[^\"\\\r\n])*\"|'(?:\\(?:\r\n|.)|[^'\\\r\n])*')", re.S)
+_FORMATTED = re.compile(r"(?i:fr|rf|f)(\"\"\"|'''|\"|')")
+
+
+def formatted_end(text: str, at: int) -> int | None:
+    """The end of the f-string that begins at a place; its fields may hold strings with the same quotes. None if it has no end."""
+    m = _FORMATTED.match(text, at)
+    quote, i = m.group(1), m.end()
+    fields: list[tuple[int, bool]] = []  # of open fields: brackets open in the expression; whether in the format part
+    while i < len(text):
+        c = text[i]
+        if not fields or fields[-1][1]:
+            if text.startswith(quote, i):
+                return i + len(quote) if not fields else None
+            if c == "\\":
+                i += 2
+            elif c == "{":
+                if not fields and text.startswith("{{", i):
+                    i += 2
+                else:
+                    fields.append((0, False))
+                    i += 1
+            elif c == "}" and fields:
+                fields.pop()
+                i += 1
+            elif c in "\r\n" and len(quote) == 1:
+                return None
+            else:
+                i += 1
+            continue
+        depth = fields[-1][0]
+        if _FORMATTED.match(text, i):
+            end = formatted_end(text, i)
+            if end is None:
+                return None
+            i = end
+            continue
+        if (c in "\"'" or c.isalpha()) and (s := _PYTHON_STRING.match(text, i)):
+            i = s.end()
+            continue
+        if c in "\"'":
+            return None
+        if c in "([{":
+            fields[-1] = (depth + 1, False)
+        elif c in ")]}" and depth:
+            fields[-1] = (depth - 1, False)
+        elif c == "}":
+            fields.pop()
+        elif c == ":" and not depth:
+            fields[-1] = (0, True)
+        elif c == "#":
+            stop = text.find("\n", i)
+            i = stop if stop >= 0 else len(text)
+        if c.isalnum() or c == "_":
+            i = _WORD_END.match(text, i).end()
+        else:
+            i += 1
+    return None
+
+
+_WORD_END = re.compile(r"\w+")
+
+
 def python_tokens(text: str) -> Tokens:
     kinds: list[str] = []
     places: list[int] = []
@@ -81,8 +144,10 @@ def python_tokens(text: str) -> Tokens:
     indents = [(0, 0)]
     depth, fresh = 0, True  # open brackets; whether the line has no token yet
     line = 1 if text.startswith("﻿") else 0
-    for m in _PYTHON.finditer(text, line):
-        k, at = m.lastindex, m.start()
+    place, size, match = line, len(text), _PYTHON.match
+    while place < size:
+        m = match(text, place)
+        k, at, place = m.lastindex, m.start(), m.end()
         if k == 1:
             continue
         if k == 2:
@@ -123,8 +188,11 @@ def python_tokens(text: str) -> Tokens:
                     places.append(at)
                     continue
         word = m.group()
-        if k == 3:
-            kind = "STR"
+        if k == 3 or k == 5 and text[place : place + 1] in ("'", '"'):
+            kind = "STR" if k == 3 else "ERROR"
+            if word[0] in "fFrR" and _FORMATTED.match(text, at):
+                end = formatted_end(text, at)
+                place, kind = (place, "ERROR") if end is None else (end, "STR")
         elif k == 4:
             kind = "NUM"
         elif k == 5:
@@ -215,6 +283,8 @@ def c_tokens(text: str, words: dict[str, str], plus: bool, last: bool = False) -
         word = m.group()
         if k == 3:
             kind = words.get(word, "NAME")
+            if plus and word in ("final", "override") and kinds and (kinds[-1] in (")", "QUALIFIER", "noexcept", "override", "final") or kinds[-2:-1] and kinds[-2] in ("class", "struct")):
+                kind = word
         elif k == 8:
             kind = "BINARY" if word in _C_BINARY else "PREFIX" if word == "!" else word
             if word == "::" and not plus:
