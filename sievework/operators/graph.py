@@ -28,7 +28,7 @@ def hits(edges: DataFrame, scope: list[str], max_iter: int = MAX_ITER, tolerance
     """(scope, node, authority, hub) for every node of an edge; parallel edges count as often as they come.
 
     authority' = sum of hubs over in-edges, hub' = sum of authority' over out-edges, then both are scaled to length 1 per
-    scope. Each scope stops when no authority moves by more than the tolerance. Parallel edges are pre-aggregated to
+    scope. The rounds end when no authority of any scope moves by the tolerance or more. Parallel edges are pre-aggregated to
     weights, so a hot callee is one row per caller. Scores are written every round, which cuts the lineage.
     """
     known = edges.where("src IS NOT NULL AND dst IS NOT NULL")
