@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import bpe, cutoff, leak, neardup, pieces, secrets, spans, syntax
+from .sql import SQL  # noqa: F401
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +103,4 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, str] = {}
+
