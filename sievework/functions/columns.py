@@ -105,7 +105,7 @@ def bullets(text: Column) -> Column:
 
 def tagged(text: Column, tag: str, default: str = "N/A") -> Column:
     """The section behind `[TAG]` up to the next tag; the default where there is none."""
-    body = F.trim(F.regexp_extract(text, rf"(?s)\[{tag}\](.*?)(?=\[[A-Z_]+\]|\z)", 1))
+    body = F.regexp_replace(F.regexp_extract(text, rf"(?s)\[{tag}\](.*?)(?=\[[A-Z_]+\]|\z)", 1), r"^\s+|\s+$", "")
     return F.when(text.contains(f"[{tag}]") & (body != ""), body).otherwise(F.lit(default))
 
 

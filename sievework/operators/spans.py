@@ -37,3 +37,20 @@ def first_enclosing(points: DataFrame, blocks: DataFrame, path: list[str], at: s
 def cut(ranges: DataFrame, files: DataFrame, path: list[str]) -> DataFrame:
     """Ranges (path, first, last) with the lines of their file; only files of the catalogue are read, so unknown paths drop out."""
     return ranges.join(files.select(*path, F.col("content").alias("__text")), path).withColumn("content", line_slice(F.col("__text"), F.col("first"), F.col("last"))).drop("__text")
+
+
+def crop(blocks: DataFrame, segments: DataFrame, path: list[str], key: str, outermost: bool = False) -> DataFrame:
+    """Each block widened to the segment that holds its first line: the innermost one, or the outermost.
+
+    segments: (path, seq, start_line, end_line, content). Blocks in no segment stay as they are; `cropped` tells which.
+    """
+    s = segments.select(*path, "seq", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"), F.col("content").alias("s_content"))
+    s = s.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("s_start") / BUCKET), F.floor(F.greatest("s_end", "s_start") / BUCKET))))
+    met = blocks.withColumn("__bucket", F.floor(F.col("start_line") / BUCKET)).join(s, [*path, "__bucket"]).where("s_start <= start_line AND start_line <= s_end")
+    size = F.col("s_end") - F.col("s_start")
+    w = Window.partitionBy(key).orderBy(size.desc() if outermost else size, "seq")
+    found = met.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(key, "s_start", "s_end", "s_content")
+    out = blocks.join(found, key, "left")
+    pick = lambda new, old: F.coalesce(new, old).alias(old)
+    rest = [c for c in blocks.columns if c not in ("start_line", "end_line", "content")]
+    return out.select(*rest, pick("s_start", "start_line"), pick("s_end", "end_line"), pick("s_content", "content"), F.col("s_start").isNotNull().alias("cropped"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions.python import shorten, tolerant_json
 from ..operators import dedup, graph, paths, rank, similarity, spans
-from ..sources import diffs, facts, segment
+from ..sources import braces, diffs, facts, segment
 from ..sources.tables import table
-from . import pipeline
+from . import decide, pipeline
+from .judge import rule_judge
 
 Q = {}
 SQL = {}
@@ -387,3 +388,42 @@ def q_candidates(spark, d):
 @query()
 def q_verify(spark, d):
     return pipeline.verify(table(spark, d, "vuln_knowledge"), _targets(spark, d))
+
+
+@query()
+def q_brace_facts(spark, d):
+    return braces.facts(blocks(spark, d, "tree_id", "file_path", "content", "kind").where("kind = 'file'").drop("kind").distinct())
+
+
+@query()
+def q_brace_call_edges(spark, d):
+    return facts.call_edges(q_brace_facts(spark, d))
+
+
+@query()
+def q_brace_blocks(spark, d):
+    return braces.blocks(blocks(spark, d, "tree_id", "file_path", "content", "kind").where("kind = 'file'").drop("kind").distinct())
+
+
+@query()
+def q_crop(spark, d):
+    known = pipeline.reference_blocks(table(spark, d, "vuln_knowledge")).withColumn("block", F.struct("vuln_id", "role", "path", "start_line", "end_line"))
+    files = blocks(spark, d, "tree_id", "file_path", "content", "kind").where("kind = 'file'").drop("kind").distinct()
+    segments = segment.blocks(files).withColumn("path", c.norm_path(F.col("file_path"))).drop("tree_id", "file_path")
+    return spans.crop(known, segments, ["path"], "block")
+
+
+@query()
+def q_patterns(spark, d):
+    known = table(spark, d, "vuln_knowledge", "knowledge_key", "vuln_id", "desc_text", "patch_diff")
+    one = known.groupBy("vuln_id").agg(F.max_by(F.struct("desc_text", "patch_diff"), "knowledge_key").alias("k")).select("vuln_id", "k.*")
+    return decide.patterns(one, pipeline.reference_blocks(known), rule_judge)
+
+
+@query()
+def q_decide(spark, d):
+    known = table(spark, d, "vuln_knowledge", "knowledge_key", "vuln_id", "desc_text", "patch_diff")
+    targets = _targets(spark, d)
+    chosen = pipeline.candidates(pipeline.reference_blocks(known), targets).select("vuln_id", "block_key")
+    wide = blocks(spark, d, "tree_id", "block_key", "file_path", "start_line", "end_line", "content").dropDuplicates(["block_key"])
+    return decide.decide(known, chosen.join(wide, "block_key"), rank.important_names(known), rule_judge, rule_judge)

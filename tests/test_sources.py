@@ -5,9 +5,9 @@ import pathlib
 from pyspark.sql import functions as F
 
 from sievework.cli import description, main
-from sievework.operators import graph
-from sievework.plans import judge, pipeline
-from sievework.sources import diffs, facts, segment, sinks, trees
+from sievework.operators import graph, spans
+from sievework.plans import decide, judge, pipeline
+from sievework.sources import braces, diffs, facts, segment, sinks, trees
 from sievework.streaming import scan
 
 DIFF = """diff --git a/src/x.py b/src/x.py
@@ -105,3 +105,41 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.block_key, r.ref_id) for r in spark.sql("select * from found").collect()] == [(1, "r")]
+
+
+def test_braces(spark):
+    java = "package p;\nclass A {\n  A(int x) { init(x); }\n  // void no() {\n  int m() {\n    if (a) { this.n(\"}\"); }\n    return b.k(1);\n  }\n  void n(String s) {}\n}\n"
+    assert [(f[0], f[1], f[2], f[3]) for f in braces.functions(java)] == [("A.A", "A", 3, 3), ("A.m", "A", 5, 8), ("A.n", "A", 9, 9)]
+    files = [("t", "src/A.java", java), ("t", "x.c", "int twice(int a)\n{\n    return a;\n}\nint go(void) { return twice(twice(1)); }\n"), ("t", "y.c", None), ("t", "z.py", "f()")]
+    df = spark.createDataFrame(files, "tree_id string, file_path string, content string")
+    got = {(r.src, r.dst) for r in facts.call_edges(braces.facts(df)).collect()}
+    assert got == {("src.A.A.m", "src.A.A.n"), ("x.go", "x.twice")}
+    assert {(r.func_name, r.start_line, r.end_line) for r in braces.blocks(df).where("file_path = 'x.c'").collect()} == {("twice", 1, 4), ("go", 5, 5)}
+
+
+def test_crop(spark):
+    segments = spark.createDataFrame([("f", 0, 1, 9, "class"), ("f", 1, 3, 6, "method")], "path string, seq int, start_line int, end_line int, content string")
+    b = spark.createDataFrame([(1, "f", 4, 5, "x"), (2, "g", 1, 1, "y")], "id int, path string, start_line int, end_line int, content string")
+    pick = lambda outer: {(r.id, r.content, r.cropped) for r in spans.crop(b, segments, ["path"], "id", outer).collect()}
+    assert pick(False) == {(1, "method", True), (2, "y", False)} and pick(True) == {(1, "class", True), (2, "y", False)}
+
+
+def test_decide(spark):
+    known = spark.createDataFrame([("V", "desc", DIFF)], "vuln_id string, desc_text string, patch_diff string")
+    refs = pipeline.reference_blocks(known)
+    seen = []
+
+    def answer(prompt):
+        return "[VULN_CAUSE] bad regex [POSITIVE_TESTS]\n- a\n- b\n[FIX_DESC]\nparsed"
+
+    p = decide.patterns(known, refs, answer).first()
+    assert (p.vuln_cause, p.positive_tests, p.fix_desc, p.fix_ctrlflow, p.negative_tests) == ("bad regex", ["a", "b"], "parsed", "N/A", [])
+    assert p.vuln_spans[0].startswith("src/x.py:") and len(p.vuln_spans) <= 3
+    c = spark.createDataFrame([("V", "t", k, f"src/f{k}.py", 1, 2, f"body {k}") for k in range(9)], "vuln_id string, tree_id string, block_key long, file_path string, start_line int, end_line int, content string")
+    names = spark.createDataFrame([("V", "f7.py")], "vuln_id string, name string")
+    ask_two = lambda prompt: '{"important_ids": ["3", "999"]}'
+    say = lambda prompt: "YES\n0.9\n" + prompt.split("\n")[2]
+    r = decide.decide(known, c, names, ask_two, say).first()
+    assert (r.n_shown, r.n_chosen, r.has_vuln, r.confidence, r.reason) == (9, 1, True, 0.9, "[f3.py:1-2]")
+    r = decide.decide(known, c, names, lambda prompt: "none", say).first()
+    assert (r.n_chosen, r.reason) == (5, "[f7.py:1-2]") and not seen
