@@ -34,6 +34,8 @@ CELL_BITS = 27
 SLICE_BITS = 16
 #: Most records of one item that a task compares with as many others.
 TILE = 2048
+#: Most records whose sets one task holds to verify their pairs.
+BIN = 5000
 BASE_BITS = 512
 
 
@@ -261,23 +263,83 @@ def compare_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
+def bit_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, texts = _texts(batch)
+        rows = [(int(k), parity(s, width_of(len(s))).tobytes()) for k, s in zip(keys, item_sets(texts, least)) if s is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["rec", "bits"])
+
+
 def set_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(bin, rec, items) for rows of (rec, text, bin)."""
     for batch in batches:
         keys, texts = _texts(batch)
-        rows = [(int(k), parity(s, width_of(len(s))).tobytes(), s.tobytes()) for k, s in zip(keys, item_sets(texts, least)) if s is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["rec", "bits", "items"])
+        rows = [(b, int(k), s.tobytes()) for k, s, b in zip(keys, item_sets(texts, least), batch.column(2).to_pylist()) if s is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bin", "rec", "items"])
+
+
+def similarity(x: bytes, y: bytes) -> tuple[int, int]:
+    """(common, all) items of two sets of distinct hashes."""
+    both = np.sort(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))))
+    common = int((both[1:] == both[:-1]).sum())
+    return common, len(both) - common
+
+
+def _similar(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+
+def verify_bins(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of each bin that reach the threshold. A bin's sets (b null) come before its pairs; only one bin's sets are held."""
+    at, sets = None, {}
+    for batch in batches:
+        out = []
+        for own, a, b, items in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != at:
+                at, sets = own, {}
+            if b is None:
+                sets[a] = items
+            else:
+                common, union = similarity(sets[a], sets[b])
+                if common >= threshold * union - 1e-9:
+                    out.append((a, b, common / union))
+        yield _similar(out)
 
 
 def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((x, y)))
-            common = int((both[1:] == both[:-1]).sum())
-            if common >= threshold * (len(both) - common) - 1e-9:
-                out.append((a, b, common / (len(both) - common)))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["a", "b", "similarity"])
+            common, union = similarity(x, y)
+            if common >= threshold * union - 1e-9:
+                out.append((a, b, common / union))
+        yield _similar(out)
+
+
+def verified(near: DataFrame, one: DataFrame, threshold: float, least: int) -> DataFrame:
+    """The near pairs that are similar, by their whole sets.
+
+    Pairs gather in bins by the least record that their records are near to, so that a record's set travels once or
+    little more. Bins of more than BIN records are not gathered: their pairs meet the sets by joins.
+    """
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "bins")
+    of = lambda c, to: label.select(F.col("a").alias(c), F.col("label").alias(to))
+    pairs = materialize(near.join(of("a", "la"), "a").join(of("b", "lb"), "b").select(F.least("la", "lb").alias("bin"), "a", "b"), "binned")
+    members = pairs.select("bin", F.explode(F.array("a", "b")).alias("key")).distinct()
+    members = materialize(members, "members")
+    big = materialize(members.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > BIN).select("bin"), "big")
+    schema = "bin long, rec long, items binary"
+    sets = one.join(members.join(big, "bin", "left_anti"), "key").select("key", "text", "bin").mapInArrow(lambda b: set_rows(b, least), schema)
+    rows = sets.select("bin", F.col("rec").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(pairs.join(big, "bin", "left_anti").select("bin", "a", "b", F.lit(None).cast("binary").alias("items")))
+    out = rows.repartition("bin").sortWithinPartitions("bin", F.col("b").asc_nulls_first(), "a").mapInArrow(lambda it: verify_bins(it, threshold), "a long, b long, similarity double")
+    if not big.isEmpty():
+        many = pairs.join(big, "bin", "left_semi").select("a", "b")
+        wanted = many.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("bin", F.lit(0).cast("long"))
+        whole = materialize(one.join(wanted, "key").select("key", "text", "bin").mapInArrow(lambda b: set_rows(b, least), schema).select("rec", "items"), "sets")
+        x, y = whole.select(F.col("rec").alias("a"), F.col("items").alias("x")), whole.select(F.col("rec").alias("b"), F.col("items").alias("y"))
+        out = out.unionByName(many.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, threshold), "a long, b long, similarity double"))
+    return out
 
 
 def copies(df: DataFrame, key: str, text: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -314,13 +376,12 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     posted = materialize(posted.repartition(*cells).sortWithinPartitions(*cells, "n").mapInArrow(lambda b: with_partner(b, threshold), POSTING), "postings")
     release(spark)
     wanted = materialize(posted.select(F.col("rec").alias("key")).distinct(), "wanted")
-    sets = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: set_rows(b, least), "rec long, bits binary, items binary"), "sets")
+    bits = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: bit_rows(b, least), "rec long, bits binary"), "bits")
     release(spark)
-    near = posted.join(sets.select("rec", "bits"), "rec").select(*posted.columns, "bits").repartition(*cells).sortWithinPartitions(*cells, "n")
+    near = posted.join(bits, "rec").select(*posted.columns, "bits").repartition(*cells).sortWithinPartitions(*cells, "n")
     near = materialize(near.mapInArrow(lambda b: compare_tiles(b, threshold), "a long, b long").distinct(), "near")
     release(spark)
-    a, b = sets.select(F.col("rec").alias("a"), F.col("items").alias("x")), sets.select(F.col("rec").alias("b"), F.col("items").alias("y"))
-    pairs = near.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, threshold), "a long, b long, similarity double")
+    pairs = verified(near, one, threshold, least)
     return materialize(pairs.distinct(), "similar"), members
 
 

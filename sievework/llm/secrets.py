@@ -186,7 +186,7 @@ def find(text: str, extension: str = "") -> list[list[Span]]:
         add([m.span()])
     if re.search("(?i)authorization", text):
         for m in _HEADER.finditer(text):
-            if not excluded(m.group(1)) and len(m.group(1)) >= 6:
+            if not excluded(m.group(1)) and len(m.group(1)) >= 6 and (any(c.isdigit() for c in m.group(1)) or named_secret(m.group(1))):
                 add([m.span(1)])
     for m in _LOGIN.finditer(text):
         if _in_comment(text, m.start()) and named_secret(m.group(1)):

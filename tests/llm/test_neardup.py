@@ -40,6 +40,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("threshold, least, tile", [(0.6, 10, 2048), (0.6, 10, 2), (0.8, 3, 3)])
 def test_pairs_and_groups(rows, monkeypatch, threshold, least, tile):
     monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "BIN", 5000 if tile == 3 else tile)
     data = corpus(tile)
     df = rows(data, "block_key long, content string, ingested_at timestamp")
     pairs, members = neardup.similar_texts(df, "block_key", "content", "ingested_at", threshold, least)
