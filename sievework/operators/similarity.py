@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import agreement, grams, jaccard, least_sha1
@@ -17,13 +17,23 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), grams(F.col(text)).alias("items")).where(F.size("items") > 0).dropDuplicates(["id"])
 
 
-def exact(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(target, ref, similarity) of all pairs of different keys with a Jaccard similarity of at least the threshold > 0.
+def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((id, rep) of every record, (id, items) of the representatives): equal texts are a class, its least id stands for it.
+
+    Digests alone are shuffled to find the classes. Null texts are in none.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    digests = rows.select("id", F.sha1("text").alias("digest")).distinct()
+    members = digests.join(digests.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
+    return members, _sets(rows.join(members.where("id = rep").select("id"), "id", "left_semi"), "id", "text")
+
+
+def class_pairs(t: DataFrame, r: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(t_rep, r_rep, similarity) of all sets (id, items) with a Jaccard similarity of at least the threshold > 0.
 
     Prefix filter: of a set of n items ordered by rarity, the first n - ceil(t n) + 1 must hold a shared item. Rarity is
-    counted over all sets with map-side combining, and only prefixes are joined. Null and empty texts are in no pair.
+    counted over all sets with map-side combining, and only prefixes are joined.
     """
-    t, r = _sets(targets, key, text), _sets(refs, key, text)
     ranked = t.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
     shared = r.select(F.explode("items").alias("item")).distinct()
     # An item that no reference holds is in no pair: it needs no posting, but keeps its place in the order by rarity.
@@ -35,16 +45,37 @@ def exact(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: f
         cut = packed.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("x"))
         return cut.where("x.both").select(name, f"n_{name}", F.col("x.item").alias("item"))
 
-    near = prefix(t, "target").join(prefix(r, "ref"), "item").where((F.col("target") != F.col("ref")) & (F.least("n_target", "n_ref") >= threshold * F.greatest("n_target", "n_ref") - 1e-9))
-    near = near.select("target", "ref").distinct()
-    full = near.join(t.select(F.col("id").alias("target"), F.col("items").alias("a")), "target").join(r.select(F.col("id").alias("ref"), F.col("items").alias("b")), "ref")
-    return full.select("target", "ref", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    near = prefix(t, "t_rep").join(prefix(r, "r_rep"), "item").where(F.least("n_t_rep", "n_r_rep") >= threshold * F.greatest("n_t_rep", "n_r_rep") - 1e-9)
+    near = near.select("t_rep", "r_rep").distinct()
+    full = near.join(t.select(F.col("id").alias("t_rep"), F.col("items").alias("a")), "t_rep").join(r.select(F.col("id").alias("r_rep"), F.col("items").alias("b")), "r_rep")
+    return full.select("t_rep", "r_rep", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+
 
+def exact(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(target, ref, similarity) of all pairs of different keys that reach the threshold. Null and empty texts are in no pair.
+
+    Copies are compared once and expanded at the end; `links` gives one row per target without expanding them.
+    """
+    (mt, t), (mr, r) = classes(targets, key, text), classes(refs, key, text)
+    pairs = class_pairs(t, r, threshold).join(mt.select(F.col("id").alias("target"), F.col("rep").alias("t_rep")), "t_rep").join(mr.select(F.col("id").alias("ref"), F.col("rep").alias("r_rep")), "r_rep")
+    return pairs.where("target <> ref").select("target", "ref", "similarity")
 
-def best(pairs: DataFrame) -> DataFrame:
-    """The most similar reference of each target; of equals the least."""
-    w = Window.partitionBy("target").orderBy(F.desc("similarity"), "ref")
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+def links(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(target, n_refs, ref, similarity): how many references each target is like, and the most similar; of equals the least.
+
+    Targets without a like reference are left out; a target is not its own reference. Copies are counted, not expanded.
+    """
+    (mt, t), (mr, r) = classes(targets, key, text), classes(refs, key, text)
+    least = mr.where("id <> rep").groupBy("rep").agg(F.min("id").alias("second"), F.count("*").alias("more"))
+    size = mr.select("rep").distinct().join(least, "rep", "left").select(F.col("rep").alias("r_rep"), "second", (F.coalesce("more", F.lit(0)) + 1).alias("size"))
+    met = class_pairs(t, r, threshold).join(size, "r_rep").join(mt.select(F.col("id").alias("target"), F.col("rep").alias("t_rep")), "t_rep")
+    own = mr.select(F.col("id").alias("target"), F.col("rep").alias("own"))
+    met = met.join(own, "target", "left").withColumn("self", F.coalesce(F.col("own") == F.col("r_rep"), F.lit(False)))
+    ref = F.when(F.col("target") == F.col("r_rep"), F.col("second")).otherwise(F.col("r_rep"))
+    best = F.min_by(F.struct("ref", "similarity"), F.struct(-F.col("similarity"), F.col("ref")))
+    met = met.withColumn("ref", ref).withColumn("n", F.col("size") - F.col("self").cast("int")).where("n > 0")
+    return met.groupBy("target").agg(F.sum("n").alias("n_refs"), best.alias("x")).select("target", "n_refs", "x.ref", "x.similarity")
 
 
 def as_shipped(targets: DataFrame, refs: DataFrame, key: str) -> DataFrame:

@@ -19,10 +19,11 @@ def _bucketed(df: DataFrame, start: str, end: str) -> DataFrame:
 def overlapping(nodes: DataFrame, blocks: DataFrame, path: list[str], start: str = "start_line", end: str = "end_line") -> DataFrame:
     """Rows of nodes whose range meets a range of blocks on the same path. Rows with a null path, start or end meet nothing."""
     known = F.col(start).isNotNull() & F.col(end).isNotNull()
-    left = _bucketed(nodes.where(known).withColumn("__row", F.monotonically_increasing_id()), start, end)
+    # equal rows are one row with a count: no row number, which a recomputed task could give differently
+    left = _bucketed(nodes.where(known).groupBy(*nodes.columns).agg(F.count("*").alias("__n")), start, end)
     right = _bucketed(blocks.where(known).select(*path, F.col(start).alias("__s"), F.col(end).alias("__e")).distinct(), "__s", "__e")
     met = left.join(right, [*path, "__bucket"]).where((F.col(end) >= F.col("__s")) & (F.col("__e") >= F.col(start)))
-    return met.dropDuplicates(["__row"]).select(*nodes.columns)
+    return met.select(*nodes.columns, "__n").distinct().select(*nodes.columns, F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int"))).alias("__one")).drop("__one")
 
 
 def first_enclosing(points: DataFrame, blocks: DataFrame, path: list[str], at: str, key: str, order: list[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def candidates(refs: DataFrame, targets: DataFrame, config: Config = Config()) -
     A pair meets by a rare-enough shared item: items are joined behind the prefix filter of the similarity operator's
     kind, on the references' own items only. targets: (tree_id, block_key, file_path, content).
     """
-    r = refs.select("vuln_id", "path", F.monotonically_increasing_id().alias("ref"), grams(F.col("content")).alias("items")).where(F.size("items") > 0)
+    r = refs.select("vuln_id", "path", F.xxhash64("vuln_id", "role", "path", "start_line", "end_line").alias("ref"), grams(F.col("content")).alias("items")).where(F.size("items") > 0)
     t = targets.select("tree_id", "block_key", "file_path", grams(F.col("content")).alias("items")).where(F.size("items") > 0)
     counts = t.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
 

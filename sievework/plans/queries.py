@@ -58,21 +58,21 @@ def q_shared_min(spark, d):
     return similarity.shared_min(blocks(spark, d, "block_key", "content"), "block_key", "content")
 
 
-@query(f"""WITH {_GRAMS}, n AS (SELECT block_key, count(*) n FROM g GROUP BY block_key),
-p AS (SELECT a.block_key target, b.block_key ref, count(*) k FROM g a JOIN g b ON a.item = b.item AND b.block_key % 50 = 0 AND a.block_key <> b.block_key GROUP BY ALL)
-SELECT target, ref, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN n x ON x.block_key = target JOIN n y ON y.block_key = ref WHERE k / (x.n + y.n - k) >= 0.6""")
+_PAIRS = f"""{_GRAMS}, n AS (SELECT block_key, count(*) n FROM g GROUP BY block_key),
+p AS (SELECT a.block_key target, b.block_key ref, count(*) k FROM g a JOIN g b ON a.item = b.item AND b.block_key % 50 = 0 AND a.block_key <> b.block_key GROUP BY ALL),
+s AS (SELECT target, ref, k / (x.n + y.n - k) s FROM p JOIN n x ON x.block_key = target JOIN n y ON y.block_key = ref WHERE k / (x.n + y.n - k) >= 0.6)"""
+
+
+@query(f"WITH {_PAIRS} SELECT target, count(*) AS n_refs, round(max(s), 6) AS similarity FROM s GROUP BY target")
 def q_exact_jaccard(spark, d):
     df = blocks(spark, d, "block_key", "content")
-    return similarity.exact(df, references(df), "block_key", "content").withColumn("similarity", F.round("similarity", 6))
+    return similarity.links(df, references(df), "block_key", "content").select("target", "n_refs", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {_GRAMS}, n AS (SELECT block_key, count(*) n FROM g GROUP BY block_key),
-p AS (SELECT a.block_key target, b.block_key ref, count(*) k FROM g a JOIN g b ON a.item = b.item AND b.block_key % 50 = 0 AND a.block_key <> b.block_key GROUP BY ALL),
-s AS (SELECT target, ref, k / (x.n + y.n - k) s FROM p JOIN n x ON x.block_key = target JOIN n y ON y.block_key = ref WHERE k / (x.n + y.n - k) >= 0.6)
-SELECT target, ref, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY s DESC, ref) = 1""")
+@query(f"WITH {_PAIRS} SELECT target, ref, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY s DESC, ref) = 1")
 def q_best_reference(spark, d):
     df = blocks(spark, d, "block_key", "content")
-    return similarity.best(similarity.exact(df, references(df), "block_key", "content")).withColumn("similarity", F.round("similarity", 6))
+    return similarity.links(df, references(df), "block_key", "content").select("target", "ref", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT DISTINCT block_key FROM code_blocks WHERE EXISTS (SELECT 1 FROM code_blocks WHERE block_key % 50 = 0)")

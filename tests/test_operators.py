@@ -16,7 +16,7 @@ def test_exact_similarity_against_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(30)]
     texts = [" ".join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(40)]
-    texts += [t + " extra" for t in texts[:10]] + [texts[0], "", None]
+    texts += [t + " extra" for t in texts[:10]] + [texts[0], "", None, texts[0], texts[3], texts[3]]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "k long, t string").withColumn("items", F.lit(1)).withColumn("id", F.lit(2))
     for threshold in (0.3, 0.6, 1.0):
@@ -28,6 +28,12 @@ def test_exact_similarity_against_brute_force(spark):
                 if a != b and b % 3 == 0 and s and u and len(s & u) / len(s | u) >= threshold:
                     want[a, b] = round(len(s & u) / len(s | u), 9)
         assert got == want
+        links = {r.target: (r.n_refs, r.ref, round(r.similarity, 9)) for r in similarity.links(df, df.where("k % 3 = 0"), "k", "t", threshold).collect()}
+        best = {}
+        for (a, b), v in want.items():
+            n, ref, top = best.get(a, (0, None, 0))
+            best[a] = (n + 1, *min(((ref, top), (b, v)), key=lambda x: (-x[1], x[0] if x[0] is not None else 1 << 60)))
+        assert links == best
     found = {(r.target, r.ref) for r in similarity.minhash(df, df.where("k % 3 = 0"), "k", "t", 0.9).collect()}
     exact = {(r.target, r.ref) for r in similarity.exact(df, df.where("k % 3 = 0"), "k", "t", 0.9).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact)
