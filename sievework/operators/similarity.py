@@ -31,21 +31,23 @@ def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
 def class_pairs(t: DataFrame, r: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(t_rep, r_rep, similarity) of all sets (id, items) with a Jaccard similarity of at least the threshold > 0.
 
-    Prefix filter: of a set of n items ordered by rarity, the first n - ceil(t n) + 1 must hold a shared item. Rarity is
-    counted over all sets with map-side combining, and only prefixes are joined.
+    Prefix filter: of a set of n items in one fixed order, the first n - ceil(t n) + 1 must hold a shared item. The order puts
+    items that one side lacks first: they meet nothing and are only counted. The others follow by their number of targets.
+    So of the targets only items that some reference holds are shuffled. Items travel as 64-bit hashes; the pairs that meet
+    are compared on the items themselves.
     """
-    ranked = t.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-    shared = r.select(F.explode("items").alias("item")).distinct()
-    # An item that no reference holds is in no pair: it needs no posting, but keeps its place in the order by rarity.
-    ranked = ranked.join(shared.withColumn("both", F.lit(True)), "item", "left")
-
-    def prefix(sets: DataFrame, name: str) -> DataFrame:
-        rows = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).join(ranked, "item", "left")
-        packed = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item", "both"))).alias("all"))
-        cut = packed.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("x"))
-        return cut.where("x.both").select(name, f"n_{name}", F.col("x.item").alias("item"))
-
-    near = prefix(t, "t_rep").join(prefix(r, "r_rep"), "item").where(F.least("n_t_rep", "n_r_rep") >= threshold * F.greatest("n_t_rep", "n_r_rep") - 1e-9)
+    hashed = lambda df: df.select("id", F.size("items").alias("n"), F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("item"))
+    ref_items = hashed(r)
+    held = hashed(t).join(ref_items.select("item").distinct(), "item")
+    counts = held.groupBy("item").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        known = rows.join(counts, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("known"))
+        lone = F.col("n") - F.size("known")
+        take = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - lone, F.lit(0)).cast("int")
+        return known.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.slice("known", F.lit(1), take)).alias("x")).select(name, f"n_{name}", F.col("x.item").alias("item"))
+
+    near = prefix(held, "t_rep").join(prefix(ref_items, "r_rep"), "item").where(F.least("n_t_rep", "n_r_rep") >= threshold * F.greatest("n_t_rep", "n_r_rep") - 1e-9)
     near = near.select("t_rep", "r_rep").distinct()
     full = near.join(t.select(F.col("id").alias("t_rep"), F.col("items").alias("a")), "t_rep").join(r.select(F.col("id").alias("r_rep"), F.col("items").alias("b")), "r_rep")
     return full.select("t_rep", "r_rep", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)

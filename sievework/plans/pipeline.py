@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import grams, jaccard, lines, norm_path, verdict
-from ..operators import dedup, paths
+from ..functions.columns import grams, lines, norm_path, verdict
+from ..operators import dedup, paths, similarity
 from ..sources.diffs import hunks
 from .judge import Judge, ask, case_prompt, rule_judge
 
@@ -40,21 +40,13 @@ def changed_lines(knowledge: DataFrame) -> DataFrame:
 def candidates(refs: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
     """(vuln_id, tree_id, block_key, reason, similarity): target blocks like a reference block, or in a file of the same name.
 
-    A pair meets by a rare-enough shared item: items are joined behind the prefix filter of the similarity operator's
-    kind, on the references' own items only. targets: (tree_id, block_key, file_path, content).
+    targets: (tree_id, block_key, file_path, content).
     """
     r = refs.select("vuln_id", "path", F.xxhash64("vuln_id", "role", "path", "start_line", "end_line").alias("ref"), grams(F.col("content")).alias("items")).where(F.size("items") > 0)
     t = targets.select("tree_id", "block_key", "file_path", grams(F.col("content")).alias("items")).where(F.size("items") > 0)
-    counts = t.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-
-    def prefix(sets: DataFrame, key: str) -> DataFrame:
-        rows = sets.select(F.col(key), F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item", "left")
-        packed = rows.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("all"))
-        return packed.select(key, F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(config.threshold * F.col("n") - 1e-9) + 1).cast("int"))).alias("x")).select(key, "x.item")
-
-    near = prefix(t, "block_key").join(prefix(r, "ref"), "item").select("block_key", "ref").distinct()
-    scored = near.join(t, "block_key").join(r.select("vuln_id", "ref", F.col("items").alias("ref_items")), "ref").withColumn("similarity", jaccard(F.col("items"), F.col("ref_items")))
-    similar = scored.where(F.col("similarity") >= config.threshold).groupBy("vuln_id", "tree_id", "block_key").agg(F.max("similarity").alias("similarity")).withColumn("reason", F.lit("similar"))
+    near = similarity.class_pairs(t.select(F.col("block_key").alias("id"), "items").dropDuplicates(["id"]), r.select(F.col("ref").alias("id"), "items").dropDuplicates(["id"]), config.threshold)
+    scored = near.join(t.select("tree_id", F.col("block_key").alias("t_rep")), "t_rep").join(r.select("vuln_id", F.col("ref").alias("r_rep")), "r_rep").withColumnRenamed("t_rep", "block_key")
+    similar = scored.groupBy("vuln_id", "tree_id", "block_key").agg(F.max("similarity").alias("similarity")).withColumn("reason", F.lit("similar"))
     named = r.select("vuln_id", F.element_at(F.split("path", "/"), -1).alias("base")).distinct()
     same = t.withColumn("base", F.element_at(F.split(norm_path(F.col("file_path")), "/"), -1)).join(named, "base").select("vuln_id", "tree_id", "block_key", F.lit(None).cast("double").alias("similarity"), F.lit("same name").alias("reason"))
     both = similar.unionByName(same)
