@@ -51,8 +51,9 @@ _COMMENT_NAME = re.compile(r"(?://|/\*|#|--)\s*([A-Za-z_][\w.\-]*)\s*(?:\*/)?\s*
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"\{?[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\}?\Z")
 _DIGEST = re.compile(r"(?i)(?:sha-?\d+|md5|blake2?[bs]?|crc32)[:\-=]")
-_PLACEHOLDER = re.compile(r"(?i)<[^>]*>?|.*\$[\{\(]|.*\{\{|.*%\(\w+\)s|%s|\{\w*\}|(.)\1*\Z|x{4,}|\*{3,}|.*(?:your|change.?me|example|placeholder|dummy|sample|redacted|replace|insert|todo|fixme|test.?only)[\W_]|(?:changeme|placeholder|dummy|example|redacted|secret|password|passwd|token|none|null|nil|true|false|undefined|n/?a|tbd|todo)\Z|\.\.\.")
-_REFERENCE = re.compile(r"(?:os\.|process\.env|System\.|getenv|env[.:\[]|ENV\[|vault:|file:|ssm:|secretsmanager:|@\w+@|!\w+|~?/[\w./\-]+\Z|\./|[A-Za-z_]\w*(?:\.\w+)*\(|self\.|this\.|\$\w+\Z|\$\()")
+_PLACEHOLDER = re.compile(r"(?i)<[^>]*>?|.*\$[\{\(]|.*\{\{|.*%\(\w+\)s|%s\Z|\{\w*\}|(.)\1*\Z|x{4,}|\*{3,}|.*(?:your|change.?me|example|placeholder|dummy|sample|redacted|replace|insert|todo|fixme|test.?only)[\W_]|(?:changeme|placeholder|dummy|example|redacted|secret|password|passwd|token|none|null|nil|true|false|undefined|n/?a|tbd|todo)\Z|\.\.\.")
+_REFERENCE = re.compile(r"(?:os\.|process\.env|System\.|getenv|env[.:\[]|ENV\[|vault:|file:|ssm:|secretsmanager:|@\w+@|!(?:ref|secret|env|vault|include|sub)\b|\./|[A-Za-z_][A-Za-z_.]*\([^()]*\)\Z|self\.|this\.|\$[A-Z_][A-Z0-9_]*\Z|\$[a-z_]+\Z|\$\()")
+_FILE = re.compile(r"~?/[\w./\-]+\Z")
 
 
 def entropy(text: str) -> float:
@@ -92,7 +93,13 @@ def calls_secret(name: str) -> bool:
 
 def excluded(value: str) -> bool:
     """Placeholders, references, empty values."""
-    return not value.strip() or bool(_PLACEHOLDER.match(value)) or bool(_REFERENCE.match(value))
+    return not value.strip() or bool(_PLACEHOLDER.match(value)) or bool(_REFERENCE.match(value)) or bool(_FILE.match(value)) and not mixed(value)
+
+
+def mixed(value: str) -> bool:
+    """Whether upper case, lower case and digits change as often as in random characters."""
+    switches = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(value, value[1:]))
+    return switches >= len(value) // 3
 
 
 def named_secret(value: str) -> bool:
@@ -120,8 +127,7 @@ def free_secret(value: str) -> bool:
         return False
     if sum(body.count(c) for c in "/_-") > len(body) // 6:
         return False
-    switches = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(body, body[1:]))
-    return switches >= len(body) // 3 and entropy(value) >= threshold(value, False)
+    return mixed(body) and entropy(value) >= threshold(value, False)
 
 
 Span = tuple[int, int]
