@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import without_interior, without_scopes
@@ -43,8 +43,10 @@ def hits(edges: DataFrame, scope: list[str], max_iter: int = MAX_ITER, tolerance
         new = new.select(*scope, "node", F.col("authority").alias("old"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h"))
         norm = new.groupBy(*scope).agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("nh"))
         scaled = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(0.0)
-        scores = materialize(new.join(norm, scope).select(*scope, "node", "old", scaled("a", "na").alias("authority"), scaled("h", "nh").alias("hub")), "scores")
-        if not fixed and not scores.where(F.abs(F.col("authority") - F.col("old")) >= tolerance).limit(1).count():
+        seen = Observation()
+        moved = new.join(norm, scope).select(*scope, "node", "old", scaled("a", "na").alias("authority"), scaled("h", "nh").alias("hub"))
+        scores = materialize(moved.observe(seen, F.max(F.abs(F.col("authority") - F.col("old"))).alias("delta")), "scores")
+        if not fixed and (seen.get["delta"] or 0.0) < tolerance:
             break
     return scores.select(*scope, "node", "authority", "hub")
 
