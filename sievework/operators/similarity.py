@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import agreement, grams, jaccard, least_sha1
+from ..sources.tables import materialize
 
 THRESHOLD = 0.6
 NUM_PERM = 64
@@ -33,10 +34,11 @@ def class_pairs(t: DataFrame, r: DataFrame, threshold: float = THRESHOLD) -> Dat
 
     Prefix filter: of a set of n items in one fixed order, the first n - ceil(t n) + 1 must hold a shared item. The order puts
     items that one side lacks first: they meet nothing and are only counted. The others follow by their number of targets.
-    So of the targets only items that some reference holds are shuffled. Items travel as 64-bit hashes; the pairs that meet
-    are compared on the items themselves.
+    So of the targets only items that some reference holds are shuffled. Items stand as 64-bit hashes, made once and written,
+    for the sets are read several times and making them is the dearest part.
     """
-    hashed = lambda df: df.select("id", F.size("items").alias("n"), F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("item"))
+    t, r = (materialize(x.select("id", F.transform("items", lambda i: F.xxhash64(i)).alias("items")), "sets") for x in (t, r))
+    hashed = lambda df: df.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
     ref_items = hashed(r)
     held = hashed(t).join(ref_items.select("item").distinct(), "item")
     counts = held.groupBy("item").agg(F.count("*").alias("df"))
