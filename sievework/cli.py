@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import pathlib
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.context import Code
 from .plans.pipeline import verify
-from .sources import segment, trees
+from .sources import braces, facts, segment, trees
 from .sources.sinks import verdict_lines
 
 
@@ -28,13 +30,17 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("sievework").getOrCreate()
     patch = pathlib.Path(a.patch).read_text(encoding="utf-8", errors="ignore")
-    knowledge = spark.createDataFrame([(1, a.vuln_id, description(a.desc), patch)], "knowledge_key long, vuln_id string, desc_text string, patch_diff string")
-    targets = None
+    knowledge = spark.createDataFrame([(1, a.vuln_id, description(a.desc), patch, None, None)], "knowledge_key long, vuln_id string, desc_text string, patch_diff string, vuln_proj_root string, fix_proj_root string")
+    scanned = []
     for root in a.target_root:
         files = trees.files(spark, root).select(F.lit(root).alias("tree_id"), F.col("path").alias("file_path"), F.col("text").alias("content"))
-        found = segment.blocks(files).select("tree_id", F.xxhash64("tree_id", "file_path", "start_line", "end_line", "kind", "name").alias("block_key"), "file_path", "content")
-        targets = found if targets is None else targets.unionByName(found)
-    for row in verdict_lines(verify(knowledge, targets)).toLocalIterator():
+        scanned.append(files)
+    files = reduce(DataFrame.unionByName, scanned)
+    found = segment.blocks(files).withColumn("block_key", F.xxhash64("tree_id", "file_path", "start_line", "end_line", "kind", "name"))
+    edges = facts.call_edges(facts.facts(files)).unionByName(facts.call_edges(braces.facts(files)))
+    code = Code(files.select("tree_id", F.col("tree_id").alias("proj_root")).distinct(), found, edges)
+    targets = found.select("tree_id", "block_key", "file_path", "content")
+    for row in verdict_lines(verify(knowledge, targets, code=code)).toLocalIterator():
         print(row.line)
     return 0
 

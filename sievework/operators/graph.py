@@ -57,6 +57,17 @@ def top_k(scores: DataFrame, scope: list[str], k: int = TOP_K) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_blocks(scores: DataFrame, blocks: DataFrame, scope: list[str], k: int = TOP_K) -> DataFrame:
+    """(scope, block, node, rank): the k distinct blocks of the greatest authority of each scope, each by its best node.
+
+    blocks: (scope, node, block). Nodes without a block are skipped before counting; scores are compared as in top_k.
+    """
+    known = scores.join(blocks.where("block IS NOT NULL"), [*scope, "node"])
+    best = known.groupBy(*scope, "block").agg(F.min(F.struct((-F.round("authority", 9)).alias("a"), "node")).alias("best"))
+    w = Window.partitionBy(*scope).orderBy("best.a", "best.node", "block")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*scope, "block", F.col("best.node").alias("node"), "rank")
+
+
 def difference(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows with `change`: added or removed."""
     a, b = old.select(*columns), new.select(*columns)
@@ -66,7 +77,7 @@ def difference(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
 def align(nodes: DataFrame, blocks: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, node, block): the block of each node by its qualified name, else by its last segment where only one block has that name."""
     last = F.element_at(F.split(F.element_at(F.split("node", r"\."), -1), ":"), -1)
-    exact = blocks.select(*scope, F.col("qualname").alias("node"), F.col("block").alias("exact")).dropDuplicates([*scope, "node"])
+    exact = blocks.select(*scope, F.col("qualname").alias("node"), "block").groupBy(*scope, "node").agg(F.min("block").alias("exact"))
     unique = blocks.groupBy(*scope, F.col("func_name").alias("last")).agg(F.min("block").alias("only"), F.count("*").alias("n")).where("n = 1").drop("n")
     out = nodes.join(exact, [*scope, "node"], "left").withColumn("last", last).join(unique, [*scope, "last"], "left")
     return out.select(*scope, "node", F.coalesce("exact", "only").alias("block"))

@@ -26,6 +26,15 @@ def overlapping(nodes: DataFrame, blocks: DataFrame, path: list[str], start: str
     return met.select(*nodes.columns, "__n").distinct().select(*nodes.columns, F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int"))).alias("__one")).drop("__one")
 
 
+def meeting(left: DataFrame, right: DataFrame, path: list[str], left_keys: list[str], right_keys: list[str]) -> DataFrame:
+    """(path columns without the last, left_keys, right_keys): distinct keys of the rows whose ranges meet on the same path."""
+    known = F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
+    a = _bucketed(left.where(known).select(*path, *left_keys, "start_line", "end_line"), "start_line", "end_line")
+    b = _bucketed(right.where(known).select(*path, *right_keys, F.col("start_line").alias("__s"), F.col("end_line").alias("__e")), "__s", "__e")
+    met = a.join(b, [*path, "__bucket"]).where((F.col("end_line") >= F.col("__s")) & (F.col("__e") >= F.col("start_line")))
+    return met.select(*path[:-1], *left_keys, *right_keys).distinct()
+
+
 def first_enclosing(points: DataFrame, blocks: DataFrame, path: list[str], at: str, key: str, order: list[str]) -> DataFrame:
     """The first block, by order, that holds each point; points outside all blocks are left out."""
     b = _bucketed(blocks, "start_line", "end_line")

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import grams, lines, norm_path, verdict
-from ..operators import dedup, paths, similarity
+from ..operators import dedup, paths, similarity, spans
 from ..sources.diffs import hunks
+from ..sources.tables import materialize
+from . import context
+from .context import Code
 from .judge import Judge, ask, case_prompt, rule_judge
 
 
@@ -22,7 +25,7 @@ class Config:
     snippet: int = 220
 
 
-def reference_blocks(knowledge: DataFrame) -> DataFrame:
+def hunk_blocks(knowledge: DataFrame) -> DataFrame:
     """(vuln_id, role, path, start_line, end_line, content): both sides of each hunk with lines; the last of equal spans wins."""
     known = knowledge.where("vuln_id IS NOT NULL AND patch_diff IS NOT NULL").select("vuln_id", "patch_diff").distinct()
     h = hunks(known, "vuln_id", "patch_diff").withColumnRenamed("key", "vuln_id")
@@ -30,6 +33,35 @@ def reference_blocks(knowledge: DataFrame) -> DataFrame:
     return side("vuln", "source").unionByName(side("fix", "target")).dropDuplicates(["vuln_id", "role", "path", "start_line", "end_line"])
 
 
+def reference_blocks(knowledge: DataFrame, code: Code | None = None, nodes: DataFrame | None = None, expanded: DataFrame | None = None) -> DataFrame:
+    """(vuln_id, role, path, start_line, end_line, content): the hunks; with code also what the trees of both roots add.
+
+    That is, in the vulnerable tree for role vuln and the fixed one for fix: functions one call from those a hunk meets, the
+    best blocks by HITS, and the lines of expanded (vuln_id, role, path, first, last), a judge's spans. Of equal spans a hunk
+    wins, then the others in this order.
+    """
+    found = hunk_blocks(knowledge)
+    if code is None:
+        return found
+    nodes = context.nodes(code) if nodes is None else nodes
+    found = materialize(found, "hunks")
+    root = lambda role: knowledge.where("vuln_id IS NOT NULL AND patch_diff IS NOT NULL").select("vuln_id", F.lit(role).alias("role"), F.col(f"{role}_proj_root").alias("proj_root"))
+    roots = materialize(root("vuln").unionByName(root("fix")).join(code.trees.select("tree_id", "proj_root"), "proj_root").select("vuln_id", "role", "tree_id").distinct(), "roots")
+    keys = ["vuln_id", "role", "path", "start_line", "end_line"]
+    added = context.around(found.join(roots, ["vuln_id", "role"]), code, nodes).unionByName(context.best_ranked(roots, code, nodes))
+    added = materialize(added.groupBy(*keys).agg(F.min("block_key").alias("block_key")), "added")
+    parts = [found, context.with_text(added, code)]
+    if expanded is not None:
+        files = code.blocks.where("kind = 'file'").select("tree_id", norm_path(F.col("file_path")).alias("path"), "content")
+        wanted = expanded.withColumn("path", norm_path(F.col("path"))).join(roots, ["vuln_id", "role"])
+        parts.append(spans.cut(wanted, files, ["tree_id", "path"]).select("vuln_id", "role", "path", F.col("first").alias("start_line"), F.col("last").alias("end_line"), "content"))
+    merged = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("part", F.lit(k))
+        merged = part if merged is None else merged.unionByName(part)
+    return materialize(dedup.first_wins(merged, keys, [F.col("part"), F.col("content")]).drop("part"), "references")
+
+
 def changed_lines(knowledge: DataFrame) -> DataFrame:
     """(vuln_id, removed, added): lines of ink that a diff takes away and puts in, distinct, at most as many as the diff has."""
     known = knowledge.where("vuln_id IS NOT NULL AND patch_diff IS NOT NULL").groupBy("vuln_id").agg(F.max_by("patch_diff", "knowledge_key").alias("diff"))
@@ -37,10 +69,16 @@ def changed_lines(knowledge: DataFrame) -> DataFrame:
     return known.select("vuln_id", pick("-", "---").alias("removed"), pick("+", "+++").alias("added"))
 
 
-def candidates(refs: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
+#: Reasons of candidates, the first of several wins.
+REASONS = ("similar", "same name", "suggested", "one hop")
+
+
+def candidates(refs: DataFrame, targets: DataFrame, config: Config = Config(), code: Code | None = None, nodes: DataFrame | None = None, suggestions: DataFrame | None = None) -> DataFrame:
     """(vuln_id, tree_id, block_key, reason, similarity): target blocks like a reference block, or in a file of the same name.
 
-    targets: (tree_id, block_key, file_path, content).
+    targets: (tree_id, block_key, file_path, content). With code, whose blocks include the targets, also the blocks one call
+    from any of these; each stands for its whole function, and of equal spans the first by reason, similarity and key is kept.
+    suggestions: (vuln_id, block_key), blocks that a judge named.
     """
     r = refs.select("vuln_id", "path", F.xxhash64("vuln_id", "role", "path", "start_line", "end_line").alias("ref"), grams(F.col("content")).alias("items")).where(F.size("items") > 0)
     t = targets.select("tree_id", "block_key", "file_path", grams(F.col("content")).alias("items")).where(F.size("items") > 0)
@@ -50,17 +88,34 @@ def candidates(refs: DataFrame, targets: DataFrame, config: Config = Config()) -
     named = r.select("vuln_id", F.element_at(F.split("path", "/"), -1).alias("base")).distinct()
     same = t.withColumn("base", F.element_at(F.split(norm_path(F.col("file_path")), "/"), -1)).join(named, "base").select("vuln_id", "tree_id", "block_key", F.lit(None).cast("double").alias("similarity"), F.lit("same name").alias("reason"))
     both = similar.unionByName(same)
-    return dedup.first_wins(both, ["vuln_id", "tree_id", "block_key"], [F.desc("reason"), F.desc("similarity")])
-
-
-def verify(knowledge: DataFrame, targets: DataFrame, judge: Judge = rule_judge, config: Config = Config()) -> DataFrame:
+    own = targets.select("tree_id", "block_key").distinct()
+    if suggestions is not None:
+        both = both.unionByName(suggestions.join(own, "block_key").select("vuln_id", "tree_id", "block_key", F.lit(None).cast("double").alias("similarity"), F.lit("suggested").alias("reason")))
+    order = [F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")), F.desc_nulls_last("similarity"), F.col("block_key")]
+    first = dedup.first_wins(both, ["vuln_id", "tree_id", "block_key"], order)
+    if code is None:
+        return first
+    first = materialize(first, "candidates")
+    nodes = context.nodes(code) if nodes is None else nodes
+    near = context.linked(code, nodes).join(own.select(F.col("block_key").alias("other"), "tree_id"), "other")
+    hops = first.join(near, ["tree_id", "block_key"]).select("vuln_id", "tree_id", F.col("other").alias("block_key"), F.lit(None).cast("double").alias("similarity"), F.lit("one hop").alias("reason")).distinct()
+    merged = dedup.first_wins(first.unionByName(hops), ["vuln_id", "tree_id", "block_key"], order)
+    # a block without a path shares its span with no other
+    place = context.widened(code.blocks).select("block_key", F.struct(F.coalesce("path", F.col("block_key").cast("string")).alias("path"), "start_line", "end_line").alias("span"))
+    return dedup.first_wins(merged.join(place, "block_key"), ["vuln_id", "tree_id", "span"], order).drop("span")
+
+
+def verify(knowledge: DataFrame, targets: DataFrame, judge: Judge = rule_judge, config: Config = Config(), code: Code | None = None) -> DataFrame:
     """(vuln_id, tree_id, n_blocks, has_vuln, confidence, reason): a verdict for every vulnerability and tree with candidates.
 
-    The first `candidates` blocks by similarity, then key, are shown to the judge; that limit is part of the prompt's form.
+    The first `candidates` blocks by similarity, then reason and key, are shown to the judge; that limit is part of the prompt's
+    form. With code the stages of reference_blocks and candidates that need it run, and blocks are shown as whole functions.
     """
-    chosen = candidates(reference_blocks(knowledge), targets, config)
-    w = Window.partitionBy("vuln_id", "tree_id").orderBy(F.desc_nulls_last("similarity"), "block_key")
-    shown = chosen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= config.candidates).join(targets.select("block_key", "content").dropDuplicates(["block_key"]), "block_key")
+    nodes = None if code is None else context.nodes(code)
+    chosen = candidates(reference_blocks(knowledge, code, nodes), targets, config, code, nodes)
+    w = Window.partitionBy("vuln_id", "tree_id").orderBy(F.desc_nulls_last("similarity"), F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")), "block_key")
+    shown = chosen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= config.candidates)
+    shown = shown.join(targets.select("block_key", "content").dropDuplicates(["block_key"]), "block_key") if code is None else context.shown(materialize(shown, "shown"), code)
     cases = shown.groupBy("vuln_id", "tree_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]).alias("blocks"), F.count("*").alias("n_blocks"))
     prompts = cases.join(changed_lines(knowledge), "vuln_id").select("vuln_id", "tree_id", "n_blocks", case_prompt(F.col("removed"), F.col("added"), F.col("blocks")).alias("prompt"))
     return ask(prompts, judge).withColumn("v", verdict(F.col("raw"))).select("vuln_id", "tree_id", "n_blocks", "v.*")

@@ -9,8 +9,8 @@ from ..functions import columns as c
 from ..functions.python import shorten, tolerant_json
 from ..operators import dedup, graph, paths, rank, similarity, spans
 from ..sources import braces, diffs, facts, segment
-from ..sources.tables import table
-from . import decide, pipeline
+from ..sources.tables import materialize, table
+from . import context, decide, pipeline
 from .judge import rule_judge
 
 Q = {}
@@ -380,14 +380,21 @@ def _targets(spark, d):
     return blocks(spark, d, "tree_id", "block_key", "file_path", "content").where("content IS NOT NULL").dropDuplicates(["block_key"]).join(trees, "tree_id", "left_semi")
 
 
+def _code(spark, d):
+    own = blocks(spark, d, "tree_id", "block_key", "file_path", "start_line", "kind", "name", "content")
+    return context.Code(table(spark, d, "trees", "tree_id", "proj_root"), own, edges(spark, d))
+
+
 @query()
 def q_candidates(spark, d):
-    return pipeline.candidates(pipeline.reference_blocks(table(spark, d, "vuln_knowledge")), _targets(spark, d))
+    code = _code(spark, d)
+    nodes = context.nodes(code)
+    return pipeline.candidates(pipeline.reference_blocks(table(spark, d, "vuln_knowledge"), code, nodes), _targets(spark, d), code=code, nodes=nodes)
 
 
 @query()
 def q_verify(spark, d):
-    return pipeline.verify(table(spark, d, "vuln_knowledge"), _targets(spark, d))
+    return pipeline.verify(table(spark, d, "vuln_knowledge"), _targets(spark, d), code=_code(spark, d))
 
 
 @query()
@@ -422,8 +429,8 @@ def q_patterns(spark, d):
 
 @query()
 def q_decide(spark, d):
-    known = table(spark, d, "vuln_knowledge", "knowledge_key", "vuln_id", "desc_text", "patch_diff")
-    targets = _targets(spark, d)
-    chosen = pipeline.candidates(pipeline.reference_blocks(known), targets).select("vuln_id", "block_key")
-    wide = blocks(spark, d, "tree_id", "block_key", "file_path", "start_line", "end_line", "content").dropDuplicates(["block_key"])
-    return decide.decide(known, chosen.join(wide, "block_key"), rank.important_names(known), rule_judge, rule_judge)
+    known = table(spark, d, "vuln_knowledge")
+    code = _code(spark, d)
+    nodes = context.nodes(code)
+    chosen = pipeline.candidates(pipeline.reference_blocks(known, code, nodes), _targets(spark, d), code=code, nodes=nodes).select("vuln_id", "tree_id", "block_key")
+    return decide.decide(known, context.shown(materialize(chosen, "chosen"), code), rank.important_names(known), rule_judge, rule_judge)
