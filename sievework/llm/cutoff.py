@@ -60,7 +60,7 @@ _SHAPE = _Shape()
 _HAN = re.compile("[㐀-鿿]")
 _RUN = re.compile(r"([aA0Z ])\1+")
 _FIELD = re.compile(r"[A-Z][\w\-]*(?: [\w\-]+)?: \S")
-_FENCE = re.compile(r"\s*(?:```|~~~)")
+_FENCE = re.compile(r"```+|^\s*~~~+")
 _ADDRESS_END = re.compile(r"[a-z][a-z0-9+.\-]*://\S*$", re.I)
 
 
@@ -76,6 +76,11 @@ def language(lang: str | None, text: str) -> str:
     return name if name in LANGUAGES and name != "zh" else "other"
 
 
+def open_fence(text: str) -> bool:
+    """Whether a text stops inside fenced code; marks count wherever they stand in a line."""
+    return sum(len(_FENCE.findall(line)) for line in text.split("\n")) % 2 == 1
+
+
 def lines_of(text: str) -> list[tuple[str, str]]:
     """(kind, line) of the lines with ink; the first line of several is left out, it may be a title."""
     out: list[tuple[str, str]] = []
@@ -87,10 +92,12 @@ def lines_of(text: str) -> list[tuple[str, str]]:
         if not bare:
             before = before if code else ""
             continue
-        if _FENCE.match(line):
-            code = not code
+        marks = _FENCE.findall(line)
+        was, code = code, code != (len(marks) % 2 == 1)
+        if marks and bare.startswith(("```", "~~~")):
+            kind = "code" if code else "fence"
+        elif was:
             kind = "code" if code else "fence"
-        elif code:
             kind = "code"
         elif before == "--":
             kind = "signature"
@@ -200,7 +207,7 @@ def judge(text: str, lang: str | None, limits: tuple[int, int], model: Model) ->
     at_limit = limits[0] and len(text) == limits[0] or limits[1] and limits[1] - 3 <= len(text.encode("utf-8", "surrogatepass")) <= limits[1] + 2
     body = text.rstrip()
     own = language(lang, body[body.rfind("\n") + 1 :])
-    if body.endswith("�"):
+    if body.endswith("�") or open_fence(body):
         return True
     if at_limit:
         for mark in MARKS:
