@@ -26,3 +26,8 @@ def not_selected(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates whose id is not there yet, nor their (path, name) where the existing name is known."""
     named = existing.where(F.col("name").isNotNull()).select("path", "name").distinct()
     return candidates.join(existing.select("id").distinct(), "id", "left_anti").join(named, ["path", "name"], "left_anti")
+
+
+def with_fallback(blocks: DataFrame, fallback: DataFrame, path: list[str]) -> DataFrame:
+    """The blocks, and of the fallback those of files that have no block; rows with a null path column are in no such file."""
+    return blocks.unionByName(fallback.join(blocks.select(*path).distinct(), path, "left_anti"))

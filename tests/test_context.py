@@ -1,4 +1,4 @@
-from sievework.operators import graph
+from sievework.operators import dedup, graph
 from sievework.plans import context, pipeline
 
 DIFF = "--- a/src/x.py\n+++ b/src/x.py\n@@ -1,2 +1,2 @@\n def f(a):\n-    return OPTION_RE.finditer(a)\n+    return parse_options(a)\n"
@@ -49,3 +49,10 @@ def test_top_blocks(spark):
     scores = spark.createDataFrame([("t", n, a) for n, a in (("no", 0.9), ("a1", 0.8), ("a2", 0.7), ("b", 0.6), ("c", 0.5))], "tree_id string, node string, authority double")
     blocks = spark.createDataFrame([("t", "a1", "A"), ("t", "a2", "A"), ("t", "b", "B"), ("t", "c", "C"), ("t", "no", None)], "tree_id string, node string, block string")
     assert [(r.block, r.node, r["rank"]) for r in graph.top_blocks(scores, blocks, ["tree_id"], 2).orderBy("rank").collect()] == [("A", "a1", 1), ("B", "b", 2)]
+
+
+def test_fallback_blocks(spark):
+    schema = "tree_id string, path string, block_key long"
+    parsed = spark.createDataFrame([("t", "a.c", 1), ("t", "a.c", 2)], schema)
+    files = spark.createDataFrame([("t", "a.c", 3), ("u", "a.c", 4), ("t", "b.c", 5), ("t", None, 6)], schema)
+    assert {r.block_key for r in dedup.with_fallback(parsed, files, ["tree_id", "path"]).collect()} == {1, 2, 4, 5, 6}
