@@ -104,7 +104,7 @@ def mixed(value: str) -> bool:
 
 def named_secret(value: str) -> bool:
     """Whether a value beside a credential's name is one: literal, not plain words, and of enough entropy for its length."""
-    if len(value) < 6 or len(value) > 4096 or " " in value.strip() or excluded(value) or _UUID.match(value) or _DIGEST.match(value):
+    if len(value) < 6 or " " in value.strip() or excluded(value) or _UUID.match(value) or _DIGEST.match(value):
         return False
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
     other = len(value) - digits - letters
