@@ -21,8 +21,8 @@ EXTENSIONS = {
 def language_of(language: str | None, file_path: str | None) -> str | None:
     """python, java, c, c++ or json; None for anything else. An unknown or empty language leaves it to the extension."""
     name = (language or "").strip().lower()
-    if name:
-        return SPELLINGS.get(name)
+    if name in SPELLINGS:
+        return SPELLINGS[name]
     path = (file_path or "").strip().lower()
     return EXTENSIONS.get(path.rsplit(".", 1)[-1]) if "." in path.replace("\\", "/").rsplit("/", 1)[-1] else None
 
