@@ -25,12 +25,18 @@ class Config:
     snippet: int = 220
 
 
+def diffs_of(knowledge: DataFrame) -> DataFrame:
+    """(vuln_id, patch_diff, seq): the different diffs of all records; seq is the greatest knowledge_key, 0 where the table has none."""
+    key = F.col("knowledge_key") if "knowledge_key" in knowledge.columns else F.lit(0)
+    return knowledge.where("vuln_id IS NOT NULL AND patch_diff IS NOT NULL").groupBy("vuln_id", "patch_diff").agg(F.max(key.cast("long")).alias("seq"))
+
+
 def hunk_blocks(knowledge: DataFrame) -> DataFrame:
     """(vuln_id, role, path, start_line, end_line, content): both sides of each hunk with lines; the last of equal spans wins."""
-    known = knowledge.where("vuln_id IS NOT NULL AND patch_diff IS NOT NULL").select("vuln_id", "patch_diff").distinct()
-    h = hunks(known, "vuln_id", "patch_diff").withColumnRenamed("key", "vuln_id")
-    side = lambda role, s: h.where((F.col(f"{s}_length") > 0) & F.col(f"{s}_path").isNotNull()).select("vuln_id", F.lit(role).alias("role"), norm_path(F.col(f"{s}_path")).alias("path"), F.col(f"{s}_start").alias("start_line"), (F.col(f"{s}_start") + F.col(f"{s}_length") - 1).alias("end_line"), F.col(f"{s}_text").alias("content"))
-    return side("vuln", "source").unionByName(side("fix", "target")).dropDuplicates(["vuln_id", "role", "path", "start_line", "end_line"])
+    h = hunks(diffs_of(knowledge).withColumn("key", F.struct("vuln_id", "seq")), "key", "patch_diff").select("*", "key.vuln_id", "key.seq")
+    side = lambda role, s: h.where((F.col(f"{s}_length") > 0) & F.col(f"{s}_path").isNotNull()).select("vuln_id", F.lit(role).alias("role"), norm_path(F.col(f"{s}_path")).alias("path"), F.col(f"{s}_start").alias("start_line"), (F.col(f"{s}_start") + F.col(f"{s}_length") - 1).alias("end_line"), F.col(f"{s}_text").alias("content"), F.struct("seq", "file_no", "hunk_no", F.col(f"{s}_text").alias("text")).alias("order"))
+    both = side("vuln", "source").unionByName(side("fix", "target"))
+    return both.groupBy("vuln_id", "role", "path", "start_line", "end_line").agg(F.max_by("content", "order").alias("content"))
 
 
 def reference_blocks(knowledge: DataFrame, code: Code | None = None, nodes: DataFrame | None = None, expanded: DataFrame | None = None) -> DataFrame:
@@ -63,10 +69,11 @@ def reference_blocks(knowledge: DataFrame, code: Code | None = None, nodes: Data
 
 
 def changed_lines(knowledge: DataFrame) -> DataFrame:
-    """(vuln_id, removed, added): lines of ink that a diff takes away and puts in, distinct, at most as many as the diff has."""
-    known = knowledge.where("vuln_id IS NOT NULL AND patch_diff IS NOT NULL").groupBy("vuln_id").agg(F.max_by("patch_diff", "knowledge_key").alias("diff"))
+    """(vuln_id, removed, added): lines of ink that the diffs of all records take away and put in, distinct, in the order of the records."""
     pick = lambda sign, head: F.array_distinct(F.filter(F.transform(F.filter(lines(F.col("diff")), lambda x: x.startswith(sign) & ~x.startswith(head)), lambda x: F.trim(F.substring(x, 2, 1 << 30))), lambda x: x != ""))
-    return known.select("vuln_id", pick("-", "---").alias("removed"), pick("+", "+++").alias("added"))
+    each = diffs_of(knowledge).withColumnRenamed("patch_diff", "diff").select("vuln_id", F.struct("seq", pick("-", "---").alias("removed"), pick("+", "+++").alias("added")).alias("x"))
+    both = each.groupBy("vuln_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return both.select("vuln_id", *[F.array_distinct(F.flatten(F.col(f"xs.{c}"))).alias(c) for c in ("removed", "added")])
 
 
 #: Reasons of candidates, the first of several wins.

@@ -423,7 +423,8 @@ def q_crop(spark, d):
 @query()
 def q_patterns(spark, d):
     known = table(spark, d, "vuln_knowledge", "knowledge_key", "vuln_id", "desc_text", "patch_diff")
-    one = known.groupBy("vuln_id").agg(F.max_by(F.struct("desc_text", "patch_diff"), "knowledge_key").alias("k")).select("vuln_id", "k.*")
+    diff = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("knowledge_key", "patch_diff"))), lambda x: x["patch_diff"]))
+    one = known.groupBy("vuln_id").agg(F.max_by("desc_text", "knowledge_key").alias("desc_text"), F.array_join(diff, "\n").alias("patch_diff"))
     return decide.patterns(one, pipeline.reference_blocks(known), rule_judge)
 
 
