@@ -1,26 +1,45 @@
 """Held-out passages that leak into a corpus: documents that hold at least so many consecutive words of an item.
 
-A prefix-filtered set join of the items' shingles with the documents: all words of a shingle must occur in the document, so
-the necessary prefix of a shingle, its words ordered by rarity in the whole corpus, is its rarest word alone. The items'
-index holds these words with their places; a document's occurrences of them are joined, bounded by what length is left on
-both sides, and verified by growing the match over the item both ways.
+A prefix-filtered set join. A document and a window of `least` words of an item are sets of shingles, runs of SHINGLE words. A
+document holds the window only if it holds all of its shingles, so the necessary prefix of a window, its shingles ordered by
+their number in the whole corpus, is the rarest one alone.
+
+1. Documents are posted under the shingles that some item has too; a bitmap of fixed size tells which these may be.
+2. The postings of each shingle are counted. A window with a shingle that no document has is dropped; of each other window the
+   rarest shingle goes into the items' index.
+3. Postings and index are joined. What is left of document and item on both sides of the shingle bounds the run it may lie in.
+   Shingles of very many documents are split over several tasks.
+4. Of each candidate document the item-sized window at the place where the item would lie is cut out, and compared word by word.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import sys
+import zlib
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize, release
+from ._items import chunks, mix, powers
+
 LEAST = 12
-#: Items are indexed and broadcast in blocks of at most so many words, so what is broadcast is bounded; the blocks follow one another.
-BLOCK_WORDS = 1_000_000
+SHINGLE = 5
+#: The bitmap of the items' shingles has 2**CELL_BITS bits, whatever the number of items: this bounds what is broadcast (16 MB).
+CELL_BITS = 27
+SLICE_BITS = 16
+#: Documents of one shingle from which its postings are split over SALTS tasks.
+HOT = 20_000
+SALTS = 32
 
 _WORD = re.compile(r"\w+")
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_PRIVATE = 0x100000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -28,84 +47,198 @@ def words_of(text: str | None) -> list[str]:
     return [w.casefold() for w in _WORD.findall(text)] if text else []
 
 
-def count_rows(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """In how many documents of the partition each word of the items occurs."""
-    known, counts = vocabulary.value, Counter()
+@cache
+def _folding() -> tuple[np.ndarray, re.Pattern, dict[int, str]]:
+    """By code point the folded one, 0 for what is in no word; the characters that fold to several, and what these become.
+
+    That is what they fold to, or one character of a private plane where it is no word any more. Made once in each process.
+    """
+    fold, long = np.zeros(sys.maxunicode + 1, np.uint32), {}
+    for c in range(sys.maxunicode + 1):
+        s = chr(c)
+        if s.isalnum() or s == "_":
+            f = s.casefold()
+            fold[c] = ord(f) if len(f) == 1 else c
+            if len(f) > 1:
+                long[c] = f
+    own = np.arange(_PRIVATE, _PRIVATE + len(long))
+    fold[own] = own
+    several = {c: f if _WORD.fullmatch(f) else chr(_PRIVATE + k) for k, (c, f) in enumerate(long.items())}
+    return fold, re.compile("[" + "".join(map(chr, long)) + "]"), several
+
+
+def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, hashes of the words of a run of texts, offsets of its texts in them)."""
+    fold, long, several = _folding()
+    plain = [t.translate(several) if not t.isascii() and long.search(t) else t for t in (t or "" for t in texts)]
+    for a, b in chunks(plain):
+        codes = fold[np.frombuffer(("\n".join(plain[a:b]) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
+        edge = np.diff((codes != 0).view(np.int8), prepend=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        p, q = powers(len(codes) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes * p[: len(codes)], out=total[1:])
+            h = mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64) * _MULT)
+        lengths = np.fromiter((len(t) + 1 for t in plain[a:b]), np.int64, b - a)
+        yield a, h, np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths))))
+
+
+def shingle_rows(texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingle, index of its text, place of its first word, words of its text) of runs of texts."""
+    for first, h, at in word_hashes(texts):
+        if len(h) < size:
+            continue
+        with np.errstate(over="ignore"):
+            s = h[: len(h) - size + 1].copy()
+            for k in range(1, size):
+                s = s * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - size + 1 + k]
+            s = mix(s)
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(s)]
+        place, n = np.arange(len(s)) - at[text], np.diff(at)[text]
+        ok = place + size <= n
+        yield s[ok], text[ok] + first, place[ok], n[ok]
+
+
+POSTING = "shingle long, key long, place int, n int"
+
+
+def _posting(shingle, key, place, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(key, pa.int64()), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], names=["shingle", "key", "place", "n"])
+
+
+def posting_rows(batches: Iterator[pa.RecordBatch], size: int, filter=None) -> Iterator[pa.RecordBatch]:
+    """The shingles of (key, text) rows; with a filter only those that its bitmap has."""
+    bits = None if filter is None else _bitmap(filter)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(known.intersection(words_of(text)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-
-def prefix_index(items: list[tuple[str, list[str]]], counts: dict[str, int], least: int) -> dict[str, list[tuple[int, int]]]:
-    """For each word that is the rarest of some shingle: (item, place of the word)."""
-    places: dict[str, set[tuple[int, int]]] = defaultdict(set)
-    for k, (_, words) in enumerate(items):
-        for a in range(len(words) - least + 1):
-            at = min(range(a, a + least), key=lambda i: (counts.get(words[i], 0), words[i], i))
-            places[words[at]].add((k, at))
-    return {w: sorted(p) for w, p in places.items() if counts.get(w, 0)}
-
-
-def longest_runs(doc: list[str], items: list[tuple[str, list[str]]], index: dict[str, list[tuple[int, int]]], least: int) -> dict[int, int]:
-    """For each item with at least `least` consecutive words in the document: the most consecutive words."""
-    best: dict[int, int] = {}
-    n = len(doc)
-    if n < least or index.keys().isdisjoint(doc):
-        return best
-    seen: dict[tuple[int, int], int] = {}  # (item, diagonal): where the last match on it ended
-    for d, word in enumerate(doc):
-        for k, at in index.get(word, ()):
-            item = items[k][1]
-            if min(d, at) + min(n - d, len(item) - at) < least or seen.get((k, d - at), -1) > d:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for s, text, place, n in shingle_rows(batch.column(1).to_pylist(), size):
+            if bits is not None:
+                cell = (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                ok = (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(np.bool_)
+                s, text, place, n = s[ok], text[ok], place[ok], n[ok]
+            if len(s):
+                yield _posting(s, keys[text], place, n)
+
+
+def bitmap_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, bits) of distinct (slice, cell) rows that come ordered by slice."""
+    at, bits = -1, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], names=["slice", "bits"])
+
+    for batch in batches:
+        s, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(s, prepend=-1)).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(s)]):
+            if s[i] != at:
+                if bits is not None:
+                    yield done()
+                at, bits = int(s[i]), np.zeros(1 << SLICE_BITS, np.uint8)
+            bits[cell[i:j]] = 1
+    if bits is not None:
+        yield done()
+
+
+def _bitmap(broadcast) -> np.ndarray:
+    """The dense bitmap, unpacked once in each Python worker."""
+    dense = getattr(broadcast, "dense", None)
+    if dense is None:
+        dense = np.zeros(1 << CELL_BITS - 3, np.uint8)
+        part = 1 << SLICE_BITS - 3
+        for s, bits in broadcast.value:
+            dense[s * part : (s + 1) * part] = np.frombuffer(zlib.decompress(bits), np.uint8)
+        broadcast.dense = dense
+    return dense
+
+
+def rarest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(key, place) of the rarest shingle of each window of `width` shingles that all occur; rows of (key, [(place, count)])."""
+    for batch in batches:
+        keys, places = [], []
+        for key, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at = np.fromiter((x["place"] for x in known), np.int64, len(known))
+            count = np.fromiter((x["n"] for x in known), np.int64, len(known))
+            order = np.argsort(at)
+            at, count = at[order], count[order]
+            if len(at) < width:
                 continue
-            a = 0
-            while a < min(d, at) and doc[d - a - 1] == item[at - a - 1]:
-                a += 1
-            b = 1
-            while d + b < n and at + b < len(item) and doc[d + b] == item[at + b]:
-                b += 1
-            seen[k, d - at] = d + b
-            if a + b >= least:
-                best[k] = max(best.get(k, 0), a + b)
-    return best
-
-
-def leak_rows(batches: Iterator[pa.RecordBatch], block, least: int) -> Iterator[pa.RecordBatch]:
-    items, index = block.value
+            whole = np.flatnonzero(at[width - 1 :] - at[: len(at) - width + 1] == width - 1)
+            if len(whole):
+                least = np.lib.stride_tricks.sliding_window_view(count, width)[whole].argmin(axis=1)
+                chosen = np.unique(at[whole + least])
+                keys.append(np.full(len(chosen), key, np.int64))
+                places.append(chosen.astype(np.int32))
+        cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+        yield pa.RecordBatch.from_arrays([cat(keys, pa.int64()), cat(places, pa.int32())], names=["key", "place"])
+
+
+def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, item, shift, words) for rows of (doc_id, text, [(item, shift, words of the item)]): the item-sized windows of a document."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
     for batch in batches:
-        out = [(doc, items[k][0], run, len(items[k][1])) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, run in longest_runs(words_of(text), items, index, least).items()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "run_words", "item_words"])
+        out: list[tuple] = []
+        for doc, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+            words = words_of(text)
+            out += [(doc, x["item"], x["shift"], words[max(0, x["shift"]) : max(0, x["shift"] + x["n_item"])]) for x in places]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["doc_id", "item", "shift", "words"])
 
 
-def item_blocks(items: DataFrame, least: int) -> Iterator[list[tuple[str, list[str]]]]:
-    block: list[tuple[str, list[str]]] = []
-    size = 0
-    for row in items.select(F.col("item_id"), F.col("text")).distinct().toLocalIterator():
-        words = words_of(row.text)
-        if len(words) < least or row.item_id is None:
-            continue
-        if size + len(words) > BLOCK_WORDS and block:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, words))
-        size += len(words)
-    if block:
-        yield block
+def longest_run(window: list[str], item: list[str], shift: int, least: int) -> int:
+    """The most consecutive words that a window and an item share at one shift; 0 for fewer than `least`."""
+    own = item[max(0, -shift) :]
+    best = run = 0
+    for a, b in zip(window, own):
+        run = run + 1 if a == b else 0
+        best = max(best, run)
+    return best if best >= least else 0
+
+
+def run_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+    for batch in batches:
+        out = []
+        for doc, item_id, shift, window, text in zip(*(c.to_pylist() for c in batch.columns)):
+            item = words_of(text)
+            if run := longest_run(window, item, shift, least):
+                out.append((doc, item_id, run, len(item)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "run_words", "item_words"])
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, run_words, item_words): documents with `least` or more consecutive words of an item.
+    """(doc_id, item_id, run_words, item_words): documents with `least` or more consecutive words of an item, and the most of them.
 
-    Null and empty texts and items under `least` words leak nothing; equal rows count once.
+    Null and empty texts and items under `least` words leak nothing; equal rows count once, and rows with a null id are left out.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * least - 1))
-    found = spark.createDataFrame([], "doc_id long, item_id string, run_words int, item_words int")
-    for block in item_blocks(items, least):
-        vocabulary = spark.sparkContext.broadcast(frozenset(w for _, words in block for w in words))
-        counted = docs.select("text").mapInArrow(lambda b, v=vocabulary: count_rows(b, v), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = {r.word: r.n for r in counted.collect()}  # at most the words of one block
-        shared = spark.sparkContext.broadcast((block, prefix_index(block, counts, least)))
-        found = found.unionByName(docs.mapInArrow(lambda b, s=shared: leak_rows(b, s, least), found.schema))
-    return found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"))
+    size = min(SHINGLE, least)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * least - 1))
+    held = items.where(F.col("item_id").isNotNull() & (F.length("text") >= 2 * least - 1)).select("item_id", "text").distinct()
+    held = materialize(held.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text"), "items")
+    own = materialize(held.select("item", "text").mapInArrow(lambda b: posting_rows(b, size), POSTING), "shingles").withColumnRenamed("key", "item").withColumnRenamed("n", "n_item")
+    cell = F.shiftrightunsigned("shingle", 64 - CELL_BITS)
+    cells = own.select(F.shiftright(cell, SLICE_BITS).cast("int").alias("slice"), cell.bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).cast("int").alias("cell")).distinct()
+    # at most 2**(CELL_BITS - SLICE_BITS) rows of 2**(SLICE_BITS - 3) bytes
+    slices = cells.repartition("slice").sortWithinPartitions("slice").mapInArrow(bitmap_slices, "slice int, bits binary").collect()
+    filter = spark.sparkContext.broadcast([(r.slice, bytes(r.bits)) for r in slices])
+    posted = docs.mapInArrow(lambda b: posting_rows(b, size, filter), POSTING).toDF("shingle", "doc_id", "place_doc", "n_doc")
+    posted = materialize(posted, "postings")
+    known = own.select("shingle").distinct()
+    counts = materialize(posted.groupBy("shingle").agg(F.count("*").alias("n")).join(known, "shingle", "left_semi"), "counts")
+    release(spark)
+    listed = own.join(counts, "shingle").groupBy("item").agg(F.collect_list(F.struct("place", "n")).alias("known"))
+    chosen = listed.mapInArrow(lambda b: rarest(b, least - size + 1), "item long, place int")
+    index = own.join(chosen, ["item", "place"])
+    hot = materialize(counts.where(F.col("n") >= HOT).select("shingle", F.lit(True).alias("hot")), "hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "place_doc"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))
+    met = posted.join(hot, "shingle", "left").withColumn("salt", salt).drop("hot").join(index.join(hot, "shingle", "left").withColumn("salt", F.explode(salts)).drop("hot"), ["shingle", "salt"])
+    room = F.least("place_doc", "place") + F.least(F.col("n_doc") - F.col("place_doc"), F.col("n_item") - F.col("place"))
+    near = met.where(room >= least).select("doc_id", "item", (F.col("place_doc") - F.col("place")).cast("long").alias("shift"), "n_item").distinct()
+    near = materialize(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift", "n_item")).alias("places")), "candidates")
+    release(spark)
+    windows = docs.join(near, "doc_id").select("doc_id", "text", "places").mapInArrow(window_rows, "doc_id long, item long, shift long, words array<string>")
+    pairs = windows.join(held, "item").select("doc_id", "item_id", "shift", "words", "text")
+    runs = pairs.mapInArrow(lambda b: run_rows(b, least), "doc_id long, item_id string, run_words int, item_words int")
+    return runs.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"))

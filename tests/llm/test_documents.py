@@ -42,9 +42,9 @@ def brute_leaks(docs, items, least):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 60])
-def test_leaks(rows, monkeypatch, block):
-    monkeypatch.setattr(leak, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_leaks(rows, monkeypatch, hot):
+    monkeypatch.setattr(leak, "HOT", hot)
     rng = random.Random(4)
     words = ["Der", "Straße", "x_1", "the", "the", "a", "b", "c", "λ"]
     items = [(f"i{k}", " ".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(20)]
@@ -62,6 +62,20 @@ def test_leaks(rows, monkeypatch, block):
     assert not leak.leaks(rows([], "doc_id long, text string"), rows(items, "item_id string, text string"), 6).count()
 
 
+def test_word_hashes_follow_the_words():
+    rng = random.Random(5)
+    pool = "aZéßẞİıŉǰΐﬁ_1٣ \n-e\u0301\u0307中文🙂Σςσ"
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(300)] + ["", "a" * 3_000_000]
+    seen = {}
+    for first, h, at in leak.word_hashes(texts):
+        for k in range(len(at) - 1):
+            words = leak.words_of(texts[first + k])
+            assert len(words) == at[k + 1] - at[k]
+            for w, x in zip(words, h[at[k] : at[k + 1]].tolist()):
+                assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
 def prose(rng):
     words = "the parser reads every header before another branch drops a small buffer near each open record".split()
     return " ".join(f"{' '.join(rng.choices(words, k=rng.randint(6, 12))).capitalize()}." for _ in range(rng.randint(3, 7)))
