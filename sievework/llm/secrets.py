@@ -1,9 +1,10 @@
 """Credentials embedded in source code: where they begin, and the text with them redacted.
 
-Candidates are quoted strings, bare values of configuration lines and long tokens. Each gets the Shannon entropy of its
-alphabet (hexadecimal, alphanumeric, base 64, any); it is a credential if that exceeds a threshold that falls with its length
-and is lower beside a name that calls it one. Digests, identifiers, references, plain words and placeholders are excluded.
-Private key blocks, addresses with a password, authorization headers and tokens of fixed format are credentials by their form.
+Candidates are quoted strings, values of configuration lines and of connection strings, and long tokens. Each gets the Shannon
+entropy of its alphabet (hexadecimal, alphanumeric, base 64, any); it is a credential if that exceeds a threshold that falls
+with its length and is lower beside a name that calls it one. Digests, identifiers, references, plain words and placeholders
+are excluded. Passwords of addresses, authorization headers and tokens of fixed format are found by their form; they too must
+pass the tests of placeholders and entropy. Of a private key block the opener counts only with key material behind it.
 """
 
 from __future__ import annotations
@@ -29,8 +30,13 @@ _NAME_CHARS = re.compile(r"[\w.\-]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _CONFIG = {"env", "properties", "yaml", "yml", "ini", "cfg", "conf", "toml"}
 
-_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----.*?(?:-----END \1-----|\Z)", re.S)
+_OPENER = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+_PUBLIC_BLOCK = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PRIVATE)([A-Z0-9 ]+)-----(?:[A-Za-z0-9+/=\s\"',:+*#\\-]|//)*?-----END \1-----")
+#: What may stand between the lines of a key: line ends, also written as escapes, comment marks, quotes, string joins.
+_KEY_GAP = re.compile(r"(?:\\[nrt]|\\?\r?\n|[ \t\"'+,;.|>)(]|(?<=[\s\"'])(?://+|\*|#+|--|/\*)(?=[ \t]|$))*", re.M)
+_KEY_LINE = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset)(?::| :)[^\n\\\"']*|(?:[A-Za-z0-9+/]|\\/)+={0,2}|=[A-Za-z0-9+/]{4}")
+#: Fewest characters of a line that is key material without an END line behind it.
+KEY_LINE = 24
 _ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"'<>]*:([^\s@\"'<>/]+)@(?=[A-Za-z0-9\[])")
 _FORMATS = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{22,}|glpat-[\w\-]{16,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|npm_[A-Za-z0-9]{20,}"
@@ -48,7 +54,15 @@ _XML_VALUE = re.compile(r"[\"']\s+value\s*=\s*\"([^\"\n]*)\"")
 _XML_TEXT = re.compile(r">([^<\s][^<\n]*)</")
 _COMMENT_NAME = re.compile(r"(?://|/\*|#|--)\s*([A-Za-z_][\w.\-]*)\s*(?:\*/)?\s*$")
 
+_BASE64 = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}\Z")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+\Z")
+_QUERY = re.compile(r"=([^\s\"'&;,<>()]+)")
+#: Values of free quoted strings: no white space, brackets or escapes, which formats, patterns and paths have.
+_FREE_QUOTED = re.compile(r"[^\s\"'\\(){}\[\]<>|`\x00-\x1f]{12,}\Z")
+#: Lengths of hexadecimal digests and identifiers.
+_DIGEST_SIZES = (32, 40, 56, 64, 96, 128)
+#: Words by which a text of several words is a sentence, not a pass phrase.
+_SENTENCE = re.compile(r"(?i)\b(?:must|should|be|is|are|the|your|you|an?|at|of|for|to|not|enter|invalid|incorrect|wrong|please|required|has|have|in|on|with|from|or)\b|[.!?:]\s*\Z|%|\{")
 _UUID = re.compile(r"\{?[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\}?\Z")
 _DIGEST = re.compile(r"(?i)(?:sha-?\d+|md5|blake2?[bs]?|crc32)[:\-=]")
 _PLACEHOLDER = re.compile(r"(?i)<[^>]*>?|.*\$[\{\(]|.*\{\{|.*%\(\w+\)s|%s\Z|\{\w*\}|(.)\1*\Z|x{4,}|\*{3,}|.*(?:your|change.?me|example|placeholder|dummy|sample|redacted|replace|insert|todo|fixme|test.?only)[\W_]|(?:changeme|placeholder|dummy|example|redacted|secret|password|passwd|token|none|null|nil|true|false|undefined|n/?a|tbd|todo)\Z|\.\.\.")
@@ -69,6 +83,8 @@ def threshold(text: str, named: bool) -> float:
         bits, share = 4.0, 0.72
     elif text.isalnum():
         bits, share = 5.95, 0.78
+    elif _BASE64.match(text):
+        bits, share = 6.0, 0.74
     else:
         bits, share = 6.3, 0.74
     return min(bits, math.log2(n)) * share * (0.9 if named else 1.0) if n > 1 else 99.0
@@ -102,8 +118,19 @@ def mixed(value: str) -> bool:
     return switches >= len(value) // 3
 
 
-def named_secret(value: str) -> bool:
-    """Whether a value beside a credential's name is one: literal, not plain words, and of enough entropy for its length."""
+def phrase(value: str) -> bool:
+    """Whether a text of several words is a pass phrase: four words or more, with a digit or a sign among them, and no sentence."""
+    words = value.split()
+    return len(words) >= 4 and any(not w.isalpha() for w in words) and all(w.isalnum() for w in words) and not _SENTENCE.search(value) and entropy(value) >= 3.0
+
+
+def named_secret(value: str, several: bool = False) -> bool:
+    """Whether a value beside a credential's name is one: literal, not plain words, and of enough entropy for its length.
+
+    several: whether it may have several words, as pass phrases have.
+    """
+    if several and " " in value.strip():
+        return phrase(value.strip())
     if len(value) < 6 or " " in value.strip() or excluded(value) or _UUID.match(value) or _DIGEST.match(value):
         return False
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
@@ -130,9 +157,64 @@ def free_secret(value: str) -> bool:
     return mixed(body) and entropy(value) >= threshold(value, False)
 
 
+def formed_secret(value: str) -> bool:
+    """Whether a value of a credential's form is one: no placeholder, and random enough behind the form's prefix."""
+    body = re.sub(r"^(?:AKIA|ASIA|AIza|SG\.|gh[pousr]_|github_pat_|glpat-|npm_|xox[a-z]-|[a-z]{2,4}_(?:live|test|prod)_)", "", value)
+    upper = value.upper()
+    if "EXAMPLE" in upper or "PLACEHOLDER" in upper or re.search(r"(.)\1{5}", body) or re.search(r"(?i)x{4,}|your[_-]|1234567890|abcdefghij", body):
+        return False
+    return entropy(body) >= 0.85 * threshold(body, True)
+
+
+def quoted_secret(value: str) -> bool:
+    """Whether a quoted string without a name is a credential: all kinds of characters, mixed as at random, and signs among them."""
+    if not _FREE_QUOTED.match(value) or excluded(value) or _UUID.match(value) or _DIGEST.match(value):
+        return False
+    if _HEX.match(value):
+        body = value.removeprefix("0x")
+        return len(body) >= 24 and len(body) not in _DIGEST_SIZES and not body.isdigit() and (body.islower() or body.isupper()) and entropy(body) >= threshold(body, False)
+    upper, lower, digits = (sum(map(f, value)) for f in (str.isupper, str.islower, str.isdigit))
+    signs = len(value) - upper - lower - digits
+    if min(upper, lower, digits) < 2 or signs < 2 or "://" in value or re.search(r"%[-+0-9.]*[sdifxXuclr]\b|[=&?]\w+=|^[\w.]+@|\.\w{2,4}\Z", value):
+        return False
+    words = re.findall(r"[A-Za-z]+", value)
+    return max(map(len, words)) <= 6 and mixed(value) and entropy(value) >= threshold(value, False)
+
+
 Span = tuple[int, int]
 
 
+def private_key(text: str, begin: int, end: int, label: str) -> tuple[list[Span], int] | None:
+    """The spans of the key material behind an opener at begin..end, and where the block ends; None for an opener alone.
+
+    The block goes on as long as lines of key material follow, whatever marks and quotes stand between them. Without its END
+    line it must hold a line of KEY_LINE characters or more.
+    """
+    closing = f"-----END {label}-----"
+    spans: list[Span] = []
+    at = end
+    while True:
+        gap = _KEY_GAP.match(text, at).end()
+        if text.startswith(closing, gap):
+            return (spans, gap + len(closing)) if spans else None
+        m = _KEY_LINE.match(text, gap)
+        if not m or m.end() == gap:
+            break
+        body = m.group(0)
+        lone = ":" not in body and len(body) < KEY_LINE and body.isalpha() and gap == at
+        if lone:
+            break
+        if ":" not in body and body != REDACTED:
+            spans.append(m.span())
+        at = m.end()
+    # without an END line only whole lines count: what follows may be code
+    sure = [k for k, (a, b) in enumerate(spans) if b - a >= KEY_LINE and mixed(text[a:b])]
+    last = sure[-1] if sure else -1
+    while 0 <= last < len(spans) - 1 and mixed(body := text[slice(*spans[last + 1])]) and len(body) >= 8:
+        last += 1
+    return (spans[: last + 1], spans[last][1]) if sure else None
+
+
 def _values_after(text: str, end: int, stop: int, config: bool) -> Iterator[Span]:
     """Spans of the literal value that follows a name ending at `end`, on the same line."""
     if m := _XML_VALUE.match(text, end, stop):
@@ -180,19 +262,22 @@ def find(text: str, extension: str = "") -> list[list[Span]]:
             found.append(parts)
 
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            if _PRIVATE.match(text, m.start()):
-                found.append([m.span()])
-            taken.append(m.span())
+        for m in _OPENER.finditer(text):
+            if key := private_key(text, m.start(), m.end(), m.group(1)):
+                found.append([(m.start(), m.start()), *key[0]])
+                taken.append((m.start(), key[1]))
+        # the material of public keys and certificates is none
+        taken += [m.span() for m in _PUBLIC_BLOCK.finditer(text)]
     if "://" in text:
         for m in _ADDRESS.finditer(text):
             if not excluded(m.group(1)):
                 add([m.span(1)])
     for m in _FORMATS.finditer(text):
-        add([m.span()])
+        if formed_secret(m.group(0)):
+            add([m.span()])
     if re.search("(?i)authorization", text):
         for m in _HEADER.finditer(text):
-            if not excluded(m.group(1)) and len(m.group(1)) >= 6 and (any(c.isdigit() for c in m.group(1)) or named_secret(m.group(1))):
+            if not excluded(m.group(1)) and len(m.group(1)) >= 6 and entropy(m.group(1)) >= 2.0 and (any(c.isdigit() for c in m.group(1)) or named_secret(m.group(1))):
                 add([m.span(1)])
     for m in _LOGIN.finditer(text):
         if _in_comment(text, m.start()) and named_secret(m.group(1)):
@@ -229,13 +314,19 @@ def find(text: str, extension: str = "") -> list[list[Span]]:
                             parts.insert(0, q.span(2))
                             quoted = quoted[: quoted.index(q) + 1]
         value = "".join(text[a:b] for a, b in parts)
-        if parts and named_secret(value):
+        if not parts and (m := _QUERY.match(text, begin + len(name), stop)) and begin and text[begin - 1] in ";\"'&?":
+            # a connection string or the query of an address
+            parts, value = [m.span(1)], m.group(1)
+        if parts and named_secret(value, name.lower().endswith(("pass", "word", "phrase", "passwd", "pwd"))):
             add(parts)
     for m in _JOINED.finditer(text):
         parts = [(p.start(2), p.end(2)) for p in _PIECE.finditer(m.group(0))]
         value = "".join(m.group(0)[a:b] for a, b in parts)
-        if _FORMATS.fullmatch(value) or free_secret(value) or (u := _ADDRESS.match(value)) and not excluded(u.group(1)):
+        if _FORMATS.fullmatch(value) and formed_secret(value) or free_secret(value) or (u := _ADDRESS.match(value)) and not excluded(u.group(1)):
             add([(m.start() + a, m.start() + b) for a, b in parts])
+    for m in _QUOTED.finditer(text):
+        if m.end(2) - m.start(2) >= 12 and quoted_secret(m.group(2)):
+            add([m.span(2)])
     for m in _LONG.finditer(text):
         if free_secret(m.group(0)):
             add([m.span()])
@@ -243,16 +334,10 @@ def find(text: str, extension: str = "") -> list[list[Span]]:
 
 
 def redact(text: str, secrets: list[list[Span]]) -> str:
-    """The text with each literal part replaced; quotes, line ends and everything else stay."""
+    """The text with each literal part replaced; quotes, line ends, the marks of key blocks and everything else stay."""
     out, at = [], 0
-    for a, b in sorted(s for parts in secrets for s in parts):
-        body = text[a:b]
-        if body.startswith("-----BEGIN"):
-            lines = body.split("\n")
-            body = "\n".join(x if x.lstrip(" /*#").startswith("-----") else re.sub(r"[A-Za-z0-9+=:,\-]{4,}(?:/[A-Za-z0-9+/=]*)?|[A-Za-z0-9+/=]{8,}", REDACTED, x) for x in lines)
-        else:
-            body = REDACTED
-        out += [text[at:a], body]
+    for a, b in sorted(s for parts in secrets for s in parts if s[0] < s[1]):
+        out += [text[at:a], REDACTED]
         at = b
     return "".join(out) + text[at:]
 
