@@ -2,7 +2,8 @@
 
 Every place where a piece may begin has a strength: the start of a member's line, a line after a blank one, a line start, a
 space, any character. A sparse table answers which cut is strongest in a window of permissible lengths (the rightmost of
-equals); the next piece steps back by the overlap, to the first line start in it where there is one.
+equals); the next piece steps back by the overlap, to the first line start in it where there is one. The natural boundaries of
+a text are the cuts of the greatest strength that the same table gives, window by window.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def strengths(text: str, language: str | None) -> np.ndarray:
     # a line after an empty one, if it is none itself
     empty = np.zeros(len(codes) + 1, np.bool_)
     lines = np.concatenate(([0], ends + 1))
-    ink = np.concatenate(([0], np.cumsum(~blank)))
+    ink = np.concatenate(([0], np.cumsum(~blank, dtype=np.int32)))
     stop = np.append(ends, len(codes))
     empty[lines] = ink[stop] == ink[np.minimum(lines, len(codes))]
     after = lines[1:][empty[lines[:-1]] & ~empty[lines[1:]]]
@@ -131,22 +132,45 @@ def strengths(text: str, language: str | None) -> np.ndarray:
 
 
 class RangeMaximum:
-    """Sparse table: the place of the greatest value of any window up to a length, the rightmost of equals."""
+    """Sparse table: the place of the greatest value of any window up to a length, the rightmost of equals.
+
+    It is built by blocks as windows ask for them, and only the last block is held, so its size does not grow with the text.
+    """
 
     def __init__(self, values: np.ndarray, longest: int):
-        self.values, self.levels = values, [np.arange(len(values))]
-        width = 1
-        while 2 * width <= min(longest, len(values)):
-            a, b = self.levels[-1][:-width], self.levels[-1][width:]
-            self.levels.append(np.where(values[b] >= values[a], b, a))
+        self.values, self.longest = values, min(longest, len(values))
+        self.block = max(4 * longest, 1 << 14)
+        self.at, self.levels = -1, []
+
+    def _build(self, at: int) -> None:
+        self.at, begin = at, at * self.block
+        v = self.values[begin : begin + self.block + self.longest]
+        levels, width = [np.arange(len(v), dtype=np.int32)], 1
+        while 2 * width <= min(self.longest, len(v)):
+            a, b = levels[-1][:-width], levels[-1][width:]
+            levels.append(np.where(v[b] >= v[a], b, a))
             width *= 2
+        self.levels = levels
 
     def best(self, begin: int, end: int) -> int:
-        """Over begin <= place < end."""
-        k = (end - begin).bit_length() - 1
-        a, b = int(self.levels[k][begin]), int(self.levels[k][end - (1 << k)])
+        """Over begin <= place < end, of at most `longest` places."""
+        if begin // self.block != self.at:
+            self._build(begin // self.block)
+        k, base = (end - begin).bit_length() - 1, self.at * self.block
+        a, b = int(self.levels[k][begin - base]) + base, int(self.levels[k][end - (1 << k) - base]) + base
         return b if self.values[b] >= self.values[a] else a
 
+    def natural(self, strength: int = MEMBER) -> list[int]:
+        """The places of all cuts of the greatest strength there is: in each window the strongest, then the strongest before it."""
+        out: list[int] = []
+        for begin in range(0, len(self.values), self.longest or 1):
+            end, own = min(begin + self.longest, len(self.values)), []
+            while end > begin and self.values[at := self.best(begin, end)] >= strength:
+                own.append(at)
+                end = at
+            out += own[::-1]
+        return out
+
 
 def cut(text: str, language: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(begin, end) of pieces of at most `limit` characters that cover the text, neighbours overlapping by up to `overlap`."""
@@ -178,7 +202,7 @@ def found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, numbers = [], []
         for key, language, start, text in _blocks(batch):
-            places = np.flatnonzero(strengths(text, language) == MEMBER)
+            places = RangeMaximum(strengths(text, language), LIMIT).natural()
             ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
             lines = np.unique(np.searchsorted(ends, places)) + (start if start is not None else 1)
             keys += [key] * len(lines)

@@ -97,7 +97,7 @@ def test_members():
 
 
 def test_language():
-    assert [language_of(*x) for x in (("PYTHON", "a.c"), (None, "x/y.HPP"), ("", "a.json"), (None, "a.yaml"), (None, None), ("cobol", "a.py"), (None, "py"))] == ["python", "c++", "json", None, None, None, None]
+    assert [language_of(*x) for x in (("PYTHON", "a.c"), (None, "x/y.HPP"), ("", "a.json"), (None, "a.yaml"), (None, None), ("cobol", "a.py"), (None, "py"))] == ["python", "c++", "json", None, None, "python", None]
 
 
 @settings(max_examples=80, deadline=None)
@@ -121,6 +121,18 @@ def test_range_maximum():
             assert t.best(a, b) == max(range(a, b), key=lambda i: (v[i], i))
 
 
+def test_range_maximum_by_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 6, 50_000).astype(np.int8)
+    t = pieces.RangeMaximum(v, 100)
+    for a in (*range(16_300, 16_500, 7), 0, 49_950, 3):
+        b = min(len(v), a + 1 + a % 100)
+        assert t.best(a, b) == max(range(a, b), key=lambda i: (v[i], i))
+    assert t.natural(5) == np.flatnonzero(v == 5).tolist() and pieces.RangeMaximum(v[:0], 100).natural() == []
+
+
 def test_blocks(rows):
     big = JAVA.replace("return null;", "return null;\r\n        // " + "x" * 5000)
     data = [(1, "a.java", "Java", 11, big), (1, "a.java", "Java", 11, big), (2, "b.json", None, 1, "[" + "1," * 3000 + "1]"), (3, "c.py", None, None, PY), (4, None, None, 1, None), (5, "d.py", "python", None, "x" * 9000)]
