@@ -1,35 +1,56 @@
 """Texts cut off by field limits or in transfer.
 
-A backward character n-gram model over a reduced alphabet (runs of lower case, upper case, digits and other letters count as one
-character each) learns from all lines of all texts, per language and kind of line, how often a line stops after a context and
-how often it goes on. A complete text ends where lines stop; a cut one ends anywhere. The log-odds of a text compare how
-often its final context occurs anywhere with how often lines stop there, each in its share; above a threshold per language
-the text is cut. Length statistics of each source tell at which length, in characters or bytes, it cuts, and
-whether it marks its cuts; a marked cut is judged by the text before the mark. The reduced alphabet bounds the model's size.
+A backward character n-gram model learns from all lines of all texts, per language and kind of line, at which share of the
+places with a context a line stops. The context of a place is what stands before it: the last five characters, the last three,
+and the last three signs of a reduced alphabet in which runs of lower case, upper case, digits and other letters are one sign each;
+longer contexts are smoothed by shorter ones. A complete text ends where lines stop, a cut one ends anywhere, so the log-odds
+of a text are those of its final context among all places against that context among all stops. Above a threshold the
+text is cut. The thresholds are fitted per language, on the column at hand: every line that is followed by another tells how
+a complete end scores, and how the same line scores when it is cut at one of its places.
+
+Contexts are hashed into a table of fixed size, which bounds the model whatever the corpus. Length statistics of each source
+tell at which length, in characters or bytes, it cuts, and whether it marks its cuts; a marked cut is judged by the text before the mark.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
+from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+from ._items import mix
+
 #: The symbols of the reduced alphabet. a: lower case, A: upper case, 0: digits, Z: letters without case, ^: line start, ~: other.
 SYMBOLS = "^aA0Z .,;:!?\"'`()[]{}<>/-_#|*=+~R"
 _CODE = {c: k for k, c in enumerate(SYMBOLS)}
 N = len(SYMBOLS)
 KINDS = ("prose", "list", "quote", "heading", "table", "signature", "field", "address", "code", "fence")
 LANGUAGES = ("en", "de", "es", "fr", "zh", "other")
-#: Log-odds of a context's share of all places over its share of all stops above which a text is cut, per language.
-THRESHOLDS = dict.fromkeys(LANGUAGES, 1.0)
-#: Fewest events of a context before a shorter one is used.
-LEAST_EVENTS = 12
+#: The table of contexts has 2**CELL_BITS cells of two counts: this bounds what is broadcast (16 MB).
+CELL_BITS = 22
+SLICE_BITS = 16
+#: Places of a context that weigh as much as what shorter contexts say.
+SMOOTHING = 10.0
+#: How many missed cuts a false alarm weighs when a threshold is fitted, and between which log-odds it may lie.
+FALSE_ALARM = 5.0
+LEAST_THRESHOLD, MOST_THRESHOLD = 0.0, 2.0
+#: Complete ends that a language needs for a threshold of its own; others have that of all languages together.
+LEAST_ENDS = 200
+#: Most characters of a title, which is no sentence and ends as it likes.
+TITLE = 120
+#: Log-odds are counted in bins of this width.
+BIN = 0.05
 #: Added to the log-odds of a text as long as its source's limit.
 AT_LIMIT = 0.5
 MARKS = ("...", "…", "[...]", "[…]", "(...)")
@@ -56,18 +77,12 @@ class _Shape(dict):
         return s
 
 
-_SHAPE = _Shape()
 _HAN = re.compile("[㐀-鿿]")
-_RUN = re.compile(r"([aA0Z ])\1+")
 _FIELD = re.compile(r"[A-Z][\w\-]*(?: [\w\-]+)?: \S")
 _FENCE = re.compile(r"```+|^\s*~~~+")
 _ADDRESS_END = re.compile(r"[a-z][a-z0-9+.\-]*://\S*$", re.I)
 
 
-def shape(line: str) -> str:
-    return _RUN.sub(r"\1", line.translate(_SHAPE))
-
-
 def language(lang: str | None, text: str) -> str:
     """The language of a line: the column where it names a known one, but Chinese by script alone."""
     name = (lang or "").strip().lower()[:2]
@@ -82,15 +97,21 @@ def open_fence(text: str) -> bool:
 
 
 def lines_of(text: str) -> list[tuple[str, str]]:
-    """(kind, line) of the lines with ink; the first line of several is left out, it may be a title."""
-    out: list[tuple[str, str]] = []
+    """(kind, line) of the lines with ink."""
+    return [line[:2] for line in spaced_lines(text)]
+
+
+def spaced_lines(text: str) -> list[tuple[str, str, bool]]:
+    """(kind, line, whether a blank line stands before it) of the lines with ink."""
+    out: list[tuple[str, str, bool]] = []
+    gap = False
     code, before = False, ""
     lines = text.split("\n")
     for k, line in enumerate(lines):
         line = line.rstrip()
         bare = line.lstrip()
         if not bare:
-            before = before if code else ""
+            before, gap = before if code else "", True
             continue
         marks = _FENCE.findall(line)
         was, code = code, code != (len(marks) % 2 == 1)
@@ -115,112 +136,241 @@ def lines_of(text: str) -> list[tuple[str, str]]:
             kind = "field"
         else:
             kind = "prose"
-        out.append((kind, line))
-        before = bare
+        out.append((kind, line, gap))
+        before, gap = bare, False
     return out
 
 
-class Counts:
-    """Stops and goings-on after each context of three symbols, by language and kind of line."""
+@cache
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """By code point below 2**16: the sign of the reduced alphabet; the folded character, digits as 0. Made once in each process."""
+    shape = _Shape()
+    signs = np.array([_CODE[shape[c]] for c in range(1 << 16)], np.uint8)
+    lower = [chr(c).lower() for c in range(1 << 16)]
+    return signs, np.array([48 if signs[c] == _CODE["0"] else ord(x) if len(x) == 1 else c for c, x in enumerate(lower)], np.uint32)
 
-    def __init__(self) -> None:
-        self.stop: dict[tuple[str, str], np.ndarray] = {}
-        self.on: dict[tuple[str, str], np.ndarray] = {}
 
-    def add(self, key: tuple[str, str], shapes: list[str]) -> None:
-        flat = np.frombuffer(("^^" + "\n^^".join(shapes) + "\n").encode("ascii"), np.uint8)
-        code = _BYTES[flat]
-        tri = (code[:-3].astype(np.int64) * N + code[1:-2]) * N + code[2:-1]
-        inside = (flat[:-3] != 10) & (flat[1:-2] != 10) & (flat[2:-1] != 10) & (flat[2:-1] != ord("^"))
-        ends = flat[3:] == 10
-        for table, mask in ((self.stop, inside & ends), (self.on, inside & ~ends)):
-            n = np.bincount(tri[mask], minlength=N**3)
-            table[key] = table[key] + n if key in table else n
+def _seed(*parts: object) -> np.uint64:
+    return np.uint64(int.from_bytes(blake2b(repr(parts).encode(), digest_size=8).digest(), "little"))
 
 
-_BYTES = np.zeros(128, np.uint8)
-for _c, _k in _CODE.items():
-    _BYTES[ord(_c)] = _k
+_M = np.uint64(0x9E3779B97F4A7C15)
+_LEVELS = 6
 
 
-def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts()
+def contexts(lang: str, kind: str, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells by level and place, whether the line stops behind the place, offsets of the lines) over all characters of lines.
+
+    Level 0 is the language alone, then come the contexts from the shortest; the first two of them are those of all languages.
+    """
+    signs, folded = _alphabet()
+    codes = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(codes, 0xFFFF)
+    far = codes > 0xFFFF
+    sign = np.where(far, np.where((codes >= 0x20000) & (codes < 0x33480), _CODE["Z"], _CODE["~"]), signs[low]).astype(np.int64)
+    char = np.where(far, codes, folded[low]).astype(np.uint64)
+    inside = codes != 10
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    at = np.concatenate(([0], np.cumsum(size)))
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    stops = np.zeros(at[-1], np.bool_)
+    stops[at[1:][size > 0] - 1] = True
+    # runs of one sign count once
+    sign, char = sign[inside], char[inside]
+    runs = np.isin(sign, [_CODE[c] for c in "aA0Z "])
+    new = (np.diff(sign, prepend=-1) != 0) | ~runs | (place == 0)
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    own, opens = sign[first], place[first] == 0
+    before = np.where(opens, 0, np.concatenate(([0], own[:-1]))) if len(own) else own
+    second = np.where(opens | np.concatenate(([True], opens[:-1])), 0, np.concatenate(([0, 0], own))[: len(own)]) if len(own) else own
+    two = (before * N + own)[run].astype(np.uint64)
+    three = ((second * N + before) * N + own)[run].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h, letters = char.copy(), []
+        for k in range(1, 5):
+            h = h * _M + np.where(place >= k, np.concatenate((np.zeros(k, np.uint64), char[: max(0, len(char) - k)]))[: len(char)], np.uint64(2)) + np.uint64(1)
+            if k in (2, 4):
+                letters.append(h)
+        parts = ((np.zeros(len(char), np.uint64), (lang,)), (two, ("*", kind, 2)), (three, ("*", kind, 3)), (three, (lang, kind, 3)), (letters[0], (lang, kind, "c")), (letters[1], (lang, kind, "ccccc")))
+        return np.stack([(mix(h + _seed(*name)) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for h, name in parts]), stops, at
+
+
+def marked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], list[tuple[str, bool]]]]:
+    """Lines by (language, kind), each with whether another line follows; a title and lines that may be wrapped are no ends."""
     for batch in batches:
-        shapes: dict[tuple[str, str], list[str]] = defaultdict(list)
+        out: dict[tuple[str, str], list[tuple[str, bool]]] = defaultdict(list)
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = lines_of(text)
-            kinds = [kind for kind, _ in lines[1:]] + [""]
-            for k, (kind, line) in enumerate(lines):
-                # a line of running text before another of its kind may be wrapped: it is no stop
-                wrapped = kind in ("prose", "quote") and kinds[k] == kind
-                if k or len(lines) == 1:
-                    shapes[language(lang, line), kind].append(shape(line) + " " * wrapped)
-        for key, s in shapes.items():
-            counts.add(key, s)
-    out: list[list] = [[], [], [], [], []]
-    for key, on in counts.on.items():
-        stop = counts.stop[key]
-        for tri in np.flatnonzero(on + stop).tolist():
-            for col, x in zip(out, (*key, tri, int(stop[tri]), int(on[tri]))):
-                col.append(x)
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["language", "kind", "context", "stops", "goes_on"])
+            lines = spaced_lines(text)
+            after = [(kind, gap) for kind, _, gap in lines[1:]] + [("", True)]
+            for k, (kind, line, _) in enumerate(lines):
+                # a line of running text right before another of its kind may be wrapped: it is no stop
+                wrapped = kind in ("prose", "quote") and after[k] == (kind, False)
+                if k or len(lines) == 1 or len(line) > TITLE:
+                    out[language(lang, line), kind].append((line + " " * wrapped, k + 1 < len(lines) and not wrapped))
+        yield out
+
+
+def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and stops of the cells over one partition, as sparse slices."""
+    places, stops = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << CELL_BITS, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            np.add(places, np.bincount(np.concatenate([c.ravel() for c, _ in held]), minlength=1 << CELL_BITS), out=places)
+            np.add(stops, np.bincount(np.concatenate([c[:, s].ravel() for c, s in held]), minlength=1 << CELL_BITS), out=stops)
+        held.clear()
+        size = 0
+
+    for groups in marked_lines(batches):
+        for key, lines in groups.items():
+            cells, ends, _ = contexts(*key, [line for line, _ in lines])
+            held.append((cells, ends))
+            size += cells.size
+            if size > 1 << 23:
+                flush()
+    flush()
+    cells = np.flatnonzero(places)
+    slices = cells >> SLICE_BITS
+    cuts = np.flatnonzero(np.diff(slices, prepend=-1))
+    bounds = list(zip(cuts, [*cuts[1:], len(cells)]))
+    pack = lambda x: pa.array([x[i:j].tobytes() for i, j in bounds], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(slices[cuts].astype(np.int32)), pack((cells & ((1 << SLICE_BITS) - 1)).astype(np.uint16)), pack(places[cells]), pack(stops[cells])], names=["slice", "cells", "places", "stops"])
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    """Counts as two bytes: a thousand times their binary logarithm."""
+    return np.rint(np.log2(counts + 1.0) * 1000).astype(np.uint16)
+
+
+def slice_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole slices of the table from the parts of this partition, which come ordered by slice."""
+    at, total = -1, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(packed(total).tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+    for batch in batches:
+        for s, cells, places, stops in zip(*(c.to_pylist() for c in batch.columns)):
+            if s != at:
+                if total is not None:
+                    yield done()
+                at, total = s, np.zeros((2, 1 << SLICE_BITS), np.int64)
+            own = np.frombuffer(cells, np.uint16)
+            total[0, own] += np.frombuffer(places, np.int64)
+            total[1, own] += np.frombuffer(stops, np.int64)
+    if total is not None:
+        yield done()
 
 
 class Model:
-    """Counts by (language, kind, context of up to three symbols), and over all languages."""
-
-    def __init__(self, rows: list[tuple[str, str, int, int, int]]):
-        self.counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-        for lang, kind, tri, stops, on in rows:
-            a, b, c = SYMBOLS[tri // N // N], SYMBOLS[tri // N % N], SYMBOLS[tri % N]
-            for own in (lang, "*"):
-                for context in (a + b + c, b + c, c):
-                    n = self.counts[own, kind, context]
-                    n[0] += stops
-                    n[1] += on
-        self.counts = dict(self.counts)
-        self.totals: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for lang, _, _, stops, on in rows:
-            for own in (lang, "*"):
-                self.totals[own][0] += stops
-                self.totals[own][1] += on
-        self.totals = dict(self.totals)
-
-    def log_odds(self, lang: str, text: str) -> float:
-        """Of the text's last characters under texts cut anywhere over texts that end where lines stop."""
-        lines = lines_of(text)
-        if not lines:
-            return -math.inf
-        kind, line = lines[-1]
-        s = "^^" + shape(line)
-        for own in (lang, "*"):
-            for order in (3, 2, 1):
-                stops, on = self.counts.get((own, kind, s[-order:]), (0, 0))
-                if stops + on >= LEAST_EVENTS:
-                    all_stops, all_on = self.totals[own]
-                    return math.log((stops + on + 0.5) / (all_stops + all_on)) - math.log((stops + 0.5) / all_stops)
-        return 0.0
-
-
-def judge(text: str, lang: str | None, limits: tuple[int, int], model: Model) -> bool:
-    """Whether a text with ink was cut off; limits: its source's in characters and in bytes, 0 for none."""
-    at_limit = limits[0] and len(text) == limits[0] or limits[1] and limits[1] - 3 <= len(text.encode("utf-8", "surrogatepass")) <= limits[1] + 2
-    body = text.rstrip()
-    own = language(lang, body[body.rfind("\n") + 1 :])
-    if body.endswith("�") or open_fence(body):
-        return True
-    if at_limit:
-        for mark in MARKS:
-            if body.endswith(mark):
-                before = body[: -len(mark)]
-                return bool(before) and model.log_odds(own, before) + AT_LIMIT > THRESHOLDS[own]
-    return model.log_odds(own, body) + (AT_LIMIT if at_limit else 0.0) > THRESHOLDS[own]
+    """The table of contexts, and the thresholds by language."""
+
+    def __init__(self, slices: list[tuple[int, bytes]], thresholds: dict[str, float] | None = None):
+        self.slices, self.thresholds = slices, thresholds or {}
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.slices, self.thresholds
+
+    def __setstate__(self, state: tuple) -> None:
+        (self.slices, self.thresholds), self.table = state, None
+
+    def log_odds(self, cells: np.ndarray, own_stops: np.ndarray | int) -> np.ndarray:
+        """Of places by their cells, level by level: how much rarer their contexts are among stops than among all places.
+
+        The place itself was counted, as a stop where own_stops is 1; it is taken out, lest a text vouch for itself.
+        """
+        if self.table is None:
+            self.table = np.zeros((2, 1 << CELL_BITS), np.uint16)
+            for s, counts in self.slices:
+                self.table[:, s << SLICE_BITS : s + 1 << SLICE_BITS] = np.frombuffer(zlib.decompress(counts), np.uint16).reshape(2, -1)
+        places, stops = np.exp2(self.table[:, cells] / 1000.0) - 1
+        places, stops = np.maximum(places - 1, 0), np.maximum(stops - own_stops, 0)
+        base = (stops[0] + 0.5) / (places[0] + 1)
+        p = base
+        for k in range(1, _LEVELS):
+            p = (stops[k] + SMOOTHING * p) / (places[k] + SMOOTHING)
+        return np.log(base) - np.log(p)
+
+    def of_ends(self, ends: list[tuple[str, str, bool]]) -> np.ndarray:
+        """The log-odds of texts (language, text, whether it is whole) by their last lines; -inf without a line."""
+        out = np.full(len(ends), -math.inf)
+        groups: dict[tuple[str, str], list[tuple[int, str, bool]]] = defaultdict(list)
+        for k, (own, text, whole) in enumerate(ends):
+            if lines := lines_of(text):
+                groups[own, lines[-1][0]].append((k, lines[-1][1], whole))
+        for key, lines in groups.items():
+            cells, stops, _ = contexts(*key, [line for _, line, _ in lines])
+            out[[k for k, _, _ in lines]] = self.log_odds(cells[:, stops], np.array([whole for _, _, whole in lines], np.int64))
+        return out
+
+    def threshold(self, own: str) -> float:
+        return self.thresholds.get(own, self.thresholds.get("*", 1.0))
+
+
+def score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(language, cut, bin, n): how complete ends, and the same lines cut at one of their places, score."""
+    model, counts = shared.value, Counter()
+    for groups in marked_lines(batches):
+        for (lang, kind), lines in groups.items():
+            whole = [line for line, end in lines if end and len(line) >= 2]
+            if not whole:
+                continue
+            cells, stops, at = contexts(lang, kind, whole)
+            cut = np.array([a + crc32(x.encode("utf-8", "surrogatepass")) % (len(x) - 1) for a, x in zip(at.tolist(), whole)])
+            # a cut text ends where its last ink is
+            blank = np.array([whole[k][c - at[k]].isspace() for k, c in enumerate(cut.tolist())])
+            cut = cut[~blank]
+            for is_cut, places in ((False, np.flatnonzero(stops)), (True, cut)):
+                bins, n = np.unique(np.floor(model.log_odds(cells[:, places], int(not is_cut)) / BIN).astype(np.int64), return_counts=True)
+                for own in (lang, "*"):
+                    counts.update({(own, is_cut, b): k for b, k in zip(bins.tolist(), n.tolist())})
+    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.bool_()), pa.array([c[2] for c in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["language", "cut", "bin", "n"])
+
+
+def fitted(rows: list[tuple[str, bool, int, int]]) -> dict[str, float]:
+    """The threshold of each language with the least weighted share of false alarms and misses."""
+    out = {}
+    for own in {r[0] for r in rows}:
+        ends = np.array([(b, n) for lang, cut, b, n in rows if lang == own and not cut], np.int64).reshape(-1, 2)
+        cuts = np.array([(b, n) for lang, cut, b, n in rows if lang == own and cut], np.int64).reshape(-1, 2)
+        if ends[:, 1].sum() < LEAST_ENDS or not len(cuts):
+            continue
+        tried = np.arange(round(LEAST_THRESHOLD / BIN), round(MOST_THRESHOLD / BIN) + 1)
+        false = np.array([ends[ends[:, 0] >= t, 1].sum() for t in tried]) / ends[:, 1].sum()
+        missed = np.array([cuts[cuts[:, 0] < t, 1].sum() for t in tried]) / cuts[:, 1].sum()
+        out[own] = float(tried[np.argmin(FALSE_ALARM * false + missed)] * BIN)
+    return out
+
+
+def judge(texts: list[tuple[str, str | None, tuple[int, int]]], model: Model) -> list[bool]:
+    """Which texts (text with ink, language, limits of its source in characters and bytes, 0 for none) were cut off."""
+    out, asked = [False] * len(texts), []
+    for k, (text, lang, (chars, size)) in enumerate(texts):
+        at_limit = chars and len(text) == chars or size and size - 3 <= len(text.encode("utf-8", "surrogatepass")) <= size + 2
+        body = text.rstrip()
+        own = language(lang, body[body.rfind("\n") + 1 :])
+        if body.endswith("�") or open_fence(body):
+            out[k] = True
+            continue
+        mark = next((m for m in MARKS if body.endswith(m)), "") if at_limit else ""
+        body = body[: len(body) - len(mark)]
+        if body:
+            asked.append((k, own, body, not mark, AT_LIMIT if at_limit else 0.0))
+    scores = model.of_ends([row[1:4] for row in asked])
+    for (k, own, _, _, more), score in zip(asked, scores.tolist()):
+        out[k] = score + more > model.threshold(own)
+    return out
 
 
 def judge_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        out = [doc for doc, text, lang, a, b in zip(*(c.to_pylist() for c in batch.columns)) if text.strip() and judge(text, lang, (a or 0, b or 0), model)]
+        rows = [(doc, text, lang, (a or 0, b or 0)) for doc, text, lang, a, b in zip(*(c.to_pylist() for c in batch.columns)) if text.strip()]
+        out = [row[0] for row, cut in zip(rows, judge([row[1:] for row in rows], model)) if cut]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["doc_id"])
 
 
@@ -242,9 +392,18 @@ def cut_off(documents: DataFrame) -> DataFrame:
     """(doc_id): documents whose text was cut off. Distinct. Null, empty and blank texts are no cases; a null source has no limit."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), "text", "lang", "source").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S"))
-    rows = docs.select("text", "lang").mapInArrow(count_rows, "language string, kind string, context int, stops long, goes_on long").groupBy("language", "kind", "context").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"))
-    # at most languages x kinds x symbols**3 rows, whatever the corpus
-    model = spark.sparkContext.broadcast(Model([tuple(r) for r in rows.collect()]))
+    # a text counts once, under its least id: copies would vouch for each other's ends
+    digests = materialize(docs.select("doc_id", F.sha1("text").alias("digest")), "digests")
+    several = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    others = materialize(digests.join(several, "digest").where("doc_id <> first").select("doc_id").distinct(), "copies")
+    lines = docs.join(others, "doc_id", "left_anti").select("text", "lang")
+    parts = lines.mapInArrow(count_rows, "slice int, cells binary, places binary, stops binary")
+    summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(slice_sums, "slice int, counts binary")
+    # at most 2**(CELL_BITS - SLICE_BITS) slices of 2**(SLICE_BITS + 2) bytes
+    model = Model([(r.slice, bytes(r.counts)) for r in summed.collect()])
+    shared = spark.sparkContext.broadcast(model)
+    scores = lines.mapInArrow(lambda b: score_rows(b, shared), "language string, cut boolean, bin int, n long").groupBy("language", "cut", "bin").agg(F.sum("n").alias("n"))
+    model = spark.sparkContext.broadcast(Model(model.slices, fitted([tuple(r) for r in scores.collect()])))
     known = docs.join(limits(docs.where(F.col("source").isNotNull())), "source", "left")
     return known.select("doc_id", "text", "lang", "limit_chars", "limit_bytes").mapInArrow(lambda b: judge_rows(b, model), "doc_id long").distinct()
 

@@ -81,6 +81,27 @@ def prose(rng):
     return " ".join(f"{' '.join(rng.choices(words, k=rng.randint(6, 12))).capitalize()}." for _ in range(rng.randint(3, 7)))
 
 
+def test_contexts_keep_to_their_line():
+    import numpy as np
+
+    lines = ["a b", "", "Größe 12", "🙂中文 x", "ab"]
+    cells, stops, at = cutoff.contexts("en", "prose", lines)
+    assert stops.sum() == 4 and at.tolist() == [0, 3, 3, 11, 16, 18]
+    for k, line in enumerate(lines):
+        own, ends, _ = cutoff.contexts("en", "prose", [line])
+        assert (own == cells[:, at[k] : at[k + 1]]).all() and (ends == stops[at[k] : at[k + 1]]).all()
+    assert cutoff.contexts("en", "prose", [""])[0].shape == (6, 0)
+    other = cutoff.contexts("de", "prose", lines)[0]
+    assert (other[1:3] == cells[1:3]).all() and not np.array_equal(other[3], cells[3])
+
+
+def test_thresholds_are_fitted():
+    rows = [("en", False, -40, 1000), ("en", False, 5, 1), ("en", True, 30, 900), ("en", True, -50, 9), ("de", False, 0, 3), ("de", True, 9, 3)]
+    got = cutoff.fitted(rows)
+    assert list(got) == ["en"] and 6 * cutoff.BIN - 1e-9 <= got["en"] <= 30 * cutoff.BIN + 1e-9
+    assert cutoff.fitted([]) == {} and cutoff.Model([], got).threshold("de") == 1.0
+
+
 def test_cut_off(rows):
     rng = random.Random(9)
     data, cut = [], set()
