@@ -93,7 +93,7 @@ def language(lang: str | None, text: str) -> str:
 
 def open_fence(text: str) -> bool:
     """Whether a text stops inside fenced code; marks count wherever they stand in a line."""
-    return sum(len(_FENCE.findall(line)) for line in text.split("\n")) % 2 == 1
+    return ("```" in text or "~~~" in text) and sum(len(_FENCE.findall(line)) for line in text.split("\n")) % 2 == 1
 
 
 def lines_of(text: str) -> list[tuple[str, str]]:
@@ -113,7 +113,7 @@ def spaced_lines(text: str) -> list[tuple[str, str, bool]]:
         if not bare:
             before, gap = before if code else "", True
             continue
-        marks = _FENCE.findall(line)
+        marks = _FENCE.findall(line) if "```" in line or "~~~" in line else ()
         was, code = code, code != (len(marks) % 2 == 1)
         if marks and bare.startswith(("```", "~~~")):
             kind = "code" if code else "fence"
@@ -130,7 +130,7 @@ def spaced_lines(text: str) -> list[tuple[str, str, bool]]:
             kind = "quote"
         elif bare[:2] in ("- ", "* ", "+ ", "• ") or re.match(r"\d+[.)] ", bare):
             kind = "list"
-        elif _ADDRESS_END.search(line):
+        elif "://" in line and _ADDRESS_END.search(line.rsplit(None, 1)[-1]):
             kind = "address"
         elif _FIELD.match(bare) and len(bare) < 100:
             kind = "field"
@@ -154,45 +154,70 @@ def _seed(*parts: object) -> np.uint64:
     return np.uint64(int.from_bytes(blake2b(repr(parts).encode(), digest_size=8).digest(), "little"))
 
 
+_RUNS = np.zeros(256, np.bool_)
+_RUNS[[_CODE[c] for c in "aA0Z "]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 6
 
 
-def contexts(lang: str, kind: str, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells by level and place, whether the line stops behind the place, offsets of the lines) over all characters of lines.
-
-    Level 0 is the language alone, then come the contexts from the shortest; the first two of them are those of all languages.
-    """
-    signs, folded = _alphabet()
-    codes = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(codes, 0xFFFF)
-    far = codes > 0xFFFF
-    sign = np.where(far, np.where((codes >= 0x20000) & (codes < 0x33480), _CODE["Z"], _CODE["~"]), signs[low]).astype(np.int64)
-    char = np.where(far, codes, folded[low]).astype(np.uint64)
-    inside = codes != 10
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    at = np.concatenate(([0], np.cumsum(size)))
-    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
-    stops = np.zeros(at[-1], np.bool_)
-    stops[at[1:][size > 0] - 1] = True
-    # runs of one sign count once
-    sign, char = sign[inside], char[inside]
-    runs = np.isin(sign, [_CODE[c] for c in "aA0Z "])
-    new = (np.diff(sign, prepend=-1) != 0) | ~runs | (place == 0)
-    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    own, opens = sign[first], place[first] == 0
-    before = np.where(opens, 0, np.concatenate(([0], own[:-1]))) if len(own) else own
-    second = np.where(opens | np.concatenate(([True], opens[:-1])), 0, np.concatenate(([0, 0], own))[: len(own)]) if len(own) else own
-    two = (before * N + own)[run].astype(np.uint64)
-    three = ((second * N + before) * N + own)[run].astype(np.uint64)
+def _cells(contexts: np.ndarray, *name: object) -> np.ndarray:
+    """The cells of contexts of one level of one language and kind."""
     with np.errstate(over="ignore"):
-        h, letters = char.copy(), []
-        for k in range(1, 5):
-            h = h * _M + np.where(place >= k, np.concatenate((np.zeros(k, np.uint64), char[: max(0, len(char) - k)]))[: len(char)], np.uint64(2)) + np.uint64(1)
-            if k in (2, 4):
-                letters.append(h)
-        parts = ((np.zeros(len(char), np.uint64), (lang,)), (two, ("*", kind, 2)), (three, ("*", kind, 3)), (three, (lang, kind, 3)), (letters[0], (lang, kind, "c")), (letters[1], (lang, kind, "ccccc")))
-        return np.stack([(mix(h + _seed(*name)) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for h, name in parts]), stops, at
+        return (mix(contexts.astype(np.uint64) + _seed(*name)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+class Places:
+    """All characters of lines without their line ends. stops: whether a line stops behind the place; at: the offsets of the lines."""
+
+    def __init__(self, lines: list[str]):
+        signs, folded = _alphabet()
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(codes, 0xFFFF)
+        sign, self.char = signs[low], folded[low]
+        far = np.flatnonzero(codes > 0xFFFF)
+        if len(far):
+            sign[far] = np.where((codes[far] >= 0x20000) & (codes[far] < 0x33480), _CODE["Z"], _CODE["~"])
+            self.char[far] = codes[far]
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.at = np.concatenate(([0], np.cumsum(size)))
+        self.place = np.arange(self.at[-1], dtype=np.int32) - np.repeat(self.at[:-1].astype(np.int32), size)
+        self.stops = np.zeros(self.at[-1], np.bool_)
+        self.stops[self.at[1:][size > 0] - 1] = True
+        # runs of one sign count once
+        new = ~_RUNS[sign] | (self.place == 0)
+        new[1:] |= sign[1:] != sign[:-1]
+        first = np.flatnonzero(new)
+        own, opens = sign[first].astype(np.int32), self.place[first] == 0
+        before, second = np.zeros_like(own), np.zeros_like(own)
+        before[1:] = np.where(opens[1:], 0, own[:-1])
+        second[1:] = np.where(opens[1:], 0, before[:-1])
+        self.two = np.repeat(before * N + own, np.diff(np.append(first, len(sign))))
+        self.three = np.repeat((second * N + before) * N + own, np.diff(np.append(first, len(sign))))
+
+    def last(self, k: int, where: np.ndarray) -> np.ndarray:
+        """Hashes of the last k characters at some places; a line's beginning is a character of its own."""
+        h = self.char[where].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(1, k):
+                h = h * _M + np.where(self.place[where] >= j, self.char[where - np.minimum(j, where)], 2) + np.uint64(1)
+        return h
+
+    def cells(self, lang: str, kind: str, where: np.ndarray) -> np.ndarray:
+        """Cells by level and place: the language alone, then contexts from the shortest; the first two of these are of all languages."""
+        two, three = self.two[where], self.three[where]
+        return np.stack([np.broadcast_to(_cells(np.zeros(1), lang), where.shape), _cells(two, "*", kind, 2), _cells(three, "*", kind, 3), _cells(three, lang, kind, 3), _cells(self.last(3, where), lang, kind, "ccc"), _cells(self.last(5, where), lang, kind, "ccccc")])
+
+
+def parts_of(lines: list, size: int = 1 << 18) -> Iterator[list]:
+    """Runs of lines of about so many characters together; lines are (text, ...)."""
+    begin = total = 0
+    for k, line in enumerate(lines):
+        if total and total + len(line[0]) > size:
+            yield lines[begin:k]
+            begin, total = k, 0
+        total += len(line[0])
+    if begin < len(lines):
+        yield lines[begin:]
 
 
 def marked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], list[tuple[str, bool]]]]:
@@ -215,23 +240,33 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, stops = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << CELL_BITS, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+    signs: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: np.zeros((2, N**3), np.int64))
 
     def flush() -> None:
         nonlocal size
         if held:
-            np.add(places, np.bincount(np.concatenate([c.ravel() for c, _ in held]), minlength=1 << CELL_BITS), out=places)
-            np.add(stops, np.bincount(np.concatenate([c[:, s].ravel() for c, s in held]), minlength=1 << CELL_BITS), out=stops)
+            np.add(places, np.bincount(np.concatenate([c for c, _ in held]), minlength=1 << CELL_BITS), out=places)
+            np.add(stops, np.bincount(np.concatenate([c[s] for c, s in held]), minlength=1 << CELL_BITS), out=stops)
         held.clear()
         size = 0
 
     for groups in marked_lines(batches):
-        for key, lines in groups.items():
-            cells, ends, _ = contexts(*key, [line for line, _ in lines])
-            held.append((cells, ends))
-            size += cells.size
-            if size > 1 << 23:
-                flush()
+        for (lang, kind), lines in groups.items():
+            for part in parts_of(lines):
+                p = Places([line for line, _ in part])
+                everywhere = np.arange(len(p.char))
+                signs[lang, kind][0] += np.bincount(p.three, minlength=N**3)
+                signs[lang, kind][1] += np.bincount(p.three[p.stops], minlength=N**3)
+                held += [(_cells(p.last(k, everywhere), lang, kind, "c" * k), p.stops) for k in (3, 5)]
+                size += 2 * len(p.char)
+                if size > 1 << 22:
+                    flush()
     flush()
+    for (lang, kind), counts in signs.items():
+        three = np.flatnonzero(counts[0])
+        for cells in (_cells(np.zeros(len(three)), lang), _cells(three % (N * N), "*", kind, 2), _cells(three, "*", kind, 3), _cells(three, lang, kind, 3)):
+            np.add.at(places, cells, counts[0, three])
+            np.add.at(stops, cells, counts[1, three])
     cells = np.flatnonzero(places)
     slices = cells >> SLICE_BITS
     cuts = np.flatnonzero(np.diff(slices, prepend=-1))
@@ -298,13 +333,14 @@ class Model:
     def of_ends(self, ends: list[tuple[str, str, bool]]) -> np.ndarray:
         """The log-odds of texts (language, text, whether it is whole) by their last lines; -inf without a line."""
         out = np.full(len(ends), -math.inf)
-        groups: dict[tuple[str, str], list[tuple[int, str, bool]]] = defaultdict(list)
+        groups: dict[tuple[str, str], list[tuple[str, int, bool]]] = defaultdict(list)
         for k, (own, text, whole) in enumerate(ends):
             if lines := lines_of(text):
-                groups[own, lines[-1][0]].append((k, lines[-1][1], whole))
+                groups[own, lines[-1][0]].append((lines[-1][1], k, whole))
         for key, lines in groups.items():
-            cells, stops, _ = contexts(*key, [line for _, line, _ in lines])
-            out[[k for k, _, _ in lines]] = self.log_odds(cells[:, stops], np.array([whole for _, _, whole in lines], np.int64))
+            for part in parts_of(lines):
+                p = Places([line for line, _, _ in part])
+                out[[k for _, k, _ in part]] = self.log_odds(p.cells(*key, np.flatnonzero(p.stops)), np.array([whole for _, _, whole in part], np.int64))
         return out
 
     def threshold(self, own: str) -> float:
@@ -316,18 +352,16 @@ def score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
     model, counts = shared.value, Counter()
     for groups in marked_lines(batches):
         for (lang, kind), lines in groups.items():
-            whole = [line for line, end in lines if end and len(line) >= 2]
-            if not whole:
-                continue
-            cells, stops, at = contexts(lang, kind, whole)
-            cut = np.array([a + crc32(x.encode("utf-8", "surrogatepass")) % (len(x) - 1) for a, x in zip(at.tolist(), whole)])
-            # a cut text ends where its last ink is
-            blank = np.array([whole[k][c - at[k]].isspace() for k, c in enumerate(cut.tolist())])
-            cut = cut[~blank]
-            for is_cut, places in ((False, np.flatnonzero(stops)), (True, cut)):
-                bins, n = np.unique(np.floor(model.log_odds(cells[:, places], int(not is_cut)) / BIN).astype(np.int64), return_counts=True)
-                for own in (lang, "*"):
-                    counts.update({(own, is_cut, b): k for b, k in zip(bins.tolist(), n.tolist())})
+            for part in parts_of([line for line in lines if line[1] and len(line[0]) >= 2]):
+                whole = [line for line, _ in part]
+                p = Places(whole)
+                inside = [crc32(x.encode("utf-8", "surrogatepass")) % (len(x) - 1) for x in whole]
+                # a cut text ends where its last ink is
+                cut = p.at[:-1][[not x[k].isspace() for x, k in zip(whole, inside)]] + [k for x, k in zip(whole, inside) if not x[k].isspace()]
+                for is_cut, places in ((False, np.flatnonzero(p.stops)), (True, cut.astype(np.int64))):
+                    bins, n = np.unique(np.floor(model.log_odds(p.cells(lang, kind, places), int(not is_cut)) / BIN).astype(np.int64), return_counts=True)
+                    for own in (lang, "*"):
+                        counts.update({(own, is_cut, b): k for b, k in zip(bins.tolist(), n.tolist())})
     yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.bool_()), pa.array([c[2] for c in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["language", "cut", "bin", "n"])
 
 

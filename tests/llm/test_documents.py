@@ -85,14 +85,14 @@ def test_contexts_keep_to_their_line():
     import numpy as np
 
     lines = ["a b", "", "Größe 12", "🙂中文 x", "ab"]
-    cells, stops, at = cutoff.contexts("en", "prose", lines)
-    assert stops.sum() == 4 and at.tolist() == [0, 3, 3, 11, 16, 18]
+    cells = lambda own, lang="en": own.cells(lang, "prose", np.arange(len(own.char)))
+    p = cutoff.Places(lines)
+    assert p.stops.sum() == 4 and p.at.tolist() == [0, 3, 3, 11, 16, 18]
     for k, line in enumerate(lines):
-        own, ends, _ = cutoff.contexts("en", "prose", [line])
-        assert (own == cells[:, at[k] : at[k + 1]]).all() and (ends == stops[at[k] : at[k + 1]]).all()
-    assert cutoff.contexts("en", "prose", [""])[0].shape == (6, 0)
-    other = cutoff.contexts("de", "prose", lines)[0]
-    assert (other[1:3] == cells[1:3]).all() and not np.array_equal(other[3], cells[3])
+        own = cutoff.Places([line])
+        assert (cells(own) == cells(p)[:, p.at[k] : p.at[k + 1]]).all() and (own.stops == p.stops[p.at[k] : p.at[k + 1]]).all()
+    assert cells(cutoff.Places([""])).shape == (6, 0) and cells(cutoff.Places([])).shape == (6, 0)
+    assert (cells(p, "de")[1:3] == cells(p)[1:3]).all() and not np.array_equal(cells(p, "de")[3], cells(p)[3])
 
 
 def test_thresholds_are_fitted():
