@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import without_interior, without_scopes
@@ -11,6 +14,9 @@ from ..sources.tables import materialize
 MAX_ITER = 50
 TOLERANCE = 1e-6
 TOP_K = 20
+#: Most different edges of a graph that one task solves whole, and after how many rounds larger graphs look for their end.
+LOCAL_EDGES = 500_000
+CHECK_EVERY = 5
 
 
 def one_hop(edges: DataFrame, starts: DataFrame, scope: list[str]) -> DataFrame:
@@ -24,31 +30,66 @@ def one_hop(edges: DataFrame, starts: DataFrame, scope: list[str]) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
-def hits(edges: DataFrame, scope: list[str], max_iter: int = MAX_ITER, tolerance: float = TOLERANCE, fixed: bool = False) -> DataFrame:
-    """(scope, node, authority, hub) for every node of an edge; parallel edges count as often as they come.
+def _solved(scope: list[str], max_iter: int, tolerance: float, fixed: bool):
+    """The scores of one scope's whole graph."""
 
-    authority' = sum of hubs over in-edges, hub' = sum of authority' over out-edges, then both are scaled to length 1 per
-    scope. The rounds end when no authority of any scope moves by the tolerance or more. Parallel edges are pre-aggregated to
-    weights, so a hot callee is one row per caller. Scores are written every round, which cuts the lineage.
-    """
-    known = edges.where("src IS NOT NULL AND dst IS NOT NULL")
-    weights = materialize(known.groupBy(*scope, "src", "dst").agg(F.count("*").cast("double").alias("w")), "weights")
+    def solve(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, code = np.unique(np.concatenate((rows["src"].to_numpy(object), rows["dst"].to_numpy(object))), return_inverse=True)
+        src, dst, w, n = code[: len(rows)], code[len(rows) :], rows["w"].to_numpy(), len(nodes)
+        authority = hub = np.full(n, 1 / np.sqrt(n))
+        scaled = lambda x: x / norm if (norm := np.sqrt((x * x).sum())) > 0 else np.zeros(n)
+        for _ in range(max_iter):
+            a = np.bincount(dst, w * hub[src], n)
+            hub = scaled(np.bincount(src, w * a[dst], n))
+            old, authority = authority, scaled(a)
+            if not fixed and np.abs(authority - old).max() < tolerance:
+                break
+        return pd.DataFrame({**{c: k for c, k in zip(scope, keys)}, "node": nodes, "authority": authority, "hub": hub})
+
+    return solve
+
+
+def _rounds(weights: DataFrame, scope: list[str], max_iter: int, tolerance: float, fixed: bool) -> DataFrame:
+    """The scores of graphs of any size, by joins. The edges are kept partitioned by either end, so that only scores move."""
+    by_src, by_dst = (weights.repartition(*scope, end).persist(StorageLevel.MEMORY_AND_DISK) for end in ("src", "dst"))
     nodes = weights.select(*scope, F.col("src").alias("node")).unionByName(weights.select(*scope, F.col("dst").alias("node"))).distinct()
     size = nodes.groupBy(*scope).agg((1 / F.sqrt(F.count("*"))).alias("h"))
     scores = materialize(nodes.join(size, scope).select(*scope, "node", F.col("h").alias("authority"), F.col("h").alias("hub")), "scores")
-    for _ in range(max_iter):
-        auth = weights.join(scores.select(*scope, F.col("node").alias("src"), "hub"), [*scope, "src"]).groupBy(*scope, "dst").agg(F.sum(F.col("w") * F.col("hub")).alias("a"))
-        hub = weights.join(auth, [*scope, "dst"]).groupBy(*scope, "src").agg(F.sum(F.col("w") * F.col("a")).alias("h"))
+    for k in range(1, max_iter + 1):
+        auth = by_src.join(scores.select(*scope, F.col("node").alias("src"), "hub"), [*scope, "src"]).groupBy(*scope, "dst").agg(F.sum(F.col("w") * F.col("hub")).alias("a"))
+        hub = by_dst.join(auth, [*scope, "dst"]).groupBy(*scope, "src").agg(F.sum(F.col("w") * F.col("a")).alias("h"))
         new = scores.join(auth.withColumnRenamed("dst", "node"), [*scope, "node"], "left").join(hub.withColumnRenamed("src", "node"), [*scope, "node"], "left")
-        new = new.select(*scope, "node", F.col("authority").alias("old"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h"))
+        new = materialize(new.select(*scope, "node", F.col("authority").alias("old"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h")), "scores")
         norm = new.groupBy(*scope).agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("nh"))
         scaled = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(0.0)
-        seen = Observation()
         moved = new.join(norm, scope).select(*scope, "node", "old", scaled("a", "na").alias("authority"), scaled("h", "nh").alias("hub"))
-        scores = materialize(moved.observe(seen, F.max(F.abs(F.col("authority") - F.col("old"))).alias("delta")), "scores")
-        if not fixed and (seen.get["delta"] or 0.0) < tolerance:
+        if not fixed and (k % CHECK_EVERY == 0) and (moved.agg(F.max(F.abs(F.col("authority") - F.col("old")))).first()[0] or 0.0) < tolerance:
+            scores = moved.drop("old")
             break
-    return scores.select(*scope, "node", "authority", "hub")
+        scores = moved.drop("old")
+    scores = materialize(scores, "scores")
+    by_src.unpersist()
+    by_dst.unpersist()
+    return scores
+
+
+def hits(edges: DataFrame, scope: list[str], max_iter: int = MAX_ITER, tolerance: float = TOLERANCE, fixed: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(scope, node, authority, hub) for every node of an edge; parallel edges count as often as they come.
+
+    authority' = sum of hubs over in-edges, hub' = sum of authority' over out-edges, then both are scaled to length 1 per
+    scope. The rounds of a scope end when none of its authorities moves by the tolerance or more. Parallel edges are
+    pre-aggregated to weights, so a hot callee is one row per caller. A scope of at most local_edges different edges is solved
+    whole in one task, all such scopes in parallel; larger ones together by rounds of joins, where the end is looked for every
+    CHECK_EVERY rounds. Either way gives the same scores.
+    """
+    known = edges.where("src IS NOT NULL AND dst IS NOT NULL").where(" AND ".join(f"{c} IS NOT NULL" for c in scope))
+    weights = materialize(known.groupBy(*scope, "src", "dst").agg(F.count("*").cast("double").alias("w")), "weights")
+    large = materialize(weights.groupBy(*scope).agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select(*scope), "large")
+    kinds = ", ".join(f"`{c}` {weights.schema[c].dataType.simpleString()}" for c in scope)
+    small = weights.join(large, scope, "left_anti").groupBy(*scope).applyInPandas(_solved(scope, max_iter, tolerance, fixed), f"{kinds}, node string, authority double, hub double")
+    if large.isEmpty():
+        return small
+    return small.unionByName(_rounds(weights.join(large, scope, "left_semi"), scope, max_iter, tolerance, fixed))
 
 
 def top_k(scores: DataFrame, scope: list[str], k: int = TOP_K) -> DataFrame:

@@ -2,55 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import agreement, grams, jaccard, least_sha1
+from ..functions.items import item_sets, mix
 from ..sources.tables import materialize
+from .skew import bitmap, held, salted_join
 
 THRESHOLD = 0.6
 NUM_PERM = 64
-#: Bands of the banded mode; NUM_PERM / BANDS rows each.
-BANDS = 16
+#: Bands of the banded mode; NUM_PERM / BANDS rows each. A pair at the threshold 0.6 is missed with probability (1 - 0.6**2)**32 < 1e-6.
+BANDS = 32
+
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+        sets = list(item_sets(texts, 1))
+        keep = np.array([s is not None for s in sets], np.bool_)
+        sets = [s for s in sets if s is not None]
+        digests = [blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(digests, pa.string()), items], names=["id", "digest", "items"])
 
-def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), grams(F.col(text)).alias("items")).where(F.size("items") > 0).dropDuplicates(["id"])
+
+def sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, digest, items): the item hashes of each text, sorted, and the digest of the set. Null keys and texts without a token are left out."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_set_rows, f"id {rows.schema['id'].dataType.simpleString()}, digest string, items array<long>")
 
 
 def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((id, rep) of every record, (id, items) of the representatives): equal texts are a class, its least id stands for it.
+    """((id, rep) of every record with an item, (id, items) of the representatives): equal sets are a class, its least id stands for it.
 
-    Digests alone are shuffled to find the classes. Null texts are in none.
+    Only ids and digests are shuffled to find the classes. A key of several texts has the least digest.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    digests = rows.select("id", F.sha1("text").alias("digest")).distinct()
-    members = digests.join(digests.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
-    return members, _sets(rows.join(members.where("id = rep").select("id"), "id", "left_semi"), "id", "text")
+    known = materialize(sets(df, key, text), "sets")
+    own = known.groupBy("id").agg(F.min("digest").alias("digest"))
+    members = materialize(own.join(own.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep", "digest"), "members")
+    reps = members.where("id = rep").select("id", "digest")
+    one = known.join(reps, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "items")
+    return members.select("id", "rep"), one
+
+
+def _with_enough(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(id, n, known) of the sets of which at least the threshold's share may be among the items of the bitmap."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        hit = np.concatenate(([0], np.cumsum(held(shared, flat.view(np.uint64)))))
+        n, known = np.diff(at), hit[at[1:]] - hit[at[:-1]]
+        rows = np.flatnonzero((known >= threshold * n - 1e-9) & (n > 0))
+        ok = np.diff(hit).astype(np.bool_)
+        parts = [flat[at[k] : at[k + 1]][ok[at[k] : at[k + 1]]] for k in rows.tolist()]
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(n[rows].astype(np.int32)), items], names=["id", "n", "known"])
 
 
 def class_pairs(t: DataFrame, r: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(t_rep, r_rep, similarity) of all sets (id, items) with a Jaccard similarity of at least the threshold > 0.
 
     Prefix filter: of a set of n items in one fixed order, the first n - ceil(t n) + 1 must hold a shared item. The order puts
-    items that one side lacks first: they meet nothing and are only counted. The others follow by their number of targets.
-    So of the targets only items that some reference holds are shuffled. Items stand as 64-bit hashes, made once and written,
-    for the sets are read several times and making them is the dearest part.
+    items that no reference has first: they meet nothing and are only counted. The others follow by their number of references.
+    A target of which less than the threshold's share are items of references is dropped where it is read, by a bitmap of
+    fixed size. Items of very many targets are split over several tasks.
     """
-    t, r = (materialize(x.select("id", F.transform("items", lambda i: F.xxhash64(i)).alias("items")), "sets") for x in (t, r))
-    hashed = lambda df: df.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    ref_items = hashed(r)
-    held = hashed(t).join(ref_items.select("item").distinct(), "item")
-    counts = held.groupBy("item").agg(F.count("*").alias("df"))
+    kind = t.schema["id"].dataType.simpleString()
+    t, r = (materialize(x.select("id", "items"), "sets") for x in (t, r))
+    ref_items = r.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    shared = bitmap(ref_items.select("item"), "item")
+    kept = t.mapInArrow(lambda b: _with_enough(b, shared, threshold), f"id {kind}, n int, known array<long>")
+    counts = materialize(ref_items.groupBy("item").agg(F.count("*").alias("df")), "counts")
 
     def prefix(rows: DataFrame, name: str) -> DataFrame:
         known = rows.join(counts, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("known"))
         lone = F.col("n") - F.size("known")
         take = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - lone, F.lit(0)).cast("int")
-        return known.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.slice("known", F.lit(1), take)).alias("x")).select(name, f"n_{name}", F.col("x.item").alias("item"))
+        placed = known.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), lone.alias("lone"), F.posexplode(F.slice("known", F.lit(1), take)).alias("at", "x"))
+        return placed.select(name, f"n_{name}", (F.col("n_" + name) - F.col("lone") - F.col("at")).alias(f"left_{name}"), F.col("x.item").alias("item"))
 
-    near = prefix(held, "t_rep").join(prefix(ref_items, "r_rep"), "item").where(F.least("n_t_rep", "n_r_rep") >= threshold * F.greatest("n_t_rep", "n_r_rep") - 1e-9)
-    near = near.select("t_rep", "r_rep").distinct()
+    posted = materialize(prefix(kept.select("id", "n", F.explode("known").alias("item")), "t_rep"), "postings")
+    met = salted_join(posted, prefix(ref_items, "r_rep"), ["item"], F.col("t_rep"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n_t_rep") + F.col("n_r_rep")) - 1e-9
+    near = met.where((F.least("n_t_rep", "n_r_rep") >= threshold * F.greatest("n_t_rep", "n_r_rep") - 1e-9) & (F.least("left_t_rep", "left_r_rep") >= need)).select("t_rep", "r_rep").distinct()
     full = near.join(t.select(F.col("id").alias("t_rep"), F.col("items").alias("a")), "t_rep").join(r.select(F.col("id").alias("r_rep"), F.col("items").alias("b")), "r_rep")
     return full.select("t_rep", "r_rep", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
@@ -58,27 +101,30 @@ def class_pairs(t: DataFrame, r: DataFrame, threshold: float = THRESHOLD) -> Dat
 def exact(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """(target, ref, similarity) of all pairs of different keys that reach the threshold. Null and empty texts are in no pair.
 
-    Copies are compared once and expanded at the end; `links` gives one row per target without expanding them.
+    Equal sets are compared once and expanded at the end; `links` gives one row per target without expanding them.
     """
     (mt, t), (mr, r) = classes(targets, key, text), classes(refs, key, text)
     pairs = class_pairs(t, r, threshold).join(mt.select(F.col("id").alias("target"), F.col("rep").alias("t_rep")), "t_rep").join(mr.select(F.col("id").alias("ref"), F.col("rep").alias("r_rep")), "r_rep")
     return pairs.where("target <> ref").select("target", "ref", "similarity")
 
 
-def links(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(target, n_refs, ref, similarity): how many references each target is like, and the most similar; of equals the least.
+def links(records: DataFrame, refs: Callable[[Column], Column], key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(target, n_refs, ref, similarity): how many references each record is like, and the most similar; of equals the least.
 
-    Targets without a like reference are left out; a target is not its own reference. Copies are counted, not expanded.
+    refs: tells of a column of keys which are those of references. Records without a like reference are left out; a
+    record is not its own reference. Records of equal sets are counted, not expanded. Every text is read and hashed once.
     """
-    (mt, t), (mr, r) = classes(targets, key, text), classes(refs, key, text)
-    least = mr.where("id <> rep").groupBy("rep").agg(F.min("id").alias("second"), F.count("*").alias("more"))
-    size = mr.select("rep").distinct().join(least, "rep", "left").select(F.col("rep").alias("r_rep"), "second", (F.coalesce("more", F.lit(0)) + 1).alias("size"))
-    met = class_pairs(t, r, threshold).join(size, "r_rep").join(mt.select(F.col("id").alias("target"), F.col("rep").alias("t_rep")), "t_rep")
-    own = mr.select(F.col("id").alias("target"), F.col("rep").alias("own"))
-    met = met.join(own, "target", "left").withColumn("self", F.coalesce(F.col("own") == F.col("r_rep"), F.lit(False)))
-    ref = F.when(F.col("target") == F.col("r_rep"), F.col("second")).otherwise(F.col("r_rep"))
+    members, reps = classes(records, key, text)
+    is_ref = refs(F.col("id"))
+    own = members.where(is_ref).groupBy("rep").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    second = members.where(is_ref).join(own, "rep").where("id <> first").groupBy("rep").agg(F.min("id").alias("second"))
+    own = materialize(own.join(second, "rep", "left").withColumnRenamed("rep", "r_rep"), "references")
+    pairs = class_pairs(reps, reps.join(own.select(F.col("r_rep").alias("id")), "id", "left_semi"), threshold)
+    met = salted_join(members.select(F.col("id").alias("target"), F.col("rep").alias("t_rep")), pairs.join(own, "r_rep"), ["t_rep"], F.col("target"))
+    ref = F.when(F.col("target") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    inside = (F.col("t_rep") == F.col("r_rep")) & refs(F.col("target"))
+    met = met.select("target", "similarity", ref.alias("ref"), (F.col("size") - inside.cast("int")).alias("n")).where("n > 0")
     best = F.min_by(F.struct("ref", "similarity"), F.struct(-F.col("similarity"), F.col("ref")))
-    met = met.withColumn("ref", ref).withColumn("n", F.col("size") - F.col("self").cast("int")).where("n > 0")
     return met.groupBy("target").agg(F.sum("n").alias("n_refs"), best.alias("x")).select("target", "n_refs", "x.ref", "x.similarity")
 
 
@@ -89,28 +135,49 @@ def as_shipped(targets: DataFrame, refs: DataFrame, key: str) -> DataFrame:
 
 
 def shared_min(blocks: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, group_key, n_group): blocks by the least SHA-1 of their items; equal keys have estimated similarity 1."""
-    keys = _sets(blocks, key, text).select("id", least_sha1(F.col("items")).alias("group_key"))
-    return keys.join(keys.groupBy("group_key").agg(F.count("*").alias("n_group")), "group_key").select("id", "group_key", "n_group")
-
+    """(id, group_key, n_group): blocks by the least SHA-1 of their items; equal keys have estimated similarity 1.
 
-def signature(items, num_perm: int = NUM_PERM):
-    """MinHash by independent 64-bit hashes."""
+    The keys are made where the texts are read; only they are shuffled. A key of several texts has the least of their keys.
+    """
+    own = blocks.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), least_sha1(grams(F.col(text))).alias("group_key")).where("group_key IS NOT NULL")
+    keys = own.groupBy("id").agg(F.min("group_key").alias("group_key"))
+    return keys.join(keys.groupBy("group_key").agg(F.count("*").alias("n_group")), "group_key").select("id", "group_key", "n_group")
 
-    def least(seed: int):
-        return F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(seed))))
 
-    return F.array(*[least(seed) for seed in range(num_perm)])
+def _signature_rows(batches: Iterator[pa.RecordBatch], num_perm: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """(id, signature, bands) of (id, items): the least of each of num_perm independent hashes, and a hash of each band of them."""
+    seeds = mix(np.arange(1, num_perm + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rows = num_perm // bands
+    for batch in batches:
+        lists = batch.column(1)
+        flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        n = batch.num_rows
+        signature = np.empty((n, num_perm), np.uint64)
+        if n:
+            for k, seed in enumerate(seeds):
+                signature[:, k] = np.minimum.reduceat(mix(flat ^ seed), at[:-1])
+        band = np.zeros((n, bands), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(rows):
+                band = mix(band * np.uint64(31) + signature[:, k::rows][:, :bands])
+        fixed = lambda x, w: pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w, dtype=np.int32)), pa.array(x.view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), fixed(signature, num_perm), fixed(np.ascontiguousarray(band), bands)], names=["id", "signature", "bands"])
 
 
 def minhash(targets: DataFrame, refs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS) -> DataFrame:
-    """(target, ref, estimate, similarity): pairs that agree on a band of their signatures, verified exactly. May miss pairs near the threshold."""
-    rows = num_perm // bands
+    """(target, ref, estimate, similarity): pairs that agree on a band of their signatures, verified exactly. May miss pairs near the threshold.
 
-    def banded(df: DataFrame, name: str) -> DataFrame:
-        s = _sets(df, key, text).select(F.col("id").alias(name), F.col("items").alias(f"items_{name}"), signature(F.col("items"), num_perm).alias(f"sig_{name}"))
-        return s.withColumn("band", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice(f"sig_{name}", b * rows + 1, rows)).alias("h")) for b in range(bands)])))
-
-    near = banded(targets, "target").join(banded(refs, "ref"), "band").where("target <> ref").dropDuplicates(["target", "ref"])
-    out = near.select("target", "ref", agreement(F.col("sig_target"), F.col("sig_ref")).alias("estimate"), jaccard(F.col("items_target"), F.col("items_ref")).alias("similarity"))
-    return out.where(F.col("similarity") >= threshold - 1e-9)
+    The bands meet by their hashes alone, equal sets once; signatures and sets follow for the pairs that met.
+    """
+    (mt, t), (mr, r) = classes(targets, key, text), classes(refs, key, text)
+    t, r = (materialize(x, "sets") for x in (t, r))
+    kind = t.schema["id"].dataType.simpleString()
+    signed = lambda df: materialize(df.mapInArrow(lambda b: _signature_rows(b, num_perm, bands), f"id {kind}, signature array<long>, bands array<long>"), "signatures")
+    st, sr = signed(t), signed(r)
+    banded = lambda df, name: df.select(F.col("id").alias(name), F.posexplode("bands").alias("band", "hash"))
+    near = salted_join(banded(st, "t_rep"), banded(sr, "r_rep"), ["band", "hash"], F.col("t_rep")).select("t_rep", "r_rep").distinct()
+    side = lambda s, x, name, a: s.select(F.col("id").alias(name), F.col("signature").alias(f"sig_{a}")).join(x.select(F.col("id").alias(name), F.col("items").alias(f"items_{a}")), name)
+    full = near.join(side(st, t, "t_rep", "a"), "t_rep").join(side(sr, r, "r_rep", "b"), "r_rep")
+    pairs = full.select("t_rep", "r_rep", agreement(F.col("sig_a"), F.col("sig_b")).alias("estimate"), jaccard(F.col("items_a"), F.col("items_b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    out = pairs.join(mt.select(F.col("id").alias("target"), F.col("rep").alias("t_rep")), "t_rep").join(mr.select(F.col("id").alias("ref"), F.col("rep").alias("r_rep")), "r_rep")
+    return out.where("target <> ref").select("target", "ref", "estimate", "similarity")

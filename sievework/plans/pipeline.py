@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import grams, lines, norm_path, verdict
+from ..functions.columns import lines, norm_path, verdict
 from ..operators import dedup, paths, similarity, spans
+from ..operators.skew import salted_join
 from ..sources.diffs import hunks
 from ..sources.tables import materialize
 from . import context
@@ -87,13 +88,17 @@ def candidates(refs: DataFrame, targets: DataFrame, config: Config = Config(), c
     from any of these; each stands for its whole function, and of equal spans the first by reason, similarity and key is kept.
     suggestions: (vuln_id, block_key), blocks that a judge named.
     """
-    r = refs.select("vuln_id", "path", F.xxhash64("vuln_id", "role", "path", "start_line", "end_line").alias("ref"), grams(F.col("content")).alias("items")).where(F.size("items") > 0)
-    t = targets.select("tree_id", "block_key", "file_path", grams(F.col("content")).alias("items")).where(F.size("items") > 0)
-    near = similarity.class_pairs(t.select(F.col("block_key").alias("id"), "items").dropDuplicates(["id"]), r.select(F.col("ref").alias("id"), "items").dropDuplicates(["id"]), config.threshold)
-    scored = near.join(t.select("tree_id", F.col("block_key").alias("t_rep")), "t_rep").join(r.select("vuln_id", F.col("ref").alias("r_rep")), "r_rep").withColumnRenamed("t_rep", "block_key")
+    r = refs.select("vuln_id", "path", F.xxhash64("vuln_id", "role", "path", "start_line", "end_line").alias("ref"), "content")
+    (mt, t_sets), (mr, r_sets) = similarity.classes(targets, "block_key", "content"), similarity.classes(r, "ref", "content")
+    near = similarity.class_pairs(t_sets, r_sets, config.threshold)
+    t = targets.select("tree_id", "block_key", "file_path").distinct().join(mt.select(F.col("id").alias("block_key"), F.col("rep").alias("t_rep")), "block_key")
+    r = r.select("vuln_id", "path", "ref").join(mr.select(F.col("id").alias("ref"), F.col("rep").alias("r_rep")), "ref")
+    by_class = near.join(r.select("vuln_id", "r_rep").distinct(), "r_rep").groupBy("vuln_id", "t_rep").agg(F.max("similarity").alias("similarity"))
+    scored = by_class.join(t.select("tree_id", "block_key", "t_rep"), "t_rep")
     similar = scored.groupBy("vuln_id", "tree_id", "block_key").agg(F.max("similarity").alias("similarity")).withColumn("reason", F.lit("similar"))
     named = r.select("vuln_id", F.element_at(F.split("path", "/"), -1).alias("base")).distinct()
-    same = t.withColumn("base", F.element_at(F.split(norm_path(F.col("file_path")), "/"), -1)).join(named, "base").select("vuln_id", "tree_id", "block_key", F.lit(None).cast("double").alias("similarity"), F.lit("same name").alias("reason"))
+    based = t.withColumn("base", F.element_at(F.split(norm_path(F.col("file_path")), "/"), -1))
+    same = salted_join(based, named, ["base"], F.col("block_key")).select("vuln_id", "tree_id", "block_key", F.lit(None).cast("double").alias("similarity"), F.lit("same name").alias("reason"))
     both = similar.unionByName(same)
     own = targets.select("tree_id", "block_key").distinct()
     if suggestions is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -31,9 +31,13 @@ def blocks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "code_blocks", *columns)
 
 
+def is_reference(key: Column) -> Column:
+    return key % 50 == 0
+
+
 def references(df: DataFrame) -> DataFrame:
     """The stated query set of searches: keys divisible by 50, searched in all rows."""
-    return df.where("block_key % 50 = 0")
+    return df.where(is_reference(F.col("block_key")))
 
 
 @query("""WITH t AS (SELECT block_key, ingested_at, regexp_extract_all(content, '[A-Za-z0-9_]+') w FROM code_blocks WHERE content IS NOT NULL)
@@ -66,13 +70,13 @@ s AS (SELECT target, ref, k / (x.n + y.n - k) s FROM p JOIN n x ON x.block_key =
 @query(f"WITH {_PAIRS} SELECT target, count(*) AS n_refs, round(max(s), 6) AS similarity FROM s GROUP BY target")
 def q_exact_jaccard(spark, d):
     df = blocks(spark, d, "block_key", "content")
-    return similarity.links(df, references(df), "block_key", "content").select("target", "n_refs", F.round("similarity", 6).alias("similarity"))
+    return similarity.links(df, is_reference, "block_key", "content").select("target", "n_refs", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_PAIRS} SELECT target, ref, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY s DESC, ref) = 1")
 def q_best_reference(spark, d):
     df = blocks(spark, d, "block_key", "content")
-    return similarity.links(df, references(df), "block_key", "content").select("target", "ref", F.round("similarity", 6).alias("similarity"))
+    return similarity.links(df, is_reference, "block_key", "content").select("target", "ref", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT DISTINCT block_key FROM code_blocks WHERE EXISTS (SELECT 1 FROM code_blocks WHERE block_key % 50 = 0)")
@@ -81,10 +85,10 @@ def q_as_shipped(spark, d):
     return similarity.as_shipped(df, references(df), "block_key")
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT target, ref, round(s, 6) AS similarity FROM s")
 def q_minhash(spark, d):
     df = blocks(spark, d, "block_key", "content")
-    return similarity.minhash(df, references(df), "block_key", "content")
+    return similarity.minhash(df, references(df), "block_key", "content").select("target", "ref", F.round("similarity", 6).alias("similarity"))
 
 
 _EXT = " OR ".join(f"ends_with(file_path, '{e}')" for e in c.DEFAULT_EXTENSIONS)
@@ -198,7 +202,7 @@ def q_neighbors(spark, d):
     return graph.one_hop(e, starts, ["tree_id"])
 
 
-def _hits_sql(rounds: int) -> str:
+def _hits_sql(rounds: int, digits: int = 6) -> str:
     parts = ["w AS (SELECT tree_id, src, dst, CAST(count(*) AS DOUBLE) w FROM call_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND tree_id IS NOT NULL GROUP BY ALL)", "n AS (SELECT tree_id, src node FROM w UNION SELECT tree_id, dst FROM w)", "s0 AS (SELECT tree_id, node, 1 / sqrt(count(*) OVER (PARTITION BY tree_id)) a, 1 / sqrt(count(*) OVER (PARTITION BY tree_id)) h FROM n)"]
     for k in range(rounds):
         parts += [
@@ -207,7 +211,7 @@ def _hits_sql(rounds: int) -> str:
             f"u{k} AS (SELECT n.tree_id, n.node, coalesce(a, 0) a, coalesce(h, 0) h FROM n LEFT JOIN a{k} USING (tree_id, node) LEFT JOIN h{k} USING (tree_id, node))",
             f"s{k + 1} AS (SELECT tree_id, node, coalesce(a / nullif(sqrt(sum(a * a) OVER (PARTITION BY tree_id)), 0), 0) a, coalesce(h / nullif(sqrt(sum(h * h) OVER (PARTITION BY tree_id)), 0), 0) h FROM u{k})",
         ]
-    return f"WITH {', '.join(parts)} SELECT tree_id, node, round(a, 6) AS authority, round(h, 6) AS hub FROM s{rounds}"
+    return f"WITH {', '.join(parts)} SELECT tree_id, node, round(a, {digits}) AS authority, round(h, {digits}) AS hub FROM s{rounds}"
 
 
 @query(_hits_sql(4))
@@ -216,9 +220,18 @@ def q_hits_four_rounds(spark, d):
     return s.select("tree_id", "node", F.round("authority", 6).alias("authority"), F.round("hub", 6).alias("hub"))
 
 
-@query()
+@query(f"""WITH s AS ({_hits_sql(8, 9)}) SELECT tree_id, node, rank, round(authority, 6) AS authority FROM
+(SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY authority DESC, node) AS rank FROM s) WHERE rank <= 20""")
 def q_hits_top_k(spark, d):
-    return graph.top_k(graph.hits(edges(spark, d).where("tree_id IS NOT NULL"), ["tree_id"]), ["tree_id"]).select("tree_id", "node", "rank", F.round("authority", 6).alias("authority"))
+    """The 20 best nodes of each tree after eight rounds."""
+    s = graph.hits(edges(spark, d), ["tree_id"], max_iter=8, fixed=True)
+    return graph.top_k(s, ["tree_id"]).select("tree_id", "node", "rank", F.round("authority", 6).alias("authority"))
+
+
+@query()
+def q_hits(spark, d):
+    """The scores of all nodes once they no longer move."""
+    return graph.hits(edges(spark, d), ["tree_id"]).select("tree_id", "node", F.round("authority", 6).alias("authority"), F.round("hub", 6).alias("hub"))
 
 
 @query("""WITH o AS (SELECT DISTINCT tree_id, src, dst FROM call_edges WHERE edge_kind = 'call'), n AS (SELECT DISTINCT tree_id, src, dst FROM call_edges WHERE edge_kind = 'points_to')
