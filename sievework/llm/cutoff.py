@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.items import mix
 from ..sources.tables import materialize
-from ._items import mix
 
 #: The symbols of the reduced alphabet. a: lower case, A: upper case, 0: digits, Z: letters without case, ^: line start, ~: other.
 SYMBOLS = "^aA0Z .,;:!?\"'`()[]{}<>/-_#|*=+~R"

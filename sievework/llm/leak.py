@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import sys
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,17 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.items import chunks, mix, powers
+from ..operators.skew import bitmap, held, salted_join
 from ..sources.tables import materialize, release
-from ._items import chunks, mix, powers
 
 LEAST = 12
 SHINGLE = 5
-#: The bitmap of the items' shingles has 2**CELL_BITS bits, whatever the number of items: this bounds what is broadcast (16 MB).
-CELL_BITS = 27
-SLICE_BITS = 16
-#: Documents of one shingle from which its postings are split over SALTS tasks.
-HOT = 20_000
-SALTS = 32
 
 _WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -109,50 +103,16 @@ def _posting(shingle, key, place, n) -> pa.RecordBatch:
 
 def posting_rows(batches: Iterator[pa.RecordBatch], size: int, filter=None) -> Iterator[pa.RecordBatch]:
     """The shingles of (key, text) rows; with a filter only those that its bitmap has."""
-    bits = None if filter is None else _bitmap(filter)
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for s, text, place, n in shingle_rows(batch.column(1).to_pylist(), size):
-            if bits is not None:
-                cell = (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                ok = (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(np.bool_)
+            if filter is not None:
+                ok = held(filter, s)
                 s, text, place, n = s[ok], text[ok], place[ok], n[ok]
             if len(s):
                 yield _posting(s, keys[text], place, n)
 
 
-def bitmap_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, bits) of distinct (slice, cell) rows that come ordered by slice."""
-    at, bits = -1, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], names=["slice", "bits"])
-
-    for batch in batches:
-        s, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(np.diff(s, prepend=-1)).tolist()
-        for i, j in zip(cuts, [*cuts[1:], len(s)]):
-            if s[i] != at:
-                if bits is not None:
-                    yield done()
-                at, bits = int(s[i]), np.zeros(1 << SLICE_BITS, np.uint8)
-            bits[cell[i:j]] = 1
-    if bits is not None:
-        yield done()
-
-
-def _bitmap(broadcast) -> np.ndarray:
-    """The dense bitmap, unpacked once in each Python worker."""
-    dense = getattr(broadcast, "dense", None)
-    if dense is None:
-        dense = np.zeros(1 << CELL_BITS - 3, np.uint8)
-        part = 1 << SLICE_BITS - 3
-        for s, bits in broadcast.value:
-            dense[s * part : (s + 1) * part] = np.frombuffer(zlib.decompress(bits), np.uint8)
-        broadcast.dense = dense
-    return dense
-
-
 def rarest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(key, place) of the rarest shingle of each window of `width` shingles that all occur; rows of (key, [(place, count)])."""
     for batch in batches:
@@ -214,14 +174,10 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     spark = documents.sparkSession
     size = min(SHINGLE, least)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * least - 1))
-    held = items.where(F.col("item_id").isNotNull() & (F.length("text") >= 2 * least - 1)).select("item_id", "text").distinct()
-    held = materialize(held.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text"), "items")
-    own = materialize(held.select("item", "text").mapInArrow(lambda b: posting_rows(b, size), POSTING), "shingles").withColumnRenamed("key", "item").withColumnRenamed("n", "n_item")
-    cell = F.shiftrightunsigned("shingle", 64 - CELL_BITS)
-    cells = own.select(F.shiftright(cell, SLICE_BITS).cast("int").alias("slice"), cell.bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).cast("int").alias("cell")).distinct()
-    # at most 2**(CELL_BITS - SLICE_BITS) rows of 2**(SLICE_BITS - 3) bytes
-    slices = cells.repartition("slice").sortWithinPartitions("slice").mapInArrow(bitmap_slices, "slice int, bits binary").collect()
-    filter = spark.sparkContext.broadcast([(r.slice, bytes(r.bits)) for r in slices])
+    given = items.where(F.col("item_id").isNotNull() & (F.length("text") >= 2 * least - 1)).select("item_id", "text").distinct()
+    given = materialize(given.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text"), "items")
+    own = materialize(given.select("item", "text").mapInArrow(lambda b: posting_rows(b, size), POSTING), "shingles").withColumnRenamed("key", "item").withColumnRenamed("n", "n_item")
+    filter = bitmap(own, "shingle")
     posted = docs.mapInArrow(lambda b: posting_rows(b, size, filter), POSTING).toDF("shingle", "doc_id", "place_doc", "n_doc")
     posted = materialize(posted, "postings")
     known = own.select("shingle").distinct()
@@ -230,15 +186,12 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     listed = own.join(counts, "shingle").groupBy("item").agg(F.collect_list(F.struct("place", "n")).alias("known"))
     chosen = listed.mapInArrow(lambda b: rarest(b, least - size + 1), "item long, place int")
     index = own.join(chosen, ["item", "place"])
-    hot = materialize(counts.where(F.col("n") >= HOT).select("shingle", F.lit(True).alias("hot")), "hot")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "place_doc"), F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))
-    met = posted.join(hot, "shingle", "left").withColumn("salt", salt).drop("hot").join(index.join(hot, "shingle", "left").withColumn("salt", F.explode(salts)).drop("hot"), ["shingle", "salt"])
+    met = salted_join(posted, index, ["shingle"], F.struct("doc_id", "place_doc"), counts)
     room = F.least("place_doc", "place") + F.least(F.col("n_doc") - F.col("place_doc"), F.col("n_item") - F.col("place"))
     near = met.where(room >= least).select("doc_id", "item", (F.col("place_doc") - F.col("place")).cast("long").alias("shift"), "n_item").distinct()
     near = materialize(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift", "n_item")).alias("places")), "candidates")
     release(spark)
     windows = docs.join(near, "doc_id").select("doc_id", "text", "places").mapInArrow(window_rows, "doc_id long, item long, shift long, words array<string>")
-    pairs = windows.join(held, "item").select("doc_id", "item_id", "shift", "words", "text")
+    pairs = windows.join(given, "item").select("doc_id", "item_id", "shift", "words", "text")
     runs = pairs.mapInArrow(lambda b: run_rows(b, least), "doc_id long, item_id string, run_words int, item_words int")
     return runs.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"))

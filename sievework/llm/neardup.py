@@ -6,12 +6,13 @@ Items are the distinct tokens of a text and its distinct pairs of adjacent token
 2. A counting sketch of fixed size tells how rare each item is; it covers all records. Any fixed order of items is
    correct for the prefix filter, so collisions in the sketch cost time only.
 3. Each record is posted under the rarest items of its prefix (two similar records share at least one of them). Items that no
-   other record can have are not posted, and postings without another of a fitting size and place are dropped.
-4. The others get a parity bitmap of their record's items. Under each item the bitmaps are compared in tiles with exclusive-or and bit counts. The bitmaps of two sets differ in no
-   more bits than the sets differ in items, so the radius (1-t)/(1+t) * (|a|+|b|) loses no pair; pairs whose
-   population counts differ by more than the radius are skipped unseen. Items in very many records are cut into tiles
-   that are compared by different tasks.
-5. The pairs that are left are compared exactly on their item sets.
+   other record can have are not posted, and postings without another of a fitting size and place are dropped. Items that are
+   posted for more than TILE records, by true counts, are cut into cells of two parts of their records, for different tasks.
+4. The others get a parity bitmap of their record's items. Under each item the bitmaps are compared in tiles with exclusive-or
+   and bit counts. The bitmaps of two sets differ in no more bits than the sets differ in items, so the radius
+   (1-t)/(1+t) * (|a|+|b|) loses no pair. Tiles are cut from the records in the order of their population counts; pairs of
+   tiles, and then of records, whose population counts differ by more than the radius are skipped unseen.
+5. The pairs that are left are compared exactly on their item sets, gathered in bins; large bins are cut into cells in the same way.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize, release
-from ._items import item_sets
+from ..functions.items import item_sets
+from ..operators.skew import salted_join
+from ..sources.tables import discard, materialize, release
 
 THRESHOLD = 0.6
 MIN_TOKENS = 40
@@ -36,6 +38,8 @@ SLICE_BITS = 16
 TILE = 2048
 #: Most records whose sets one task holds to verify their pairs.
 BIN = 5000
+#: Rows of a tile of bitmaps.
+ROWS = 64
 BASE_BITS = 512
 
 
@@ -50,21 +54,22 @@ def encode_counts(counts: np.ndarray) -> np.ndarray:
 class Sketch:
     """The dense sketch: codes of cells, and the greatest count of each slice, which bounds counts beyond the codes."""
 
-    def __init__(self, slices: list[tuple[int, int, bytes]]):
-        self.codes = np.zeros(1 << CELL_BITS - 1, np.uint8)
-        self.most = np.zeros(1 << CELL_BITS - SLICE_BITS, np.int64)
+    def __init__(self, slices: list[tuple[int, int, bytes]], bits: int = CELL_BITS):
+        self.bits = bits
+        self.codes = np.zeros(1 << bits - 1, np.uint8)
+        self.most = np.zeros(1 << bits - SLICE_BITS, np.int64)
         half = 1 << SLICE_BITS - 1
         for s, most, packed in slices:
             self.codes[s * half : (s + 1) * half] = np.frombuffer(zlib.decompress(packed), np.uint8)
             self.most[s] = most
 
     def code(self, items: np.ndarray) -> np.ndarray:
-        cells = (items >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        cells = (items >> np.uint64(64 - self.bits)).astype(np.int64)
         return self.codes[cells >> 1] >> ((cells & 1) << 2).astype(np.uint8) & np.uint8(15)
 
     def at_most(self, items: np.ndarray, code: np.ndarray) -> np.ndarray:
         """An upper bound of the counts of items with these codes."""
-        most = self.most[(items >> np.uint64(64 - CELL_BITS + SLICE_BITS)).astype(np.int64)]
+        most = self.most[(items >> np.uint64(64 - self.bits + SLICE_BITS)).astype(np.int64)]
         return np.where(code < 8, code, np.where(code < 15, (16 << np.maximum(code.astype(np.int64) - 8, 0)) - 1, most))
 
 
@@ -91,12 +96,12 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     return keys, [t or b"" for t in texts]
 
 
-def sketch_part(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def sketch_part(batches: Iterator[pa.RecordBatch], least: int, bits: int = CELL_BITS) -> Iterator[pa.RecordBatch]:
     """Counts of the sketch's cells over one partition, as sparse slices."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        cells, counts = np.unique(np.concatenate(held) >> np.uint64(64 - CELL_BITS), return_counts=True)
+        cells, counts = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
         slices = (cells >> np.uint64(SLICE_BITS)).astype(np.int32)
         cuts = np.flatnonzero(np.diff(slices, prepend=-1))
         low, counts = (cells & np.uint64((1 << SLICE_BITS) - 1)).astype(np.uint16), np.minimum(counts, 65535).astype(np.uint16)
@@ -138,20 +143,16 @@ def _sketch(broadcast) -> Sketch:
     """The dense sketch, unpacked once in each Python worker."""
     dense = getattr(broadcast, "dense", None)
     if dense is None:
-        dense = broadcast.dense = Sketch(broadcast.value)
+        dense = broadcast.dense = Sketch(*broadcast.value)
     return dense
 
 
-def tile_of(key: int, tiles: int) -> int:
-    return (key * 0x9E3779B1 >> 7) % tiles
-
-
-def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch) -> Iterator[pa.RecordBatch]:
-    """(item, tiles, record, size, place) for the prefix items of each record."""
+def posting_rows(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(items, records, sizes, places, bounds of the items' counts) of the prefix items of each batch of records."""
     counts = _sketch(sketch)
     for batch in batches:
         keys, texts = _texts(batch)
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for key, items in zip(keys, item_sets(texts, least)):
             if items is None:
                 continue
@@ -163,23 +164,39 @@ def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sk
             if not len(place):
                 continue
             own = items[order[place]]
-            c, own = counts.at_most(own, code[order[place]]), own.view(np.int64)
-            tiles = np.maximum(1, -(-c // TILE))
-            if tiles.max() == 1:
-                cols = (own, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), place)
-            else:
-                cells = [(i, min(tile, u), max(tile, u), p) for i, p, t in zip(own.tolist(), place.tolist(), tiles.tolist()) for tile in (tile_of(int(key), t),) for u in range(t)]
-                cols = tuple(np.array(x, np.int64) for x in zip(*cells))
-            size = len(cols[0])
-            for col, x in zip(out, (*cols[:3], np.full(size, key, np.int64), np.full(size, n, np.int64), cols[3])):
+            for col, x in zip(out, (own.view(np.int64), np.full(len(own), key, np.int64), np.full(len(own), n, np.int32), place.astype(np.int32), counts.at_most(own, code[order[place]]))):
                 col.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t, safe=False) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["item", "ta", "tb", "rec", "n", "place"])
+            yield tuple(np.concatenate(c) for c in out)
+
+
+def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch) -> Iterator[pa.RecordBatch]:
+    for item, rec, n, place, _ in posting_rows(batches, least, threshold, sketch):
+        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(rec), pa.array(n), pa.array(place)], names=["item", "rec", "n", "place"])
+
+
+def hot_counts(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch, tile: int) -> Iterator[pa.RecordBatch]:
+    """(item, n): how often items that may have more than `tile` postings are posted."""
+    for item, _, _, _, most in posting_rows(batches, least, threshold, sketch):
+        items, n = np.unique(item[most > tile], return_counts=True)
+        if len(items):
+            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(n.astype(np.int64))], names=["item", "n"])
 
 
 POSTING = "item long, ta int, tb int, rec long, n int, place int"
 
 
+def tile_of(key: str, tiles: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.col(tiles)).cast("int")
+
+
+def cells(df: DataFrame, key: str, tiles: str) -> DataFrame:
+    """The rows once for each cell (ta, tb) of two tiles that holds their key's tile; null tiles are one cell."""
+    own, other = tile_of(key, tiles), F.explode(F.coalesce(F.sequence(F.lit(0), F.col(tiles) - 1), F.array(F.lit(0)))).alias("__u")
+    spread = df.select("*", F.coalesce(own, F.lit(0)).alias("__t"), other)
+    return spread.withColumn("ta", F.least("__t", "__u").cast("int")).withColumn("tb", F.greatest("__t", "__u").cast("int")).drop("__t", "__u", tiles)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
     """Tables of at least that many rows that never cut a run of equal (item, ta, tb)."""
     held: list[pa.RecordBatch] = []
@@ -235,7 +252,40 @@ def with_partner(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
-def compare_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def tiles_of(pop: np.ndarray, size: np.ndarray, first: int, need: float, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of one large group, pair of tiles by pair of tiles, as offsets from `first`.
+
+    Tiles are so many rows in the order of population counts. A tile meets those behind it until the least count of one is
+    further off than any radius allows: radius <= (1 - 2 need) (|a| + |b|).
+    """
+    order = np.argsort(pop, kind="stable")
+    starts = np.arange(0, len(pop), rows)
+    low, high = pop[order[starts]], pop[order[np.minimum(starts + rows, len(pop)) - 1]]
+    most = np.maximum.reduceat(size[order], starts)
+    for a in range(len(starts)):
+        gap = low[a:] - high[a]
+        for b in (a + np.flatnonzero(gap <= (1 - 2 * need) * (most[a] + most[a:]) + 1e-9)).tolist():
+            x, y = order[starts[a] : starts[a] + rows], order[starts[b] : starts[b] + rows]
+            if a == b:
+                k, m = np.triu_indices(len(x), 1)
+                i, j = x[k], x[m]
+            else:
+                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+            yield i + first, j + first
+
+
+def admissible(t: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, radius) of the pairs of rows whose sizes, places and tiles admit the threshold; i is the smaller set."""
+    need = threshold / (1 + threshold)
+    ta, tb, rec, n, place = (t.column(k).to_numpy() for k in range(1, 6))
+    swap = n[i] > n[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    overlap = np.ceil(need * (n[i].astype(np.int64) + n[j]) - 1e-9).astype(np.int64)
+    ok = (n[i] >= threshold * n[j] - 1e-9) & (n[i] - place[i] >= overlap) & (n[j] - place[j] >= overlap) & (rec[i] != rec[j])
+    return i[ok], j[ok], (n[i].astype(np.int64) + n[j] - 2 * overlap)[ok]
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch], threshold: float, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Pairs within the radius under each item; postings with bitmaps, ordered by item, tiles and size."""
     need = threshold / (1 + threshold)
     for t in whole_groups(batches):
@@ -243,24 +293,57 @@ def compare_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         bitmaps = [np.frombuffer(b, np.uint8) for b in t.column(6).to_pylist()]
         base = np.stack([fold(b, BASE_BITS) for b in bitmaps]).view(np.uint64)
         pop = np.bitwise_count(base).sum(axis=1, dtype=np.int32)
-        pairs: set[tuple[int, int, int, int]] = set()
-        for i, j, radius in strips(t, threshold):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def done() -> pa.RecordBatch:
+            """The different pairs held, compared once more in the wider bitmaps of large sets."""
+            i, j = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
+            swap = rec[i] > rec[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.lexsort((rec[j], rec[i]))
+            i, j = i[order], j[order]
+            new = np.ones(len(i), np.bool_)
+            new[1:] = (rec[i[1:]] != rec[i[:-1]]) | (rec[j[1:]] != rec[j[:-1]])
+            i, j = i[new], j[new]
+            near = np.ones(len(i), np.bool_)
+            for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+                width = min(len(bitmaps[a]), len(bitmaps[b])) * 8
+                if width > BASE_BITS:
+                    radius = n[a] + n[b] - 2 * np.ceil(need * (n[a] + n[b]) - 1e-9)
+                    near[k] = np.bitwise_count(fold(bitmaps[a], width) ^ fold(bitmaps[b], width)).sum(dtype=np.int64) <= radius
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rec[i[near]]), pa.array(rec[j[near]])], names=["a", "b"])
+
+        for i, j, radius in candidates(t, pop, threshold, rows):
             ok = np.abs(pop[i] - pop[j]) <= radius
             i, j, radius = i[ok], j[ok], radius[ok]
             ok = np.bitwise_count(base[i] ^ base[j]).sum(axis=1, dtype=np.int32) <= radius
-            i, j = i[ok], j[ok]
-            swap = rec[i] > rec[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            _, first = np.unique(np.stack((rec[i], rec[j]), axis=1), axis=0, return_index=True)
-            pairs.update(zip(rec[i[first]].tolist(), rec[j[first]].tolist(), i[first].tolist(), j[first].tolist()))
-        near: dict[tuple[int, int], bool] = {}
-        for a, b, i, j in pairs:
-            if (a, b) not in near:
-                width = min(len(bitmaps[i]), len(bitmaps[j])) * 8
-                radius = n[i] + n[j] - 2 * np.ceil(need * (n[i] + n[j]) - 1e-9)
-                near[a, b] = width == BASE_BITS or np.bitwise_count(fold(bitmaps[i], width) ^ fold(bitmaps[j], width)).sum(dtype=np.int64) <= radius
-        out = [p for p, ok in near.items() if ok]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["a", "b"])
+            held.append((i[ok], j[ok]))
+            count += int(ok.sum())
+            if count > 1_000_000:
+                yield done()
+                count = 0
+        yield done()
+
+
+def candidates(t: pa.Table, pop: np.ndarray, threshold: float, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Admissible pairs of rows: of groups of one tile all at once, of larger groups by pairs of tiles."""
+    item, ta, tb, _, n, _ = (t.column(k).to_numpy() for k in range(6))
+    new = np.ones(len(item), np.bool_)
+    new[1:] = (item[1:] != item[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(item)))
+    small = np.repeat(size <= rows, size)
+    if small.all():
+        yield from strips(t, threshold)
+        return
+    where = np.flatnonzero(small)
+    for i, j, radius in strips(t.filter(pa.array(small)).combine_chunks(), threshold):
+        yield where[i], where[j], radius
+    for a, k in zip(first[size > rows].tolist(), size[size > rows].tolist()):
+        for i, j in tiles_of(pop[a : a + k], n[a : a + k].astype(np.int64), a, threshold / (1 + threshold), rows):
+            yield admissible(t, i, j, threshold)
 
 
 def bit_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -271,11 +354,13 @@ def bit_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(bin, rec, items) for rows of (rec, text, bin)."""
+    """(bin, ta, tb, rec, items) for rows of (rec, text, bin, ta, tb)."""
     for batch in batches:
         keys, texts = _texts(batch)
-        rows = [(b, int(k), s.tobytes()) for k, s, b in zip(keys, item_sets(texts, least), batch.column(2).to_pylist()) if s is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bin", "rec", "items"])
+        found = list(item_sets(texts, least))
+        keep = pa.array([s is not None for s in found])
+        own = [batch.column(k).filter(keep) for k in (2, 3, 4, 0)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in found if s is not None], pa.binary())], names=["bin", "ta", "tb", "rec", "items"])
 
 
 def similarity(x: bytes, y: bytes) -> tuple[int, int]:
@@ -290,13 +375,13 @@ def _similar(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
 
 
 def verify_bins(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of each bin that reach the threshold. A bin's sets (b null) come before its pairs; only one bin's sets are held."""
+    """The pairs of each cell that reach the threshold. A cell's sets (b null) come before its pairs; only one cell's sets are held."""
     at, sets = None, {}
     for batch in batches:
         out = []
-        for own, a, b, items in zip(*(c.to_pylist() for c in batch.columns)):
-            if own != at:
-                at, sets = own, {}
+        for own, ta, tb, a, b, items in zip(*(c.to_pylist() for c in batch.columns)):
+            if (own, ta, tb) != at:
+                at, sets = (own, ta, tb), {}
             if b is None:
                 sets[a] = items
             else:
@@ -306,39 +391,28 @@ def verify_bins(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         yield _similar(out)
 
 
-def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            common, union = similarity(x, y)
-            if common >= threshold * union - 1e-9:
-                out.append((a, b, common / union))
-        yield _similar(out)
-
-
 def verified(near: DataFrame, one: DataFrame, threshold: float, least: int) -> DataFrame:
     """The near pairs that are similar, by their whole sets.
 
     Pairs gather in bins by the least record that their records are near to, so that a record's set travels once or
-    little more. Bins of more than BIN records are not gathered: their pairs meet the sets by joins.
+    little more. Bins of more than BIN records are cut into parts, and their pairs are verified in cells of two parts, so
+    that a set travels once for each part of its bin and no task holds more than BIN sets at once.
     """
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "bins")
     of = lambda c, to: label.select(F.col("a").alias(c), F.col("label").alias(to))
     pairs = materialize(near.join(of("a", "la"), "a").join(of("b", "lb"), "b").select(F.least("la", "lb").alias("bin"), "a", "b"), "binned")
-    members = pairs.select("bin", F.explode(F.array("a", "b")).alias("key")).distinct()
-    members = materialize(members, "members")
-    big = materialize(members.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > BIN).select("bin"), "big")
-    schema = "bin long, rec long, items binary"
-    sets = one.join(members.join(big, "bin", "left_anti"), "key").select("key", "text", "bin").mapInArrow(lambda b: set_rows(b, least), schema)
-    rows = sets.select("bin", F.col("rec").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(pairs.join(big, "bin", "left_anti").select("bin", "a", "b", F.lit(None).cast("binary").alias("items")))
-    out = rows.repartition("bin").sortWithinPartitions("bin", F.col("b").asc_nulls_first(), "a").mapInArrow(lambda it: verify_bins(it, threshold), "a long, b long, similarity double")
-    if not big.isEmpty():
-        many = pairs.join(big, "bin", "left_semi").select("a", "b")
-        wanted = many.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("bin", F.lit(0).cast("long"))
-        whole = materialize(one.join(wanted, "key").select("key", "text", "bin").mapInArrow(lambda b: set_rows(b, least), schema).select("rec", "items"), "sets")
-        x, y = whole.select(F.col("rec").alias("a"), F.col("items").alias("x")), whole.select(F.col("rec").alias("b"), F.col("items").alias("y"))
-        out = out.unionByName(many.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lambda it: verify(it, threshold), "a long, b long, similarity double"))
+    members = materialize(pairs.select("bin", F.explode(F.array("a", "b")).alias("key")).distinct(), "members")
+    big = materialize(members.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > BIN).select("bin", F.ceil(2 * F.col("n") / BIN).cast("int").alias("tiles")), "big")
+    placed = cells(members.join(big, "bin", "left"), "key", "tiles").distinct()
+    sets = one.join(placed, "key").select("key", "text", "bin", "ta", "tb").mapInArrow(lambda b: set_rows(b, least), "bin long, ta int, tb int, rec long, items binary")
+    split = pairs.join(big, "bin", "left").withColumn("x", F.coalesce(tile_of("a", "tiles"), F.lit(0))).withColumn("y", F.coalesce(tile_of("b", "tiles"), F.lit(0)))
+    split = split.select("bin", F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"), "a", "b", F.lit(None).cast("binary").alias("items"))
+    rows = sets.select("bin", "ta", "tb", F.col("rec").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(split)
+    keys = ("bin", "ta", "tb")
+    out = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first(), "a").mapInArrow(lambda it: verify_bins(it, threshold), "a long, b long, similarity double")
+    out = materialize(out.distinct(), "similar")
+    discard(label, pairs, members, big)
     return out
 
 
@@ -365,24 +439,38 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     under different keys are copies: they are in `members`, with the least key as their representative.
     """
     one, members = copies(records, key, text, version)
-    spark = records.sparkSession
-    parts = one.mapInArrow(lambda b: sketch_part(b, least), "slice int, cells binary, counts binary")
+    spark, bits, tile_rows = records.sparkSession, CELL_BITS, ROWS
+    parts = one.mapInArrow(lambda b: sketch_part(b, least, bits), "slice int, cells binary, counts binary")
     summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(sketch_sum, "slice int, most long, codes binary")
-    sketch = spark.sparkContext.broadcast([(r.slice, r.most, bytes(r.codes)) for r in summed.collect()])
+    # at most 2**(CELL_BITS - SLICE_BITS) slices of 2**(SLICE_BITS - 1) bytes
+    slices = [(r.slice, r.most, bytes(r.codes)) for r in summed.collect()]
+    most = max((m for _, m, _ in slices), default=0)
+    sketch = spark.sparkContext.broadcast((slices, bits))
     del parts, summed
     release(spark)
-    cells = ("item", "ta", "tb")
-    posted = one.mapInArrow(lambda b: postings(b, least, threshold, sketch), POSTING)
-    posted = materialize(posted.repartition(*cells).sortWithinPartitions(*cells, "n").mapInArrow(lambda b: with_partner(b, threshold), POSTING), "postings")
+    keys = ("item", "ta", "tb")
+    posted = one.mapInArrow(lambda b: postings(b, least, threshold, sketch), "item long, rec long, n int, place int")
+    if most > TILE:
+        # true counts of the items that may be posted for more records than a tile holds
+        tile = TILE
+        counted = one.mapInArrow(lambda b: hot_counts(b, least, threshold, sketch, tile), "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
+        hot = materialize(counted.where(F.col("n") > TILE).select("item", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot")
+        posted = cells(posted.join(hot, "item", "left"), "rec", "tiles")
+    else:
+        posted = posted.withColumn("ta", F.lit(0)).withColumn("tb", F.lit(0))
+    posted = posted.select("item", "ta", "tb", "rec", "n", "place")
+    posted = materialize(posted.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: with_partner(b, threshold), POSTING), "postings")
     release(spark)
     wanted = materialize(posted.select(F.col("rec").alias("key")).distinct(), "wanted")
     bits = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: bit_rows(b, least), "rec long, bits binary"), "bits")
     release(spark)
-    near = posted.join(bits, "rec").select(*posted.columns, "bits").repartition(*cells).sortWithinPartitions(*cells, "n")
-    near = materialize(near.mapInArrow(lambda b: compare_tiles(b, threshold), "a long, b long").distinct(), "near")
+    near = posted.join(bits, "rec").select(*posted.columns, "bits").repartition(*keys).sortWithinPartitions(*keys, "n")
+    near = materialize(near.mapInArrow(lambda b: compare_tiles(b, threshold, tile_rows), "a long, b long").distinct(), "near")
+    discard(posted, wanted, bits)
     release(spark)
     pairs = verified(near, one, threshold, least)
-    return materialize(pairs.distinct(), "similar"), members
+    discard(near)
+    return pairs, members
 
 
 def long_enough(records: DataFrame, key: str, text: str, least: int = MIN_TOKENS) -> DataFrame:
@@ -394,10 +482,10 @@ def long_enough(records: DataFrame, key: str, text: str, least: int = MIN_TOKENS
 def expand(pairs: DataFrame, members: DataFrame, eligible_copies: DataFrame) -> DataFrame:
     """All pairs of records from the pairs of representatives and the copies: (key_a, key_b), key_a < key_b, distinct."""
     own = members.select(F.col("rep").alias("r"), F.col("key").alias("k"))
-    side = lambda df, col, to: df.join(own.withColumnRenamed("r", col).withColumnRenamed("k", to), col, "left").withColumn(to, F.coalesce(to, F.col(col)))
-    across = side(side(pairs.select("a", "b"), "a", "ka"), "b", "kb")
+    side = lambda df, col, other, to: salted_join(df, own.withColumnRenamed("r", col).withColumnRenamed("k", to), [col], F.col(other)).unionByName(df.join(own.select(F.col("r").alias(col)), col, "left_anti").withColumn(to, F.col(col)))
+    across = side(side(pairs.select("a", "b"), "a", "b", "ka"), "b", "ka", "kb")
     ok = own.join(eligible_copies.select(F.col("key").alias("k")), "k", "left_semi")
-    within = ok.select("r", F.col("k").alias("ka")).join(ok.select("r", F.col("k").alias("kb")), "r").where("ka < kb")
+    within = salted_join(ok.select("r", F.col("k").alias("ka")), ok.select("r", F.col("k").alias("kb")), ["r"], F.col("ka")).where("ka < kb")
     both = across.select("ka", "kb").unionByName(within.select("ka", "kb"))
     return both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, release
-from ._items import mix, powers
+from ..functions.items import mix, powers
 from .neardup import copies
 
 LEAST = 200

@@ -5,6 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sievework.llm import bpe, cutoff, leak
+from sievework.operators import skew
 
 PATH = f"{bpe.TOKENIZERS}/{bpe.NAME}.tiktoken"
 
@@ -44,7 +45,7 @@ def brute_leaks(docs, items, least):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_leaks(rows, monkeypatch, hot):
-    monkeypatch.setattr(leak, "HOT", hot)
+    monkeypatch.setattr(skew, "HOT", hot)
     rng = random.Random(4)
     words = ["Der", "Straße", "x_1", "the", "the", "a", "b", "c", "λ"]
     items = [(f"i{k}", " ".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(20)]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sievework.llm import neardup
-from sievework.llm._items import item_sets, tokens
+from sievework.functions.items import item_sets, tokens
 
 
 def items(text):
@@ -37,9 +37,12 @@ def corpus(seed, n=60):
     return data + [(k, t, t0 + dt.timedelta(days=1)) for k, t, _ in data[:5]] + data[10:12]
 
 
-@pytest.mark.parametrize("threshold, least, tile", [(0.6, 10, 2048), (0.6, 10, 2), (0.8, 3, 3)])
-def test_pairs_and_groups(rows, monkeypatch, threshold, least, tile):
+@pytest.mark.parametrize("threshold, least, tile, bits", [(0.6, 10, 2048, 27), (0.6, 10, 2, 17), (0.8, 3, 3, 16), (0.3, 5, 5, 16)])
+def test_pairs_and_groups(rows, monkeypatch, threshold, least, tile, bits):
+    """Small tiles, bins and sketches change how the work is cut, never the pairs."""
     monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "ROWS", tile)
+    monkeypatch.setattr(neardup, "CELL_BITS", bits)
     monkeypatch.setattr(neardup, "BIN", 5000 if tile == 3 else tile)
     data = corpus(tile)
     df = rows(data, "block_key long, content string, ingested_at timestamp")
@@ -55,6 +58,30 @@ def test_pairs_and_groups(rows, monkeypatch, threshold, least, tile):
     assert got == {k: (r, sum(k in p for p in want)) for k, r in root.items()}
 
 
+def test_tiles_far_apart_are_skipped():
+    rng = np.random.default_rng(2)
+    pop, size = rng.integers(0, 400, 500).astype(np.int32), rng.integers(50, 90, 500)
+    seen = {tuple(sorted(p)) for i, j in neardup.tiles_of(pop, size, 0, 0.375, 16) for p in zip(i.tolist(), j.tolist())}
+    need = {(a, b) for a in range(500) for b in range(a + 1, 500) if abs(int(pop[a]) - int(pop[b])) <= 0.25 * (size[a] + size[b])}
+    assert need <= seen and len(seen) < 500 * 499 // 2 * 0.6
+
+
+def test_postings_stay_bounded_when_the_sketch_is_full():
+    """A full sketch posts at most the prefix of each record, in one cell unless the item's true count asks for more."""
+    texts = [" ".join(f"w{(k * 7 + j * j) % 5000}" for j in range(60)).encode() for k in range(200)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([t.decode() for t in texts])], names=["key", "text"])
+    parts = list(neardup.sketch_part([batch], 1, 16))
+    slices = [(r["slice"], r["most"], r["codes"]) for b in neardup.sketch_sum(parts) for r in b.to_pylist()]
+
+    class Shared:
+        value = (slices, 16)
+
+    posted = sum(b.num_rows for b in neardup.postings([batch], 1, 0.6, Shared()))
+    assert posted <= sum(len(s) - int(np.ceil(0.6 * len(s))) + 1 for s in item_sets(texts, 1))
+
+
 def test_empty_and_single(rows):
     df = rows([], "block_key long, content string, ingested_at timestamp")
     pairs, members = neardup.similar_texts(df, "block_key", "content", "ingested_at")
