@@ -87,8 +87,10 @@ subscript: ':' test? (':' test?)? | '*' test | named (':' test? (':' test?)?)?
 """
 
 JAVA = """
-start: package? (import | type_decl | ';')*
+start: package? (import | type_decl | ';' | module)*
 package: 'package' qname ';'
+module: 'module' qname '{' directive* '}'
+directive: NAME (NAME | '.' | ',' | 'static')* ';'
 import: 'import' 'static'? NAME ('.' (NAME | '*'))* ';'
 qname: NAME ('.' NAME)*
 modifier: MODIFIER | 'static' | 'default' | 'synchronized' | annotation
@@ -122,7 +124,7 @@ type_arg: '?' (('extends' | 'super') type)? | type
 block: '{' stmt* '}'
 stmt: block | ';' | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
   | 'for' '(' for_control ')' stmt | switch | 'return' expr? ';' | 'break' NAME? ';' | 'continue' NAME? ';' | 'throw' expr ';'
-  | 'try' ('(' resource (';' resource?)* ')')? block catch* ('finally' block)? | 'synchronized' '(' expr ')' block | 'assert' expr (':' expr)? ';'
+  | 'try' ('(' resource (';' resource?)* ')' block catch* ('finally' block)? | block (catch+ ('finally' block)? | 'finally' block)) | 'synchronized' '(' expr ')' block | 'assert' expr (':' expr)? ';'
   | (MODIFIER | annotation | 'static')+ (type_kind | type NAME fields ';') | type_kind | local ';' | NAME named_stmt | expr_start ';'
 named_stmt: ':' stmt | named_rest ';'
 local: PRIMITIVE (dims NAME fields | '.' 'class' tail* operations)
@@ -137,10 +139,13 @@ for_decl: ':' expr | fields ';' expr? ';' exprs?
 for_more: ':' expr | (',' expr)* ';' expr? ';' exprs?
 exprs: expr (',' expr)*
 switch: 'switch' '(' expr ')' '{' switch_item* '}'
-switch_item: 'case' case_label (',' case_label)* (':' | '->' ) | 'default' (':' | '->') | stmt
-case_label: 'default' | operand NAME? (NAME expr)?
+switch_item: 'case' case_label (',' case_label)* (':' | '->' value?) | 'default' (':' | '->' value?) | stmt
+value: (NUM | CHAR | 'true' | 'false' | 'null') tail* operations ';'
+case_label: 'default' | operand NAME? (NAME operand guard*)?
+guard: BINARY operand | '*' operand | '+' operand | '-' operand | '<' operand | '>' operand | '&' operand | 'instanceof' 'final'? operand NAME?
 expr: operand operations
-expr_start: PREFIX operand operations | '(' paren ')' after_paren tail* operations | '+' operand operations | '-' operand operations | '++' operand operations | '--' operand operations | strict_primary tail* operations
+expr_start: PREFIX operand operations | '(' paren ')' after_paren tail* operations | '+' operand operations | '-' operand operations | '++' operand operations | '--' operand operations | start_primary tail* operations
+start_primary: STR | 'this' | 'super' | PRIMITIVE | 'void' | 'new' creation | switch
 operations: operation*
 operation: BINARY operand | '*' operand | '+' operand | '-' operand | '<' operand? | '>' ('>' '>'?)? operand? | '&' operand? | '=' init | '?' expr ':' operand | 'instanceof' 'final'? operand NAME? | '->' (block | operand)
 operand: ('+' | '-' | PREFIX | '++' | '--')* primary tail*
@@ -161,14 +166,14 @@ qualifier: QUALIFIER | attribute
 attribute: ATTRIBUTE '(' ignored* ')'
 ignored: '(' ignored* ')' | NAME | STR | NUM | ',' | TYPE | QUALIFIER | CHAR
 direct: word_name | '(' ptr* direct ')'
-suffix: '[' expr? ']' | '(' params? ')' | attribute
+suffix: '[' exprs? ']' | '(' params? ')' | attribute
 params: param (',' param?)*
 param: '...' | word+ (ptr | '...')* (direct | '(' ptr+ direct? suffix* ')')? param_suffix* ('=' init)? | ptr+ direct? suffix* | NUM | STR | CHAR | '-' expr | '!' expr
 param_suffix: suffix | '.' NAME | BINARY param_operand | '-' param_operand | '+' param_operand | '->' NAME
 param_operand: ('-' | '*' | '&' | '!')* (NAME | NUM | STR | CHAR) suffix*
 braced_init: '{' inits? '}' more_declarators ';'
 inits: init_item (',' init_item?)*
-init_item: ('.' NAME | '[' expr ']')+ ('=' init | braces) | init
+init_item: ('.' NAME | '[' expr ('...' expr)? ']')+ ('=' init | braces) | init
 init: braces | expr
 braces: '{' inits? '}'
 more_declarators: (',' ptr* direct suffix* (':' expr)? ('=' init | braces)?)*
@@ -213,7 +218,7 @@ members: '{' (declaration | ';')* '}'
 enum: 'enum' NAME? ('{' (constant (',' constant?)*)? '}')?
 constant: NAME attribute* ('=' expr)?
 extra_stmt: ASM ignored_stmt ';'
-ignored_stmt: QUALIFIER* '(' (expr | ':' | ',' | '[' expr ']')* ')'
+ignored_stmt: QUALIFIER* 'goto'? '(' (expr | ':' | ',' | '[' expr ']')* ')'
 cond: exprs
 calls: tail*
 strict_primary: NUM | STR+ | CHAR | 'sizeof' size | TYPE ptr* | QUALIFIER word+ ptr* | struct ptr* | enum ptr*
@@ -233,7 +238,7 @@ start: external*
 external: ';' | 'extern' extern_rest | 'namespace' namespace | 'inline' ('namespace' namespace | declaration) | 'using' using ';' | 'static_assert' '(' exprs ')' ';' | template | '[' '[' attr* ']' ']' | declaration
 attr: NAME | '::' | '(' ignored* ')' | ','
 namespace: (NAME ('::' NAME)*)? ('{' external* '}' | '=' NAME ('::' NAME)* ';')
-using: 'namespace' '::'? NAME ('::' NAME)* | ('typename' | 'enum')? '::'? NAME targs? ('::' NAME targs?)* ('=' type)?
+using: 'namespace' '::'? NAME ('::' NAME)* | ('typename' | 'enum')? '::'? NAME targs? ('::' (NAME targs? | 'operator' operator))* ('=' type)? '...'? (',' NAME targs? ('::' NAME targs?)* '...'?)*
 template: 'template' ('<' tparams? '>' requires? (external) | declaration)
 requires: 'requires' operand operations
 tparams: tparam (',' tparam)*
@@ -265,11 +270,12 @@ members: '{' member* '}'
 member: ACCESS ':' | ';' | 'using' using ';' | 'static_assert' '(' exprs ')' ';' | 'template' '<' tparams? '>' requires? member | 'virtual' declaration | 'explicit' ('(' expr ')')? declaration | declaration
 enum: 'enum' ('class' | 'struct')? NAME? (':' word+)? ('{' (constant (',' constant?)*)? '}')?
 constant: NAME ('=' expr)?
-extra_stmt: 'try' block catch+ | 'throw' expr? ';' | 'using' using ';' | 'static_assert' '(' exprs ')' ';' | ASM '(' (expr | ':' | ',' | '[' expr ']')* ')' ';' | 'delete' ('[' ']')? expr ';' | 'namespace' NAME '=' name ';'
+extra_stmt: 'try' block catch+ | 'throw' expr? ';' | 'using' using ';' | 'static_assert' '(' exprs ')' ';' | ASM QUALIFIER* 'goto'? '(' ('::' | ':' | expr | ',' | '[' expr ']')* ')' ';' | 'delete' ('[' ']')? expr ';' | 'namespace' NAME '=' name ';'
 cond: typed_word word_tail* local_rest (';' exprs)? | exprs (NAME '=' init)? (';' exprs)?
 named_rest: '::' ('template'? NAME named_rest | '~' NAME calls operations | 'operator' operator calls operations)
 calls: tail*
-strict_primary: NUM | STR+ | CHAR | 'true' | 'false' | 'nullptr' | 'this' | 'sizeof' size | TYPE ptr* | 'auto' | QUALIFIER word+ ptr* | struct | enum | CAST targs '(' expr ')' | 'new' creation | lambda | '::' NAME NAME? | 'throw' expr | 'delete' ('[' ']')? operand | 'typename' name | 'operator' operator | 'co_await' operand | 'decltype' '(' expr ')' | 'noexcept' '(' expr ')'
+strict_primary: NUM | STR+ | CHAR | 'true' | 'false' | 'nullptr' | 'this' | 'sizeof' size | TYPE ptr* | 'auto' | QUALIFIER word+ ptr* | struct | enum | CAST targs '(' expr ')' | 'new' creation | lambda | '::' NAME NAME? | 'throw' expr | 'delete' ('[' ']')? operand | 'typename' name | 'operator' operator | 'co_await' operand | 'decltype' '(' expr ')' | 'noexcept' '(' expr ')' | 'requires' ('(' params? ')')? '{' requirement* '}'
+requirement: 'typename' name ';' | '{' expr '}' 'noexcept'? ('->' type)? ';' | expr ';'
 size: '...'? '(' paren ')' tail* | operand
 creation: ('(' args? ')')? word+ ptr* ('[' expr ']')* ('(' args? ')' | braces)?
 lambda: '[' (capture (',' capture)*)? ']' ('<' tparams '>')? ('(' params? ')')? ('mutable' | QUALIFIER | 'noexcept' | '->' type)* block

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,12 +12,13 @@ from pyspark.sql import functions as F
 
 from . import grammars
 from .languages import language_of
+from .python_rules import first_broken
 
 LANGUAGES = ("python", "java", "c", "c++", "json")
 
 #: The languages' keywords by token class; a keyword without a class is a token of its own.
 _PYTHON_WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
-_JAVA_WORDS = {w: w for w in "assert break case catch class continue default do else enum extends finally for if implements import instanceof interface new package permits return static super switch synchronized this throw throws try void while true false null".split()}
+_JAVA_WORDS = {w: w for w in "assert break case catch class continue default do else enum extends finally for if implements import instanceof interface new package return static super switch synchronized this throw throws try void while true false null".split()}
 _JAVA_WORDS |= dict.fromkeys("public private protected abstract final native transient volatile strictfp".split(), "MODIFIER") | dict.fromkeys("boolean byte char short int long float double".split(), "PRIMITIVE")
 _JAVA_WORDS |= dict.fromkeys(("goto", "const"), "ERROR")
 _C_WORDS = {w: w for w in "break case continue default do else enum extern for goto if return sizeof struct switch typedef union while typeof _Static_assert".split()}
@@ -35,6 +35,7 @@ _CPP_WORDS |= dict.fromkeys("and or xor bitand bitor and_eq or_eq xor_eq not_eq"
 _DIRECTIVES = {"include", "include_next", "define", "undef", "if", "ifdef", "ifndef", "elif", "elifdef", "elifndef", "else", "endif", "pragma", "error", "warning", "line", "ident", "import", "embed", ""}
 
 _C_BINARY = {"/", "%", "|", "^", "||", "==", "!=", "<=", ">=", "<<", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "<=>", "->*", ".*"}
+_JAVA_OCTAL = re.compile(r"0[0-9_]*[89][0-9_]*[lL]?\Z")
 _JAVA_BINARY = (_C_BINARY - {"<=>", "->*", ".*"}) | {"&&", ">>>=", ">>="}
 
 _NUMBER_C = r"(?:0[xX][0-9a-fA-F']+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*\.?[\d']*|\.\d[\d']*)(?:[eE][+-]?\d+)?)(?:[uUlLfFzZ]{0,4}|_\w+)(?![\w])"
@@ -59,7 +60,7 @@ _PYTHON = re.compile(
 )
 _PYTHON_OPERATORS = dict.fromkeys(("==", "!=", "<=", ">="), "COMPARE") | dict.fromkeys(("//", "%", "&", "^", "<<", ">>"), "OPERATOR") | dict.fromkeys(("+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "@=", "**=", "//=", ">>=", "<<="), "AUGMENT")
 _JSON = re.compile(r"([ \t\r\n]+)|(\"(?:\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4})|[^\"\\\x00-\x1f])*\")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(true|false|null)\b|([{}\[\],:])|(.)", re.S)
-_SOFT = re.compile(r"(match|case|type)[ \t]+(?:[^\W\d]|[\"'\d({\[*\-])")
+_SOFT = re.compile(r"(match|case|type)[ \t]+(?:[^\W\d]|[\"'\d({\[*\-]|\.\.\.)")
 
 Tokens = tuple[list[str], list[int]]
 
@@ -78,11 +79,15 @@ _PYTHON_STRING = re.compile(r"(?i:br|rb|b|r|u)?(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|''
 _FORMATTED = re.compile(r"(?i:fr|rf|f)(\"\"\"|'''|\"|')")
 
 
-def formatted_end(text: str, at: int) -> int | None:
-    """The end of the f-string that begins at a place; its fields may hold strings with the same quotes. None if it has no end."""
+def formatted_end(text: str, at: int, found: list[tuple[int, int]] | None = None) -> int | None:
+    """The end of the f-string that begins at a place; its fields may hold strings with the same quotes. None if it has no end.
+
+    found gets the begin and end of the expression of each field.
+    """
     m = _FORMATTED.match(text, at)
     quote, i = m.group(1), m.end()
     fields: list[tuple[int, bool]] = []  # of open fields: brackets open in the expression; whether in the format part
+    begins: list[int] = []
     while i < len(text):
         c = text[i]
         if not fields or fields[-1][1]:
@@ -95,9 +100,11 @@ def formatted_end(text: str, at: int) -> int | None:
                     i += 2
                 else:
                     fields.append((0, False))
+                    begins.append(i + 1)
                     i += 1
             elif c == "}" and fields:
                 fields.pop()
+                begins.pop()
                 i += 1
             elif c in "\r\n" and len(quote) == 1:
                 return None
@@ -122,8 +129,13 @@ def formatted_end(text: str, at: int) -> int | None:
             fields[-1] = (depth - 1, False)
         elif c == "}":
             fields.pop()
+            if found is not None:
+                found.append((begins[-1], i))
+            begins.pop()
         elif c == ":" and not depth:
             fields[-1] = (0, True)
+            if found is not None:
+                found.append((begins[-1], i))
         elif c == "#":
             stop = text.find("\n", i)
             i = stop if stop >= 0 else len(text)
@@ -137,6 +149,21 @@ def formatted_end(text: str, at: int) -> int | None:
 _WORD_END = re.compile(r"\w+")
 
 
+def fields_of(text: str, at: int) -> list[str]:
+    """The expressions in the fields of the f-string at a place."""
+    found: list[tuple[int, int]] = []
+    formatted_end(text, at, found)
+    return [text[a:b] for a, b in found]
+
+
+@lru_cache(65536)
+def is_expression(text: str) -> bool:
+    """Whether a text is an expression, as the field of an f-string."""
+    own = f"({text}\n)\n"
+    kinds, places = python_tokens(own)
+    return parser("python").error([*kinds, grammars.END]) is None and first_broken(kinds, places, own, is_expression, fields_of) is None
+
+
 def python_tokens(text: str) -> Tokens:
     kinds: list[str] = []
     places: list[int] = []
@@ -183,7 +210,7 @@ def python_tokens(text: str) -> Tokens:
             if k == 5 and (s := _SOFT.match(text, at)) and not re.compile(r"(?:in|is|and|or|not|if|else)\b").match(text, s.end() - 1):
                 stop = text.find("\n", at)
                 head = text[at : stop if stop >= 0 else None].split("#")[0].rstrip()
-                if s.group(1) == "type" and "=" in head or s.group(1) != "type" and head[-1:] in (":", "(", "[", "{", ","):
+                if s.group(1) == "type" and "=" in head or s.group(1) != "type" and head[-1:] in (":", "(", "[", "{", ",") or s.group(1) == "case" and ":" in head:
                     kinds.append(s.group(1).upper())
                     places.append(at)
                     continue
@@ -203,6 +230,11 @@ def python_tokens(text: str) -> Tokens:
                 depth += 1
             elif word in ")]}":
                 depth = max(0, depth - 1)
+        elif ("_" + word).isidentifier():
+            # a letter's mark, which goes on with a name or begins one
+            if kinds and kinds[-1] == "NAME" and re.compile(r"\w").match(text, at - 1):
+                continue
+            kind = "NAME"
         else:
             kind = "ERROR"
         kinds.append(kind)
@@ -232,8 +264,13 @@ def java_tokens(text: str) -> Tokens:
             kind = "BINARY" if word in _JAVA_BINARY else "PREFIX" if word in "!~" else word
         else:
             kind = ("@interface", "", "NUM", "STR", "CHAR")[k - 2] if k < 8 else "ERROR"
+            if kind == "NUM" and _JAVA_OCTAL.match(word):
+                kind = "ERROR"
+        if kind == "MODIFIER" and kinds and kinds[-1] == kind and text.startswith(word, places[-1]) and not text[places[-1] + len(word)].isalnum():
+            kind = "ERROR"
         kinds.append(kind)
         places.append(m.start())
+    _java_contextual(text, kinds, places)
     for i in range(len(kinds) - 2):
         if kinds[i] == "NAME" == kinds[i + 1] and kinds[i + 2] in ("(", "<") and text.startswith("record", places[i]) and (not i or kinds[i - 1] in ("MODIFIER", "static", "{", "}", ";", ")")):
             if text[places[i] : places[i] + 7].strip() == "record" and text[places[i + 1]].isupper():
@@ -241,6 +278,65 @@ def java_tokens(text: str) -> Tokens:
     return kinds, places
 
 
+def _java_contextual(text: str, kinds: list[str], places: list[int]) -> None:
+    """Words that are keywords in some places only: sealed, non-sealed, permits, module; and record patterns, which become names."""
+    word = lambda i, w: 0 <= i < len(kinds) and kinds[i] == "NAME" and text.startswith(w, places[i]) and not text[places[i] + len(w) : places[i] + len(w) + 1].isalnum()
+    types = ("class", "interface", "MODIFIER", "static")
+    head = False
+    i = 0
+    while i < len(kinds):
+        kind = kinds[i]
+        if kind in ("class", "interface"):
+            head = True
+        elif kind in ("{", ";"):
+            head = False
+        elif kind == "NAME":
+            if head and word(i, "permits") and kinds[i - 1] in ("NAME", ">") and kinds[i + 1 : i + 2] == ["NAME"]:
+                kinds[i] = "permits"
+            elif word(i, "sealed") and i + 1 < len(kinds) and kinds[i + 1] in types:
+                kinds[i] = "MODIFIER"
+                if i > 1 and kinds[i - 1] == "-" and word(i - 2, "non"):
+                    del kinds[i - 2 : i], places[i - 2 : i]
+                    i -= 2
+            elif word(i, "module") and kinds[i + 1 : i + 2] == ["NAME"] and (i == 0 or kinds[i - 1] == ";" or word(i - 1, "open")) and not head and "{" not in kinds[:i]:
+                kinds[i] = "module"
+                if i and word(i - 1, "open"):
+                    del kinds[i - 1], places[i - 1]
+                    i -= 1
+            elif i and kinds[i + 1 : i + 2] == ["("] and (kinds[i - 1] in ("case", "instanceof") or kinds[i - 1] == "." and "case" in kinds[max(0, i - 6) : i]):
+                end = _record_pattern(kinds, i + 1)
+                if end:
+                    # the pattern becomes a type and a name
+                    named = kinds[end : end + 1] == ["NAME"] and not word(end, "when")
+                    kinds[i + 1 : end], places[i + 1 : end] = [] if named else ["NAME"], [] if named else [places[i + 1]]
+        i += 1
+
+
+def _record_pattern(kinds: list[str], at: int) -> int:
+    """The end of the list of patterns whose bracket opens at a token; 0 if it is none."""
+    i, some = at + 1, False
+    while i < len(kinds):
+        start = i
+        while i < len(kinds) and kinds[i] in ("NAME", "PRIMITIVE", ".", "[", "]", "<", ">", "final", "?", "MODIFIER"):
+            i += 1
+        if i < len(kinds) and kinds[i] == "(" and i > start:
+            i = _record_pattern(kinds, i)
+            if not i:
+                return 0
+            some = True
+            i += kinds[i : i + 1] == ["NAME"]
+        elif i - start >= 2 and kinds[i - 1] == "NAME":
+            some = True
+        elif not (i == start and kinds[start] == ")"):
+            return 0
+        if kinds[i : i + 1] == [")"]:
+            return i + 1 if some else 0
+        if kinds[i : i + 1] != [","]:
+            return 0
+        i += 1
+    return 0
+
+
 def c_tokens(text: str, words: dict[str, str], plus: bool, last: bool = False) -> Tokens:
     """Tokens of the first branch of each conditional, or of the last; `#if 0` gives way to its other branch. An open conditional is an error."""
     kinds: list[str] = []
@@ -287,18 +383,53 @@ def c_tokens(text: str, words: dict[str, str], plus: bool, last: bool = False) -
                 kind = word
         elif k == 8:
             kind = "BINARY" if word in _C_BINARY else "PREFIX" if word == "!" else word
-            if word == "::" and not plus:
-                kind = "ERROR"
+            if word == "::" and (not plus or "ASM" in kinds[-40:] and ";" not in kinds[len(kinds) - kinds[::-1].index("ASM") :]):
+                # two colons, as between the operands of an assembler statement
+                kinds.append(":")
+                places.append(at)
+                kind = ":"
         else:
             kind = {4: "NUM", 5: "STR", 6: "STR", 7: "CHAR"}.get(k, "ERROR")
+        if kind == "TYPE" and kinds and kinds[-1] == kind and word != "long" and text.startswith(word, places[-1]) and not text[places[-1] + len(word) : places[-1] + len(word) + 1].isalnum():
+            kind = "ERROR"
         kinds.append(kind)
         places.append(at)
+    _macro_calls(text, kinds, places)
     if branches:
         kinds.append("ERROR")
         places.append(len(text))
     return kinds, places
 
 
+_MACRO = re.compile(r"[A-Z][A-Z0-9_]{2,}\b|\w*(?:for_?each|FOREACH)\w*\b")
+_STARTS = {"NAME", "TYPE", "QUALIFIER", "struct", "union", "enum", "typedef", "extern", "class", "template", "namespace", "using", "inline", "constexpr", "auto", "}", "if", "for", "while", "do", "switch", "return", "END"}
+
+
+def _macro_calls(text: str, kinds: list[str], places: list[int]) -> None:
+    """Calls of macros that stand as statements or declarations without a semicolon: those before a block become loops, the others go.
+
+    Such a macro is written in capitals, or named after for each; what follows it begins on another line.
+    """
+    i = 0
+    while i + 2 < len(kinds):
+        if kinds[i] == "NAME" and kinds[i + 1] == "(" and (not i or kinds[i - 1] in (";", "{", "}")) and _MACRO.match(text, places[i]):
+            depth, end = 0, i + 1
+            while end < len(kinds):
+                depth += (kinds[end] == "(") - (kinds[end] == ")")
+                end += 1
+                if not depth:
+                    break
+            if depth or end >= len(kinds):
+                return
+            if kinds[end] == "{" and "for" in text[places[i] : places[i + 1]].lower() and "{" in kinds[:i]:
+                kinds[i], places[i] = "while", places[i]
+                kinds[i + 2 : end - 1], places[i + 2 : end - 1] = ["NUM"], [places[i + 2]]
+            elif kinds[end] in _STARTS and "\n" in text[places[end - 1] : places[end]]:
+                del kinds[i:end], places[i:end]
+                continue
+        i += 1
+
+
 _PARSERS: dict[str, grammars.Parser] = {}
 
 
@@ -324,24 +455,17 @@ def first_error(text: str, language: str) -> int | None:
     """The line, from 1, of the first token that the language's grammar admits no file with; None for valid files.
 
     A C or C++ file must be valid both with the first and with the last branch of each of its conditionals. Empty and blank
-    texts are valid except in JSON. What the table rejects in Python is parsed once more by the
-    interpreter's own parser, which knows rules beyond the grammar's table.
+    texts are valid except in JSON. In Python the rules that no such table can hold are checked on the tokens it derives.
     """
     kinds, places = tokens(text, language)
     at = parser(language).error([*kinds, grammars.END])
     if at is None and language in ("c", "c++") and re.search(r"^[ \t]*#[ \t]*el", text, re.M):
         kinds, places = tokens(text, language, True)
         at = parser(language).error([*kinds, grammars.END])
+    if at is None and language == "python":
+        at = first_broken(kinds, places, text, is_expression, fields_of)
     if at is None:
         return None
-    if language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return None
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
     place = places[at] if at < len(places) else len(text)
     return text.count("\n", 0, place) + 1
 
