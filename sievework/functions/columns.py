@@ -138,6 +138,23 @@ def symbol_name(text: Column) -> Column:
     return F.when(name == "", "unknown").otherwise(name)
 
 
+def symbolic_summary(path: Column, start: Column, end: Column, text: Column, width: int = 120) -> Column:
+    """`path:start-end :: symbol :: snippet`: the symbol of the first five lines, and the first three lines shortened."""
+    from .python import shorten
+
+    head = F.array_join(F.slice(lines(F.coalesce(text, F.lit(""))), 1, 3), " ")
+    return F.concat(F.coalesce(path, F.lit("")), F.lit(":"), F.coalesce(start.cast("string"), F.lit("?")), F.lit("-"), F.coalesce(end.cast("string"), F.lit("?")), F.lit(" :: "), symbol_name(text), F.lit(" :: "), shorten(head, F.lit(width)))
+
+
+def xor_seeds(hashes: Column, num_perm: int = 64) -> Column:
+    """A signature as shipped: the least SHA-1 (hexadecimal) of a set with its last byte exclusive-or each seed below num_perm.
+
+    All its places have the least hash of the set under them, so two signatures agree everywhere or nowhere.
+    """
+    last = F.conv(F.right(hashes, F.lit(2)), 16, 10).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda s: F.concat(F.left(hashes, F.length(hashes) - 2), F.lower(F.lpad(F.hex(last.bitwiseXOR(s).cast("long")), 2, "0"))))
+
+
 def without_interior(name: Column) -> Column:
     """A qualified name cut at its first `<...>` segment; null where nothing is left."""
     cut = F.regexp_replace(name, r"(^|\.)<[^.]*>.*$", "")

@@ -37,3 +37,14 @@ def salvage(raw: str | None) -> str | None:
 @pandas_udf(StringType())
 def tolerant_json(raw: pd.Series) -> pd.Series:
     return pd.Series([salvage(r) for r in raw], dtype=object)
+
+
+@pandas_udf(StringType())
+def object_list(raw: pd.Series) -> pd.Series:
+    """The objects of an answer's list, or its one object, as a JSON list; other items are dropped, and an answer without JSON is an empty list."""
+
+    def objects(answer: str | None) -> str:
+        value = json.loads(salvage(answer) or "[]")
+        return json.dumps([x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)], ensure_ascii=False)
+
+    return pd.Series([objects(r) for r in raw], dtype=object)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename, common_suffix, norm_path, strip_diff_prefix
+from .skew import salted_join
 
 
 def same_basename(targets: DataFrame, refs: DataFrame, path: str = "file_path") -> DataFrame:
@@ -14,21 +15,24 @@ def same_basename(targets: DataFrame, refs: DataFrame, path: str = "file_path")
     return targets.withColumn("__base", basename(F.col(path))).join(names, "__base", "left_semi").drop("__base")
 
 
-def resolve(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(wanted, path, tier): the catalogue's path for each wanted one; unknown ones are left out.
+def resolve(wanted: DataFrame, catalogue: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope, wanted, path, tier): the catalogue's path for each wanted one of its scope; unknown ones are left out.
 
     1: the same path. 2: the only file of that name. 3: of several files of the name, the one with the longest common end.
     4: the name in other case, by the longest common end. Ties go to the shorter path, then the least. Only files of one
-    name meet, so no pair of all paths is formed.
+    name meet, so no pair of all paths is formed; names of very many files are split over several tasks.
     """
-    w = wanted.select("wanted").where("wanted IS NOT NULL").distinct().withColumn("norm", norm_path(strip_diff_prefix(F.col("wanted")))).withColumn("base", basename(F.col("norm"))).withColumn("key", F.lower("base"))
-    files = catalogue.select(norm_path(F.col("path")).alias("path")).where("path <> ''").distinct()
+    scope = scope or []
+    w = wanted.select(*scope, "wanted").where("wanted IS NOT NULL").distinct().withColumn("norm", norm_path(strip_diff_prefix(F.col("wanted")))).withColumn("base", basename(F.col("norm"))).withColumn("key", F.lower("base"))
+    files = catalogue.select(*scope, norm_path(F.col("path")).alias("path")).where("path <> ''").distinct()
     c = files.withColumn("name", basename(F.col("path"))).withColumn("key", F.lower("name"))
-    c = c.withColumn("n_name", F.count("*").over(Window.partitionBy("name")))
-    met = w.join(c, "key").withColumn("score", common_suffix(F.col("norm"), F.col("path")))
+    single = c.groupBy(*scope, "name").agg(F.count("*").alias("n_name"))
+    asked = w.join(single.withColumnRenamed("name", "base"), [*scope, "base"], "left")
+    met = salted_join(c, asked, [*scope, "key"], F.col("path")).withColumn("score", common_suffix(F.col("norm"), F.col("path")))
     tier = F.when(F.col("norm") == F.col("path"), 1).when((F.col("base") == F.col("name")) & (F.col("n_name") == 1), 2).when(F.col("base") == F.col("name"), 3).otherwise(4)
-    order = Window.partitionBy("wanted").orderBy("tier", F.desc("score"), F.length("path"), "path")
-    return met.withColumn("tier", tier).withColumn("n", F.row_number().over(order)).where("n = 1").select("wanted", "path", "tier")
+    # the best is kept as rows are combined, before any shuffle by wanted path
+    best = F.min_by(F.struct("path", "tier"), F.struct("tier", -F.col("score"), F.length("path"), F.col("path")))
+    return met.withColumn("tier", tier).groupBy(*scope, "wanted").agg(best.alias("x")).select(*scope, "wanted", "x.path", "x.tier")
 
 
 def file_tree(files: DataFrame, scope: list[str], max_entries: int | None = None) -> DataFrame:

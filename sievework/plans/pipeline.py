@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import lines, norm_path, verdict
-from ..operators import dedup, paths, similarity, spans
+from ..functions.columns import norm_path, verdict
+from ..operators import dedup, similarity, spans
 from ..operators.skew import salted_join
 from ..sources.diffs import hunks
 from ..sources.tables import materialize
 from . import context
 from .context import Code
-from .judge import Judge, ask, case_prompt, rule_judge
+from . import judge as judges
+from .judge import Judge, ask, prompt, rule_judge
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,11 @@ def reference_blocks(knowledge: DataFrame, code: Code | None = None, nodes: Data
     return materialize(dedup.first_wins(merged, keys, [F.col("part"), F.col("content")]).drop("part"), "references")
 
 
-def changed_lines(knowledge: DataFrame) -> DataFrame:
-    """(vuln_id, removed, added): lines of ink that the diffs of all records take away and put in, distinct, in the order of the records."""
-    pick = lambda sign, head: F.array_distinct(F.filter(F.transform(F.filter(lines(F.col("diff")), lambda x: x.startswith(sign) & ~x.startswith(head)), lambda x: F.trim(F.substring(x, 2, 1 << 30))), lambda x: x != ""))
-    each = diffs_of(knowledge).withColumnRenamed("patch_diff", "diff").select("vuln_id", F.struct("seq", pick("-", "---").alias("removed"), pick("+", "+++").alias("added")).alias("x"))
-    both = each.groupBy("vuln_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return both.select("vuln_id", *[F.array_distinct(F.flatten(F.col(f"xs.{c}"))).alias(c) for c in ("removed", "added")])
+def one_each(knowledge: DataFrame) -> DataFrame:
+    """(vuln_id, desc_text, patch_diff): the last description, and the different diffs of all records in the order of the records."""
+    key = F.col("knowledge_key") if "knowledge_key" in knowledge.columns else F.lit(0)
+    diffs = diffs_of(knowledge).groupBy("vuln_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "patch_diff"))), lambda x: x["patch_diff"]), "\n").alias("patch_diff"))
+    return knowledge.where("vuln_id IS NOT NULL").groupBy("vuln_id").agg(F.max_by("desc_text", F.when(F.col("desc_text").isNotNull(), key)).alias("desc_text")).join(diffs, "vuln_id", "left")
 
 
 #: Reasons of candidates, the first of several wins.
@@ -128,11 +128,6 @@ def verify(knowledge: DataFrame, targets: DataFrame, judge: Judge = rule_judge,
     w = Window.partitionBy("vuln_id", "tree_id").orderBy(F.desc_nulls_last("similarity"), F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")), "block_key")
     shown = chosen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= config.candidates)
     shown = shown.join(targets.select("block_key", "content").dropDuplicates(["block_key"]), "block_key") if code is None else context.shown(materialize(shown, "shown"), code)
-    cases = shown.groupBy("vuln_id", "tree_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]).alias("blocks"), F.count("*").alias("n_blocks"))
-    prompts = cases.join(changed_lines(knowledge), "vuln_id").select("vuln_id", "tree_id", "n_blocks", case_prompt(F.col("removed"), F.col("added"), F.col("blocks")).alias("prompt"))
+    cases = shown.groupBy("vuln_id", "tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n").alias("code"), F.count("*").alias("n_blocks"))
+    prompts = cases.join(one_each(knowledge), "vuln_id").select("vuln_id", "tree_id", "n_blocks", prompt(judges.DECIDE, DESCRIPTION=F.col("desc_text"), PATCH=F.col("patch_diff"), CODE=F.col("code")).alias("prompt"))
     return ask(prompts, judge).withColumn("v", verdict(F.col("raw"))).select("vuln_id", "tree_id", "n_blocks", "v.*")
-
-
-def suggested(suggestions: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """A judge's suggested paths resolved against the scanned catalogue; paths outside it are dropped."""
-    return paths.resolve(suggestions.withColumnRenamed("file_path", "wanted"), catalogue)

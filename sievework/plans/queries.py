@@ -10,7 +10,7 @@ from ..functions.python import shorten, tolerant_json
 from ..operators import dedup, graph, paths, rank, similarity, spans
 from ..sources import braces, diffs, facts, segment
 from ..sources.tables import materialize, table
-from . import context, decide, pipeline
+from . import context, decide, hunk_sql, pipeline
 from .judge import rule_judge
 
 Q = {}
@@ -150,13 +150,13 @@ def q_hunk_headers(spark, d):
     return h.select("knowledge_key", "ingested_at", number(r"-(\d+)").alias("source_start"), number(r"-\d+,(\d+)", "1").alias("source_length"), number(r"\+(\d+)").alias("target_start"), number(r"\+\d+,(\d+)", "1").alias("target_length"))
 
 
-@query()
+@query(f"WITH {hunk_sql.hunks('SELECT DISTINCT knowledge_key AS key, patch_diff diff FROM vuln_knowledge')} SELECT * FROM hunk")
 def q_hunks(spark, d):
     known = table(spark, d, "vuln_knowledge", "knowledge_key", "patch_diff").distinct()
     return diffs.hunks(known, "knowledge_key", "patch_diff")
 
 
-@query()
+@query(f"WITH {hunk_sql.REFERENCES} SELECT * FROM ref")
 def q_reference_blocks(spark, d):
     return pipeline.reference_blocks(table(spark, d, "vuln_knowledge"))
 
@@ -319,13 +319,26 @@ def q_signals(spark, d):
     return rank.signals(blocks(spark, d, "tree_id", "content"), "content", _NEEDLES, ["tree_id"])
 
 
-@query("""WITH l AS (SELECT prediction_id, list_filter(string_split(replace(coalesce(raw_reasoning, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '') k FROM predictions),
-v AS (SELECT prediction_id, k, regexp_extract(' ' || coalesce(k[2], '') || ' ', '[^0-9.]([01](?:\\.[0-9]+)?)[^0-9%.]', 1) c FROM l)
-SELECT prediction_id, coalesce(starts_with(upper(trim(k[1])), 'Y'), false) AS has_vuln, len(k) AS n_lines, md5(array_to_string(CASE WHEN len(k) > 2 THEN k[3:] ELSE k END, chr(10))) AS reason_md5 FROM v""")
+_VERDICTS = """l AS (SELECT {key}, list_filter(string_split(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '') k FROM {table}),
+v AS (SELECT {key}, k, regexp_extract(' ' || coalesce(k[2], '') || ' ', '[^0-9.]([01](?:\\.[0-9]+)?)[^0-9%]', 1) c FROM l)
+SELECT {key}, coalesce(starts_with(upper(trim(k[1])), 'Y'), false) AS has_vuln, CASE WHEN len(k) = 0 THEN 0.0 WHEN c = '' THEN 0.5 ELSE least(greatest(CAST(c AS DOUBLE), 0.0), 1.0) END AS confidence,
+len(k) AS n_lines, md5(array_to_string(CASE WHEN len(k) > 2 THEN k[3:] ELSE k END, chr(10))) AS reason_md5 FROM v"""
+
+
+def _verdicts(df: DataFrame, key: str, text: str) -> DataFrame:
+    ink = F.filter(c.lines(F.coalesce(text, F.lit(""))), lambda x: F.trim(x) != "")
+    return df.withColumn("v", c.verdict(F.col(text))).select(key, "v.has_vuln", "v.confidence", F.size(ink).alias("n_lines"), F.md5("v.reason").alias("reason_md5"))
+
+
+@query("WITH " + _VERDICTS.format(key="prediction_id", text="raw_reasoning", table="predictions"))
 def q_verdict_parse(spark, d):
-    p = table(spark, d, "predictions", "prediction_id", "raw_reasoning").withColumn("v", c.verdict(F.col("raw_reasoning")))
-    ink = F.filter(c.lines(F.coalesce("raw_reasoning", F.lit(""))), lambda x: F.trim(x) != "")
-    return p.select("prediction_id", "v.has_vuln", F.size(ink).alias("n_lines"), F.md5("v.reason").alias("reason_md5"))
+    return _verdicts(table(spark, d, "predictions", "prediction_id", "raw_reasoning"), "prediction_id", "raw_reasoning")
+
+
+@query("WITH " + _VERDICTS.format(key="doc_id", text="text", table="documents"))
+def q_verdict_documents(spark, d):
+    """Documents read as answers: many are, with YES or NO and a confidence."""
+    return _verdicts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
@@ -340,10 +353,17 @@ def q_bullets(spark, d):
     return b.select("doc_id", F.size("b").alias("n_bullets"), F.md5(F.array_join("b", "\n")).alias("bullets_md5"))
 
 
-@query()
+_ANSWER = "'[CAUSE] ' || coalesce(desc_text, '') || chr(10) || '[FIX]' || chr(10) || coalesce(vuln_proj_root, '') || ' [TESTS]'"
+
+
+@query(f"""WITH r AS (SELECT knowledge_key, ingested_at, {_ANSWER} raw FROM vuln_knowledge),
+s AS (SELECT *, {", ".join(f"trim(regexp_extract(raw, '(?s){chr(92)}[{t}{chr(92)}](.*?)(?:{chr(92)}[[A-Z_]+{chr(92)}]|{chr(92)}z)', 1), chr(32) || chr(9) || chr(10) || chr(13)) {t.lower()}" for t in ("CAUSE", "FIX", "TESTS", "NONE"))} FROM r)
+SELECT knowledge_key, ingested_at, {", ".join(f"CASE WHEN {t} = '' THEN 'N/A' ELSE {t} END AS {t}" for t in ("cause", "fix", "tests", "none"))} FROM s""")
 def q_tagged(spark, d):
-    sections = {"cause": "CAUSE", "fix": "FIX", "tests": "TESTS"}
-    return table(spark, d, "predictions", "prediction_id", "raw_reasoning").select("prediction_id", *[c.tagged(F.col("raw_reasoning"), t).alias(n) for n, t in sections.items()])
+    """The sections of tagged answers about the records; one is empty, one is not there."""
+    k = table(spark, d, "vuln_knowledge", "knowledge_key", "ingested_at", "desc_text", "vuln_proj_root")
+    raw = F.concat(F.lit("[CAUSE] "), F.coalesce("desc_text", F.lit("")), F.lit("\n[FIX]\n"), F.coalesce("vuln_proj_root", F.lit("")), F.lit(" [TESTS]"))
+    return k.select("knowledge_key", "ingested_at", *[c.tagged(raw, t).alias(t.lower()) for t in ("CAUSE", "FIX", "TESTS", "NONE")])
 
 
 @query("SELECT knowledge_key, ingested_at, 'anon:' || left(sha256(coalesce(desc_text, '') || coalesce(patch_diff, '')), 16) AS cache_key FROM vuln_knowledge")
@@ -433,18 +453,44 @@ def q_crop(spark, d):
     return spans.crop(known, segments, ["path"], "block")
 
 
-@query()
+@query(hunk_sql.PATTERNS)
 def q_patterns(spark, d):
     known = table(spark, d, "vuln_knowledge", "knowledge_key", "vuln_id", "desc_text", "patch_diff")
-    diff = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("knowledge_key", "patch_diff"))), lambda x: x["patch_diff"]))
-    one = known.groupBy("vuln_id").agg(F.max_by("desc_text", "knowledge_key").alias("desc_text"), F.array_join(diff, "\n").alias("patch_diff"))
-    return decide.patterns(one, pipeline.reference_blocks(known), rule_judge)
+    p = decide.patterns(pipeline.one_each(known), pipeline.reference_blocks(known), rule_judge)
+    texts = [n for n in decide.SECTIONS if not n.endswith("tests")]
+    return p.select("vuln_id", *texts, F.size("positive_tests").cast("long").alias("n_positive"), F.size("negative_tests").cast("long").alias("n_negative"), *[F.array_join(f"{s}_spans", "\n").alias(f"{s}_spans") for s in ("vuln", "fix")])
+
+
+@query(f"WITH {hunk_sql.CANDIDATES} SELECT vuln_id, tree_id, block_key, reason, round(similarity, 6) AS similarity FROM cand")
+def q_candidates_direct(spark, d):
+    """Candidates by similarity and name alone."""
+    c = pipeline.candidates(pipeline.reference_blocks(table(spark, d, "vuln_knowledge")), _targets(spark, d))
+    return c.select("vuln_id", "tree_id", "block_key", "reason", F.round("similarity", 6).alias("similarity"))
+
+
+@query(hunk_sql.VERIFY)
+def q_verify_direct(spark, d):
+    """Verdicts on the candidates by similarity and name alone."""
+    return pipeline.verify(table(spark, d, "vuln_knowledge"), _targets(spark, d))
+
+
+@query(hunk_sql.DECIDE)
+def q_decide_direct(spark, d):
+    """The two-step decision, with the extracted patterns in its prompt, on the candidates by similarity and name alone."""
+    known = table(spark, d, "vuln_knowledge")
+    one, refs = pipeline.one_each(known), materialize(pipeline.reference_blocks(known), "references")
+    chosen = pipeline.candidates(refs, _targets(spark, d)).select("vuln_id", "tree_id", "block_key")
+    places = blocks(spark, d, "block_key", "file_path", "start_line", "end_line", "content").dropDuplicates(["block_key"])
+    return decide.decide(one, chosen.join(places, "block_key"), rank.important_names(known), rule_judge, rule_judge, patterns=decide.patterns(one, refs, rule_judge))
 
 
 @query()
 def q_decide(spark, d):
+    """The two-step decision on all candidates, shown as whole functions."""
     known = table(spark, d, "vuln_knowledge")
     code = _code(spark, d)
     nodes = context.nodes(code)
-    chosen = pipeline.candidates(pipeline.reference_blocks(known, code, nodes), _targets(spark, d), code=code, nodes=nodes).select("vuln_id", "tree_id", "block_key")
-    return decide.decide(known, context.shown(materialize(chosen, "chosen"), code), rank.important_names(known), rule_judge, rule_judge)
+    refs = pipeline.reference_blocks(known, code, nodes)
+    chosen = pipeline.candidates(refs, _targets(spark, d), code=code, nodes=nodes).select("vuln_id", "tree_id", "block_key")
+    one = pipeline.one_each(known)
+    return decide.decide(one, context.shown(materialize(chosen, "chosen"), code), rank.important_names(known), rule_judge, rule_judge, patterns=decide.patterns(one, refs, rule_judge))

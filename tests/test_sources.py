@@ -138,7 +138,7 @@ def test_decide(spark):
     c = spark.createDataFrame([("V", "t", k, f"src/f{k}.py", 1, 2, f"body {k}") for k in range(9)], "vuln_id string, tree_id string, block_key long, file_path string, start_line int, end_line int, content string")
     names = spark.createDataFrame([("V", "f7.py")], "vuln_id string, name string")
     ask_two = lambda prompt: '{"important_ids": ["3", "999"]}'
-    say = lambda prompt: "YES\n0.9\n" + prompt.split("\n")[2]
+    say = lambda prompt: "YES\n0.9\n" + judge.sections(prompt)["CODE"].split("\n")[0]
     r = decide.decide(known, c, names, ask_two, say).first()
     assert (r.n_shown, r.n_chosen, r.has_vuln, r.confidence, r.reason) == (9, 1, True, 0.9, "[f3.py:1-2]")
     r = decide.decide(known, c, names, lambda prompt: "none", say).first()
