@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions.python import shorten, tolerant_json
 from ..operators import dedup, graph, paths, rank, similarity, spans
-from ..sources import braces, diffs, facts, segment
+from ..sources import braces, builders, diffs, facts, flows, segment
 from ..sources.tables import materialize, table
 from . import context, decide, hunk_sql, pipeline
 from .judge import rule_judge
@@ -437,7 +437,69 @@ def q_brace_facts(spark, d):
 
 @query()
 def q_brace_call_edges(spark, d):
-    return facts.call_edges(q_brace_facts(spark, d))
+    """Calls of C, C++ and Java by symbol, across files."""
+    return braces.symbol_edges(q_brace_facts(spark, d))
+
+
+def _files(spark, d) -> DataFrame:
+    return blocks(spark, d, "tree_id", "file_path", "content", "kind").where("kind = 'file'").drop("kind").distinct()
+
+
+@query()
+def q_flow_edges(spark, d):
+    """Calls of Python files by names and by the flow of values."""
+    return flows.resolved_edges(_files(spark, d))
+
+
+@query()
+def q_graph_blocks(spark, d):
+    """The functions of Python files as blocks of graph nodes."""
+    return builders.builder_of("python").blocks(_files(spark, d))
+
+
+_RANGED = """WITH b AS (SELECT DISTINCT tree_id, block_key, {norm} path, coalesce(kind, '') kind, name, start_line,
+start_line + greatest(len(string_split(replace(coalesce(content, ''), chr(13) || chr(10), chr(10)), chr(10))) - CAST(ends_with(coalesce(content, ''), chr(10)) AS INT), 1) - 1 end_line FROM code_blocks)""".format(norm=_NORM.format("file_path"))
+def _ranged(spark, d):
+    df = blocks(spark, d, "tree_id", "block_key", "file_path", "start_line", "kind", "name", "content")
+    return context.ranged(df).withColumn("kind", F.coalesce("kind", F.lit("")))
+
+
+@query(f"""{_RANGED} SELECT block_key, path, start_line, end_line FROM b x WHERE tree_id IS NOT NULL AND path IS NOT NULL
+AND EXISTS (SELECT 1 FROM b y WHERE y.block_key % 50 = 0 AND y.tree_id = x.tree_id AND y.path = x.path AND y.start_line - 40 <= x.end_line AND x.start_line <= y.end_line + 40)""")
+def q_overlap_blocks(spark, d):
+    """Blocks whose lines come within 40 of a reference block of their file."""
+    b = _ranged(spark, d).where("tree_id IS NOT NULL").drop("kind", "name")
+    refs = b.where(is_reference(F.col("block_key"))).withColumn("start_line", F.col("start_line") - 40).withColumn("end_line", F.col("end_line") + 40)
+    return spans.overlapping(b, refs, ["tree_id", "path"]).select("block_key", "path", "start_line", "end_line")
+
+
+@query(f"""{_RANGED} SELECT x.block_key AS block_key, y.block_key AS whole_key, y.start_line AS start_line, y.end_line AS end_line FROM b x JOIN b y ON y.tree_id = x.tree_id AND y.path = x.path AND y.start_line <= x.start_line AND x.start_line <= y.end_line
+WHERE y.kind <> 'file' QUALIFY row_number() OVER (PARTITION BY x.block_key ORDER BY y.end_line - y.start_line DESC, y.start_line, y.block_key) = 1""")
+def q_containment_blocks(spark, d):
+    """The outermost block that holds the first line of each block."""
+    b = _ranged(spark, d).where("tree_id IS NOT NULL")
+    points = b.select("tree_id", "path", "block_key", F.col("start_line").alias("at"))
+    held = b.where("kind <> 'file'").select("tree_id", "path", F.col("block_key").alias("whole_key"), "start_line", "end_line", (F.col("start_line") - F.col("end_line")).alias("size"))
+    return spans.first_enclosing(points, held, ["tree_id", "path"], "at", "block_key", ["size", "start_line", "whole_key"]).select("block_key", "whole_key", "start_line", "end_line")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT tree_id, file_path, content, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) t FROM code_blocks WHERE kind = 'file' AND file_path IS NOT NULL AND content IS NOT NULL)
+SELECT tree_id, file_path, len(string_split(t, chr(10))) AS end_line, md5(t) AS content_md5 FROM f WHERE NOT ends_with(file_path, '.py') AND NOT ends_with(file_path, '.java')""")
+def q_whole_file_blocks(spark, d):
+    """The blocks of files that no segmenter knows: the whole file each."""
+    other = _files(spark, d).where(~F.col("file_path").endswith(".py") & ~F.col("file_path").endswith(".java"))
+    return segment.blocks(other).where("kind = 'file' AND seq = 0 AND start_line = 1").select("tree_id", "file_path", "end_line", F.md5("content").alias("content_md5"))
+
+
+@query("""WITH d AS (SELECT tree_id, dst node FROM call_edges WHERE dst IS NOT NULL AND tree_id IS NOT NULL UNION SELECT tree_id, src FROM call_edges WHERE src IS NOT NULL AND tree_id IS NOT NULL),
+n AS (SELECT * FROM d UNION SELECT tree_id, node || '.__init__' FROM d WHERE regexp_matches(regexp_extract(node, '[^.]*$'), '^[A-Z]'))
+SELECT tree_id, regexp_replace(node, '\.__init__$', '') AS src, node AS dst FROM n WHERE ends_with(node, '.__init__') AND (tree_id, regexp_replace(node, '\.__init__$', '')) IN (SELECT (tree_id, node) FROM n)""")
+def q_constructor_classes(spark, d):
+    """Constructor links of the nodes named like classes, each given an __init__."""
+    e = edges(spark, d).where("tree_id IS NOT NULL")
+    nodes = e.select("tree_id", F.col("src").alias("node")).union(e.select("tree_id", "dst")).where("node IS NOT NULL").distinct()
+    made = nodes.where(F.regexp_extract("node", "[^.]*$", 0).rlike("^[A-Z]")).select("tree_id", F.concat("node", F.lit(".__init__")).alias("node"))
+    return graph.constructor_links(nodes.unionByName(made).distinct(), ["tree_id"])
 
 
 @query()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
 from .facts import FACTS
 
 _NOISE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:\\\n|[^\n])*", re.S | re.M)
@@ -76,6 +77,23 @@ def facts(files: DataFrame) -> DataFrame:
     return files.where(ok & F.col("content").isNotNull()).select(F.col("tree_id").cast("string"), "file_path", "content").mapInArrow(fact_rows, FACTS)
 
 
+def symbol_edges(rows: DataFrame) -> DataFrame:
+    """(tree_id, src, dst, edge_kind) of calls by the symbol they name: the definition in the caller's file, else those of any file of the tree.
+
+    A call `a.f` or `C::f` names the function f of that class if there is one; else the caller's own class is tried first. Symbols that very many
+    calls name are split over several tasks.
+    """
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    defs = rows.where("fact = 'def'").select("tree_id", F.col("module").alias("def_module"), F.col("name").alias("dst"), F.col("target").alias("def_class"), last("name").alias("symbol")).distinct()
+    calls = rows.where("fact = 'call'").select("tree_id", "module", F.col("owner").alias("src"), F.col("target").alias("own_class"), F.col("name").alias("call"), last("name").alias("symbol")).distinct()
+    met = salted_join(calls, defs, ["tree_id", "symbol"], F.col("src"))
+    receiver = F.regexp_extract("call", r"^(.*)\.", 1)
+    near = F.when(F.col("def_class") == receiver, 1).when((F.col("module") == F.col("def_module")) & F.col("own_class").eqNullSafe(F.col("def_class")), 2).when(F.col("module") == F.col("def_module"), 3).otherwise(4)
+    met = met.withColumn("near", near)
+    least = met.groupBy("tree_id", "src", "call").agg(F.min("near").alias("near"))
+    return met.join(least, ["tree_id", "src", "call", "near"]).select("tree_id", "src", "dst", F.lit("call").alias("edge_kind")).distinct()
+
+
 BLOCKS = "tree_id string, file_path string, qualname string, func_name string, start_line int, end_line int, content string"
 
 

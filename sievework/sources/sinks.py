@@ -20,18 +20,37 @@ def cache_read(spark: SparkSession, path: str, key: str) -> DataFrame | None:
         return None
 
 
+def cache_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a cache holds; empty for a missing or unreadable one."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:
+        return spark.createDataFrame([], schema)
+
+
 def graph_json(adjacency: DataFrame, path: str) -> None:
     """One JSON object per caller with its ordered callees."""
     adjacency.select("src", F.split("dsts", ",").alias("dsts")).write.mode("overwrite").json(path)
 
 
-def fasten_json(nodes: DataFrame, edges: DataFrame, product: str, path: str) -> None:
-    """A call graph by module: names with their URIs, and calls inside and across modules."""
+def fasten_json(nodes: DataFrame, edges: DataFrame, product: str, path: str, bases: DataFrame | None = None, requirements: DataFrame | None = None) -> None:
+    """A call graph by module: names with their URIs, and calls inside and across modules.
+
+    bases: (module, node, base), the class hierarchy, as `cha`; requirements: (product, constraint), as `depset` of every row.
+    """
     uri = lambda c: F.concat(F.lit(f"//{product}/"), F.col("module"), F.lit("/"), F.col(c))
     names = nodes.groupBy("module").agg(F.array_sort(F.collect_set(uri("node"))).alias("namespace"))
     inside = F.col("src_module") == F.col("dst_module")
     calls = edges.groupBy(F.col("src_module").alias("module")).agg(F.array_sort(F.collect_set(F.when(inside, F.struct("src", "dst")))).alias("internal"), F.array_sort(F.collect_set(F.when(~inside, F.struct("src", "dst")))).alias("external"))
-    names.join(calls, "module", "left").write.mode("overwrite").json(path)
+    out = names.join(calls, "module", "left")
+    if bases is not None:
+        parents = bases.groupBy("module", "node").agg(F.array_sort(F.collect_set("base")).alias("bases"))
+        out = out.join(parents.groupBy("module").agg(F.array_sort(F.collect_list(F.struct(uri("node").alias("name"), "bases"))).alias("cha")), "module", "left")
+    if requirements is not None:
+        # one small row: the requirements of one product
+        deps = requirements.agg(F.array_sort(F.collect_set(F.struct("product", "constraint"))).alias("depset")).withColumn("__one", F.lit(1))
+        out = out.withColumn("__one", F.lit(1)).join(deps, "__one").drop("__one")
+    out.write.mode("overwrite").json(path)
 
 
 def verdict_lines(verdicts: DataFrame) -> DataFrame:
