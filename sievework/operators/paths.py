@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename, common_suffix, norm_path, strip_diff_prefix
+from ..sources.tables import materialize
 from .skew import salted_join
 
 
@@ -42,5 +43,24 @@ def file_tree(files: DataFrame, scope: list[str], max_entries: int | None = None
     dirs = paths.where(F.size(parts) > 1).select(*scope, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("entry")).distinct().withColumn("is_dir", F.lit(1))
     rows = dirs.unionByName(paths.select(*scope, F.col("path").alias("entry")).withColumn("is_dir", F.lit(0)))
     rows = rows.withColumn("depth", F.size(F.split("entry", "/")) - 1)
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(*scope).orderBy("entry", F.desc("is_dir"))))
-    return rows if max_entries is None else rows.where(F.col("position") <= max_entries)
+    if max_entries is not None:
+        w = Window.partitionBy(*scope).orderBy("entry", F.desc("is_dir"))
+        return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= max_entries)
+    return numbered(rows, scope, ["entry", "-is_dir"])
+
+
+def numbered(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """The rows with `position`, from 1 within each scope by the expressions of a total order; no scope is sorted in one task.
+
+    Rows are cut into ranges over all scopes together; how many rows of a scope stand in the ranges before one is added to
+    their numbers within it.
+    """
+    keys = [F.col(c) for c in scope] + [F.expr(e) for e in order]
+    sorted_ = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33).alias("__part")
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in scope]
+    ranges = sorted_.groupBy(*scope, part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*scope).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = materialize(ranges.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), "ranges")
+    met = sorted_.withColumn("__part", part).alias("a").join(ranges.alias("b"), [*same("a", "b"), F.col("a.__part") == F.col("b.__part")])
+    return met.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int").alias("position"))
