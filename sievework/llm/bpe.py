@@ -20,18 +20,18 @@ TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 #: Fixed value: the word pattern of this tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most words that a worker keeps encoded; the oldest go first. Memory only: the ids are the same.
+#: Most words that a worker keeps encoded; beyond it all are dropped and it begins anew. Memory only: the ids are the same.
 KEPT = 200_000
 _NONE = np.iinfo(np.int64).max
 
 
 class Encoder:
-    """Ids of byte strings by merge ranks read from a .tiktoken file (one `base64 rank` per line)."""
+    """Ids of byte strings by merge ranks, the content of a .tiktoken file (one `base64 rank` per line)."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         ranks = {}
-        with open(path, "rb") as f:
-            for line in f:
+        for line in content.splitlines():
+            if line:
                 token, rank = line.split()
                 ranks[base64.b64decode(token)] = int(rank)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -102,17 +102,15 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    with open(path, "rb") as f:
+        return Encoder(f.read())
 
 
-def id_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    e = encoder(path)
+def id_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    e = getattr(shared, "encoder", None)  # made once in each process
+    if e is None:
+        e = shared.encoder = Encoder(shared.value)
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             part = batch.slice(begin, 1000)
@@ -123,7 +121,9 @@ def id_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = NAME, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids): the ids of each text, whole, without special tokens; their strings are ordinary text.
 
-    Empty and null texts have an empty list. One row per row of documents, no shuffle.
+    Empty and null texts have an empty list. One row per row of documents, no shuffle. The vocabulary is read by the driver and
+    sent along, so executors need no file.
     """
-    path = f"{tokenizers}/{name}.tiktoken"
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: id_rows(b, path), "doc_id long, ids array<int>")
+    with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, about a megabyte
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: id_rows(b, shared), "doc_id long, ids array<int>")

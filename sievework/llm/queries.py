@@ -72,6 +72,13 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.select(F.when(known, "vuln_knowledge").otherwise("code_blocks").alias("rec_table"), F.shiftright("rec", 1).alias("rec_key"), "shared_chars")
 
 
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal shared spans of each different text, each with one partner record."""
+    found = spans.maximal_spans(records_with_text(spark, sf_dir), "rec", "text", "ingested_at")
+    table_of = lambda c: F.when(F.col(c) % 2 == 1, "vuln_knowledge").otherwise("code_blocks")
+    return found.select(table_of("rec").alias("rec_table"), F.shiftright("rec", 1).alias("rec_key"), F.col("begin").alias("begin_char"), F.col("end").alias("end_char"), table_of("partner").alias("partner_table"), F.shiftright("partner", 1).alias("partner_key"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of p5_shared."""
     return p5_shared(spark, sf_dir).select("rec_table", "rec_key").distinct()
@@ -102,5 +109,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.rates(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p5_spans": p5_spans, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_rates": p8_rates}
 

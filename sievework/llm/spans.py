@@ -5,8 +5,9 @@
 2. Anchors that only one record has are dropped; the count is pre-aggregated before the shuffle.
 3. Equal texts collapse to one record first. Around each shared anchor, every window of `least` characters that holds the
    anchor is hashed. Windows that occur in two records under an anchor are the extension of the match both ways, as far as `least` characters reach; windows of
-   neighbouring anchors and starts join to the maximal span. No pair of records is formed, so a stretch that a third of all
-   records share costs what its occurrences cost.
+   neighbouring anchors and starts join to the maximal span. Each window names one partner, the least other record of its
+   class of equal windows, and spans with one partner are kept at their whole length. No other pair of records is formed, so a
+   stretch that a third of all records share costs what its occurrences cost.
 4. The windows are compared on 64-bit hashes of their characters together with the anchor's own 64 bits.
 """
 
@@ -134,7 +135,7 @@ def window_rows(batches: Iterator[pa.RecordBatch], least: int, length: int) -> I
 
 
 def shared_starts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(rec, begin, end) of the runs of windows that another record has too. Rows come with all of an anchor's occurrences, ordered by anchor."""
+    """(rec, begin, end, partner) of the runs of windows that another record has too. Rows come with all of an anchor's occurrences, ordered by anchor."""
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         anchor, rec, start = (t.column(k).to_numpy() for k in range(3))
@@ -149,14 +150,16 @@ def shared_starts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         r = rec[row[order]]
         first = np.flatnonzero(np.diff(group, prepend=-1))
         low, high = np.minimum.reduceat(r, first), np.maximum.reduceat(r, first)
+        other = np.empty(len(h), np.int64)
+        other[order] = np.where(r == low[group], high[group], low[group])
         ok = order[(low != high)[group]]
         ok.sort()
-        rows, at = row[ok], at[ok]
-        new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        rows, at, other = row[ok], at[ok], other[ok]
+        new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1) | (np.diff(other, prepend=-1) != 0))
         last = np.concatenate((new[1:], [len(ok)])) - 1
         if not len(ok):
             new = last = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rec[rows[new]], pa.int64()), pa.array(at[new], pa.int64()), pa.array(at[last] + least, pa.int64())], names=["rec", "begin", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(rec[rows[new]], pa.int64()), pa.array(at[new], pa.int64()), pa.array(at[last] + least, pa.int64()), pa.array(other[new], pa.int64())], names=["rec", "begin", "end", "partner"])
 
     held: list[pa.RecordBatch] = []
     count = 0
@@ -200,10 +203,28 @@ def hot_starts(found: DataFrame, least: int) -> DataFrame:
     found = found.withColumn("digest", F.xxhash64("context"))
     distinct = found.groupBy("anchor", "context").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).withColumn("digest", F.xxhash64("context"))
     single = distinct.mapInArrow(lambda b: single_windows(b, least), "anchor long, digest long, low long, high long, at long, hash long")
-    twice = single.groupBy("anchor", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("anchor", "hash")
-    ok = single.join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "digest").agg(F.collect_set("at").alias("at"))
-    starts = found.join(ok, ["anchor", "digest"]).select("rec", "start", F.explode("at").alias("at"))
-    return starts.select("rec", (F.col("start") + F.col("at")).alias("begin"), (F.col("start") + F.col("at") + least).alias("end"))
+    twice = single.groupBy("anchor", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("anchor", "hash", F.col("low").alias("least"), F.col("high").alias("most"))
+    ok = single.select("anchor", "digest", "at", "hash").join(twice, ["anchor", "hash"]).groupBy("anchor", "digest").agg(F.collect_set(F.struct("at", "least", "most")).alias("x"))
+    starts = found.join(ok, ["anchor", "digest"]).select("rec", "start", F.explode("x").alias("x")).select("rec", (F.col("start") + F.col("x.at")).alias("begin"), "x.least", "x.most")
+    return starts.select("rec", "begin", (F.col("begin") + least).alias("end"), F.when(F.col("rec") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("partner"))
+
+
+def joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rec, partner, begin, end): windows of a record and a partner that overlap are one span."""
+    for batch in batches:
+        rows = [(rec, partner, a, b) for rec, partner, x in zip(*(c.to_pylist() for c in batch.columns)) for a, b in joined([(s["begin"], s["end"]) for s in x])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["rec", "partner", "begin", "end"])
 
 
 def coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +235,7 @@ def coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_spans(records: DataFrame, least: int = LEAST, length: int = ANCHOR, hot_from: int = HOT) -> DataFrame:
-    """(rec, begin, end): stretches of records' texts, of `least` characters or more, that other records hold too.
+    """(rec, begin, end, partner): stretches of records' texts, of `least` characters or more, that other records hold too.
 
     records: (key bigint, text string), texts all different. Stretches of a record may overlap; their union is what it
     shares. Null texts and texts under `least` characters share nothing.
@@ -231,7 +252,7 @@ def shared_spans(records: DataFrame, least: int = LEAST, length: int = ANCHOR, h
     found = records.join(few, "rec", "left_semi").join(own, "rec").select("rec", "text", "shared").mapInArrow(lambda b: window_rows(b, least, length), "anchor long, rec long, start int, context string")
     hot = materialize(shared.where(F.col("n") >= hot_from).select("anchor"), "hot")
     rest = found.join(hot, "anchor", "left_anti") if (any_hot := not hot.isEmpty()) else found
-    common = rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: shared_starts(b, least), "rec long, begin long, end long")
+    common = rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: shared_starts(b, least), "rec long, begin long, end long, partner long")
     return common.unionByName(hot_starts(found.join(hot, "anchor", "left_semi"), least)) if any_hot else common
 
 
@@ -248,3 +269,17 @@ def shared_lengths(records: DataFrame, key: str, text: str, version: str | None
     lengths = lengths.unionByName(whole).groupBy("rec").agg(F.max("shared_chars").alias("shared_chars"))
     own = members.select(F.col("rep").alias("rec"), "key")
     return lengths.join(own, "rec", "left").select(F.coalesce("key", "rec").alias("rec"), "shared_chars")
+
+
+def maximal_spans(records: DataFrame, key: str, text: str, version: str | None = None, least: int = LEAST, length: int = ANCHOR, hot_from: int = HOT) -> DataFrame:
+    """(rec, begin, end, partner): the maximal spans of each text that others hold too, by character offsets, each with one partner.
+
+    Of equal texts the record with the least key stands for all and is named as the partner; a text that has copies shares
+    the whole of itself with the next of them. A span is given once for each partner that its windows name.
+    """
+    one, members = copies(records, key, text, version)
+    found = shared_spans(one, least, length, hot_from).groupBy("rec", "partner").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    apart = found.mapInArrow(maximal, "rec long, partner long, begin long, end long")
+    again = members.where("key <> rep").groupBy("rep").agg(F.min("key").alias("partner"))
+    whole = records.select(F.col(key).alias("rep"), F.length(text).cast("long").alias("end")).where(F.col("end") >= least).join(again, "rep").select(F.col("rep").alias("rec"), "partner", F.lit(0).cast("long").alias("begin"), "end").distinct()
+    return apart.unionByName(whole).select("rec", "begin", "end", "partner")

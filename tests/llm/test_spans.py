@@ -59,3 +59,20 @@ def test_long_texts_have_the_same_anchors(monkeypatch):
     monkeypatch.setattr(spans, "_PIECE", 500)
     parts = spans.anchors(text, 60, 20)
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_maximal_spans(rows, hot):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefgh \n", k=n))
+    shared, twice = word(90), word(60)
+    texts = ["x" + word(30) + shared + word(20), word(10) + shared + word(15) + twice, word(50) + twice + word(9), word(80), word(70)]
+    data = list(enumerate(texts)) + [(9, texts[4]), (10, None), (11, ""), (0, texts[0])]
+    df = rows(data, "rec long, text string", extra=("begin", "partner", "n"))
+    got = {tuple(r) for r in spans.maximal_spans(df, "rec", "text", None, 40, 16, hot).select("rec", "begin", "end", "partner").collect()}
+    by = dict(data)
+    for rec, a, b, partner in got:
+        piece = by[rec][a:b]
+        assert len(piece) >= 40 and piece in by[partner] and rec != partner
+    lengths = {(rec, partner): b - a for rec, a, b, partner in got}
+    assert set(lengths) == {(0, 1), (1, 0), (1, 2), (2, 1), (4, 9)} and lengths[0, 1] >= 90 and lengths[1, 2] >= 60 and lengths[4, 9] == 70
