@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,10 +108,14 @@ def encoder(path: str) -> Encoder:
         return Encoder(f.read())
 
 
+@lru_cache(4)
+def encoder_of(content: bytes) -> Encoder:
+    """The encoder of a vocabulary, made once in each process and kept for later jobs."""
+    return Encoder(content)
+
+
 def id_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    e = getattr(shared, "encoder", None)  # made once in each process
-    if e is None:
-        e = shared.encoder = Encoder(shared.value)
+    e = encoder_of(shared.value)
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             part = batch.slice(begin, 1000)
