@@ -7,7 +7,8 @@ Items are the distinct tokens of a text and its distinct pairs of adjacent token
    correct for the prefix filter, so collisions in the sketch cost time only.
 3. Each record is posted under the rarest items of its prefix (two similar records share at least one of them). Items that no
    other record can have are not posted, and postings without another of a fitting size and place are dropped. Items that are
-   posted for more than TILE records, by true counts, are cut into cells of two parts of their records, for different tasks.
+   posted for more than TILE records are cut into cells of two parts of their records, for different tasks; how many parts
+   the sketch tells while it has room, and beyond that a count of the items that may be so frequent.
 4. The others get a parity bitmap of their record's items. Under each item the bitmaps are compared in tiles with exclusive-or
    and bit counts. The bitmaps of two sets differ in no more bits than the sets differ in items, so the radius
    (1-t)/(1+t) * (|a|+|b|) loses no pair. Tiles are cut from the records in the order of their population counts; pairs of
@@ -38,6 +39,8 @@ SLICE_BITS = 16
 TILE = 2048
 #: Most records whose sets one task holds to verify their pairs.
 BIN = 5000
+#: Items a cell of the sketch from which its bounds are not near enough to the items' own counts.
+LOAD = 1.0
 #: Rows of a tile of bitmaps.
 ROWS = 64
 BASE_BITS = 512
@@ -126,7 +129,7 @@ def sketch_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total = -1, None
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(total.max())], pa.int64()), pa.array([zlib.compress(encode_counts(total).tobytes(), 1)], pa.binary())], names=["slice", "most", "codes"])
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(total.max())], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([zlib.compress(encode_counts(total).tobytes(), 1)], pa.binary())], names=["slice", "most", "sum", "codes"])
 
     for batch in batches:
         for s, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -170,9 +173,11 @@ def posting_rows(batches: Iterator[pa.RecordBatch], least: int, threshold: float
             yield tuple(np.concatenate(c) for c in out)
 
 
-def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch) -> Iterator[pa.RecordBatch]:
-    for item, rec, n, place, _ in posting_rows(batches, least, threshold, sketch):
-        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(rec), pa.array(n), pa.array(place)], names=["item", "rec", "n", "place"])
+def postings(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch, tile: int = TILE) -> Iterator[pa.RecordBatch]:
+    """(item, rec, n, place, tiles): tiles by the bound of the item's count."""
+    for item, rec, n, place, most in posting_rows(batches, least, threshold, sketch):
+        tiles = np.maximum(1, -(-most // tile)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(rec), pa.array(n), pa.array(place), pa.array(tiles)], names=["item", "rec", "n", "place", "tiles"])
 
 
 def hot_counts(batches: Iterator[pa.RecordBatch], least: int, threshold: float, sketch, tile: int) -> Iterator[pa.RecordBatch]:
@@ -441,21 +446,24 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     one, members = copies(records, key, text, version)
     spark, bits, tile_rows = records.sparkSession, CELL_BITS, ROWS
     parts = one.mapInArrow(lambda b: sketch_part(b, least, bits), "slice int, cells binary, counts binary")
-    summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(sketch_sum, "slice int, most long, codes binary")
+    summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(sketch_sum, "slice int, most long, sum long, codes binary")
     # at most 2**(CELL_BITS - SLICE_BITS) slices of 2**(SLICE_BITS - 1) bytes
-    slices = [(r.slice, r.most, bytes(r.codes)) for r in summed.collect()]
-    most = max((m for _, m, _ in slices), default=0)
+    summed_rows = summed.collect()
+    slices = [(r.slice, r.most, bytes(r.codes)) for r in summed_rows]
+    most, loaded = max((m for _, m, _ in slices), default=0), sum(r.sum for r in summed_rows) > LOAD * 2**bits
     sketch = spark.sparkContext.broadcast((slices, bits))
     del parts, summed
     release(spark)
     keys = ("item", "ta", "tb")
-    posted = one.mapInArrow(lambda b: postings(b, least, threshold, sketch), "item long, rec long, n int, place int")
-    if most > TILE:
-        # true counts of the items that may be posted for more records than a tile holds
-        tile = TILE
+    tile = TILE
+    posted = one.mapInArrow(lambda b: postings(b, least, threshold, sketch, tile), "item long, rec long, n int, place int, tiles int")
+    if most > TILE and loaded:
+        # the bounds count other items too: true counts of the items that may be posted for more records than a tile holds
         counted = one.mapInArrow(lambda b: hot_counts(b, least, threshold, sketch, tile), "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
         hot = materialize(counted.where(F.col("n") > TILE).select("item", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot")
-        posted = cells(posted.join(hot, "item", "left"), "rec", "tiles")
+        posted = cells(posted.drop("tiles").join(hot, "item", "left"), "rec", "tiles")
+    elif most > TILE:
+        posted = cells(posted, "rec", "tiles")
     else:
         posted = posted.withColumn("ta", F.lit(0)).withColumn("tb", F.lit(0))
     posted = posted.select("item", "ta", "tb", "rec", "n", "place")

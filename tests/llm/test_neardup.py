@@ -43,6 +43,7 @@ def test_pairs_and_groups(rows, monkeypatch, threshold, least, tile, bits):
     monkeypatch.setattr(neardup, "TILE", tile)
     monkeypatch.setattr(neardup, "ROWS", tile)
     monkeypatch.setattr(neardup, "CELL_BITS", bits)
+    monkeypatch.setattr(neardup, "LOAD", 0.0 if bits == 17 else 1.0)
     monkeypatch.setattr(neardup, "BIN", 5000 if tile == 3 else tile)
     data = corpus(tile)
     df = rows(data, "block_key long, content string, ingested_at timestamp")
