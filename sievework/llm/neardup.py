@@ -14,6 +14,9 @@ Items are the distinct tokens of a text and its distinct pairs of adjacent token
    (1-t)/(1+t) * (|a|+|b|) loses no pair. Tiles are cut from the records in the order of their population counts; pairs of
    tiles, and then of records, whose population counts differ by more than the radius are skipped unseen.
 5. The pairs that are left are compared exactly on their item sets, gathered in bins; large bins are cut into cells in the same way.
+
+Texts are read where they lie, again for each step, and tables of keys go to them: up to FEW keys whole, of more a bitmap of
+fixed size. The texts that move are those of records in pairs that are left, and beyond FEW copies those of the copies.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import item_sets
-from ..operators.skew import salted_join
+from ..operators.skew import bitmap, held, salted_join
 from ..sources.tables import discard, materialize, release
 
 THRESHOLD = 0.6
@@ -44,6 +47,8 @@ LOAD = 1.0
 #: Rows of a tile of bitmaps.
 ROWS = 64
 BASE_BITS = 512
+#: Keys up to which a table of them is broadcast to the texts; a bitmap tells of more.
+FEW = 100_000
 
 
 def encode_counts(counts: np.ndarray) -> np.ndarray:
@@ -351,26 +356,29 @@ def candidates(t: pa.Table, pop: np.ndarray, threshold: float, rows: int) -> Ite
             yield admissible(t, i, j, threshold)
 
 
-def bit_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def keys_of(df: DataFrame, *key: str):
+    """A broadcast bitmap of the keys, for held_rows."""
+    return bitmap(df.select(F.xxhash64(*key).alias("hash")), "hash")
+
+
+def held_rows(batches: Iterator[pa.RecordBatch], shared, yes: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash, the last column, the bitmap has: all rows of its keys and few others. With yes=False those that it lacks."""
     for batch in batches:
-        keys, texts = _texts(batch)
-        rows = [(int(k), parity(s, width_of(len(s))).tobytes()) for k, s in zip(keys, item_sets(texts, least)) if s is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["rec", "bits"])
+        last = batch.num_columns - 1
+        keep = held(shared, batch.column(last).to_numpy().view(np.uint64)) == yes
+        yield batch.select(list(range(last))).filter(pa.array(keep))
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(bin, ta, tb, rec, items) for rows of (rec, text, bin, ta, tb)."""
+def bit_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, texts = _texts(batch)
-        found = list(item_sets(texts, least))
-        keep = pa.array([s is not None for s in found])
-        own = [batch.column(k).filter(keep) for k in (2, 3, 4, 0)]
-        yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in found if s is not None], pa.binary())], names=["bin", "ta", "tb", "rec", "items"])
+        rows = [(int(k), parity(s, width_of(len(s))).tobytes()) for k, s in zip(keys, item_sets(texts, least)) if s is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["rec", "bits"])
 
 
-def similarity(x: bytes, y: bytes) -> tuple[int, int]:
+def similarity(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     """(common, all) items of two sets of distinct hashes."""
-    both = np.sort(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))))
+    both = np.sort(np.concatenate((x, y)))
     common = int((both[1:] == both[:-1]).sum())
     return common, len(both) - common
 
@@ -380,15 +388,16 @@ def _similar(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
 
 
 def verify_bins(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of each cell that reach the threshold. A cell's sets (b null) come before its pairs; only one cell's sets are held."""
+    """The pairs of each cell that reach the threshold. A cell's texts (b null) come before its pairs; only one cell's sets are held."""
     at, sets = None, {}
     for batch in batches:
         out = []
-        for own, ta, tb, a, b, items in zip(*(c.to_pylist() for c in batch.columns)):
+        found = item_sets([t for t in batch.column(5).cast(pa.large_binary()).to_pylist() if t is not None], 1)
+        for own, ta, tb, a, b in zip(*(c.to_pylist() for c in batch.columns[:5])):
             if (own, ta, tb) != at:
                 at, sets = (own, ta, tb), {}
             if b is None:
-                sets[a] = items
+                sets[a] = next(found)
             else:
                 common, union = similarity(sets[a], sets[b])
                 if common >= threshold * union - 1e-9:
@@ -396,12 +405,12 @@ def verify_bins(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         yield _similar(out)
 
 
-def verified(near: DataFrame, one: DataFrame, threshold: float, least: int) -> DataFrame:
+def verified(near: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
     """The near pairs that are similar, by their whole sets.
 
-    Pairs gather in bins by the least record that their records are near to, so that a record's set travels once or
+    Pairs gather in bins by the least record that their records are near to, so that a record's text travels once or
     little more. Bins of more than BIN records are cut into parts, and their pairs are verified in cells of two parts, so
-    that a set travels once for each part of its bin and no task holds more than BIN sets at once.
+    that a text travels once for each part of its bin and no task holds more than BIN sets at once. one: (key, text, hash).
     """
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "bins")
@@ -410,10 +419,11 @@ def verified(near: DataFrame, one: DataFrame, threshold: float, least: int) -> D
     members = materialize(pairs.select("bin", F.explode(F.array("a", "b")).alias("key")).distinct(), "members")
     big = materialize(members.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > BIN).select("bin", F.ceil(2 * F.col("n") / BIN).cast("int").alias("tiles")), "big")
     placed = cells(members.join(big, "bin", "left"), "key", "tiles").distinct()
-    sets = one.join(placed, "key").select("key", "text", "bin", "ta", "tb").mapInArrow(lambda b: set_rows(b, least), "bin long, ta int, tb int, rec long, items binary")
+    shared = keys_of(label, "a")
+    texts = one.mapInArrow(lambda b: held_rows(b, shared), "key long, text string").join(placed, "key")
     split = pairs.join(big, "bin", "left").withColumn("x", F.coalesce(tile_of("a", "tiles"), F.lit(0))).withColumn("y", F.coalesce(tile_of("b", "tiles"), F.lit(0)))
-    split = split.select("bin", F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"), "a", "b", F.lit(None).cast("binary").alias("items"))
-    rows = sets.select("bin", "ta", "tb", F.col("rec").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(split)
+    split = split.select("bin", F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"), "a", "b", F.lit(None).cast("string").alias("text"))
+    rows = texts.select("bin", "ta", "tb", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(split)
     keys = ("bin", "ta", "tb")
     out = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first(), "a").mapInArrow(lambda it: verify_bins(it, threshold), "a long, b long, similarity double")
     out = materialize(out.distinct(), "similar")
@@ -424,17 +434,24 @@ def verified(near: DataFrame, one: DataFrame, threshold: float, least: int) -> D
 def copies(df: DataFrame, key: str, text: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows without copies, one each of equal texts; (rep, key) of every record that has copies, itself included).
 
-    version tells rows of one key apart, so that only one delivery of a record stays. Only digests are shuffled; the texts
-    follow only if the table of rows to leave out is too large to broadcast.
+    version tells rows of one key apart, so that only one delivery of a record stays. Only digests are shuffled, and beyond
+    FEW rows to leave out once the texts of these and of rows that their bitmap can't tell from them.
     """
     df = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     df = df.select(F.col(key).cast("long").alias("key"), (F.xxhash64(version) if version else F.lit(0).cast("long")).alias("version"), F.col(text).alias("text"))
     digest = materialize(df.select("key", "version", F.sha1("text").alias("digest")), "digests")
     group = digest.groupBy("digest").agg(F.min(F.struct("key", "version")).alias("rep"), F.count("*").alias("n")).where("n > 1")
     more = materialize(digest.join(group, "digest").select("rep", "key", "version").distinct(), "copies")
-    others = more.where("key <> rep.key or version <> rep.version").select("key", "version")
+    others = materialize(more.where("key <> rep.key or version <> rep.version").select("key", "version"), "others")
     members = more.select(F.col("rep.key").alias("rep"), "key").distinct()
-    return df.join(others, ["key", "version"], "left_anti").select("key", "text"), members
+    if others.count() <= FEW:
+        return df.join(F.broadcast(others), ["key", "version"], "left_anti").select("key", "text"), members
+    shared = keys_of(others, "key", "version")
+    hashed = df.withColumn("hash", F.xxhash64("key", "version"))
+    doubtful = hashed.select("key", "version", "text", "hash").mapInArrow(lambda b: held_rows(b, shared), "key long, version long, text string")
+    rest = materialize(doubtful.join(others, ["key", "version"], "left_anti").select("key", "text"), "rest")
+    release(df.sparkSession)
+    return hashed.select("key", "text", "hash").mapInArrow(lambda b: held_rows(b, shared, False), "key long, text string").unionByName(rest), members
 
 
 def similar_texts(records: DataFrame, key: str, text: str, version: str | None = None, threshold: float = THRESHOLD, least: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -470,17 +487,28 @@ def similar_texts(records: DataFrame, key: str, text: str, version: str | None =
     posted = materialize(posted.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: with_partner(b, threshold), POSTING), "postings")
     release(spark)
     wanted = materialize(posted.select(F.col("rec").alias("key")).distinct(), "wanted")
-    bits = materialize(one.join(wanted, "key", "left_semi").mapInArrow(lambda b: bit_rows(b, least), "rec long, bits binary"), "bits")
+    hashed = one.select("key", "text", F.xxhash64("key"))
+    shared = keys_of(wanted, "key")
+    bits = materialize(hashed.mapInArrow(lambda b: bit_rows(held_rows(b, shared), least), "rec long, bits binary"), "bits")
     release(spark)
     near = posted.join(bits, "rec").select(*posted.columns, "bits").repartition(*keys).sortWithinPartitions(*keys, "n")
     near = materialize(near.mapInArrow(lambda b: compare_tiles(b, threshold, tile_rows), "a long, b long").distinct(), "near")
     discard(posted, wanted, bits)
     release(spark)
-    pairs = verified(near, one, threshold, least)
+    pairs = verified(near, hashed, threshold)
     discard(near)
     return pairs, members
 
 
+def among(records: DataFrame, key: str, text: str, members: DataFrame) -> DataFrame:
+    """(key, text) of the records that have copies, and of few others if more than FEW have; no text is shuffled."""
+    rows, keys = records.select(key, text), members.select(F.col("key").alias(key))
+    if keys.count() <= FEW:
+        return rows.join(F.broadcast(keys), key, "left_semi")
+    shared = keys_of(keys, key)
+    return rows.where(F.col(key).isNotNull()).withColumn("__hash", F.xxhash64(F.col(key).cast("long"))).mapInArrow(lambda b: held_rows(b, shared), rows.schema)
+
+
 def long_enough(records: DataFrame, key: str, text: str, least: int = MIN_TOKENS) -> DataFrame:
     """Keys of the texts with at least that many tokens, by whole texts."""
     tokens = F.regexp_count(F.col(text), F.lit("[A-Za-z0-9_]+"))

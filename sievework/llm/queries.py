@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of different blocks of at least 40 tokens with similarity 0.6 or more; equal contents are pairs too."""
     blocks = table(spark, sf_dir, "code_blocks", "block_key", "content", "ingested_at")
     pairs, members = neardup.similar_texts(blocks, "block_key", "content", "ingested_at")
-    copied = blocks.join(members.select(F.col("key").alias("block_key")), "block_key", "left_semi")
+    copied = neardup.among(blocks, "block_key", "content", members)
     return neardup.expand(pairs, members, neardup.long_enough(copied, "block_key", "content"))
 
 
@@ -32,7 +32,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per block that is similar or equal to another: its group and its number of similar blocks."""
     blocks = table(spark, sf_dir, "code_blocks", "block_key", "content", "ingested_at")
     pairs, members = neardup.similar_texts(blocks, "block_key", "content", "ingested_at")
-    copied = blocks.join(members.select(F.col("key").alias("block_key")), "block_key", "left_semi")
+    copied = neardup.among(blocks, "block_key", "content", members)
     eligible = neardup.long_enough(copied, "block_key", "content").distinct()
     return neardup.groups(pairs, members, eligible).withColumnRenamed("key", "block_key")
 

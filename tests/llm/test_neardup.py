@@ -117,3 +117,40 @@ def test_sketch_codes():
     code = s.code(cells)
     assert code.tolist() == [0, 1, 7, 8, 9, 15]
     assert (s.at_most(cells, code) >= counts[:6]).all()
+
+
+def moved(spark):
+    """Bytes that all shuffles of the session have written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_texts_stay_where_they_are(rows, spark, monkeypatch, few):
+    """Where no table of keys is small enough for Spark to broadcast, only texts in near pairs and of copies are shuffled; the pairs are the same."""
+    monkeypatch.setattr(neardup, "FEW", few, raising=False)
+    rng = random.Random(7)
+    word = lambda size: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=size))
+    texts = [" ".join(word(500) for _ in range(50)) for _ in range(160)]
+    texts += [t + " end" for t in texts[:2]] + texts[2:4]
+    t0 = dt.datetime(2024, 1, 1)
+    df = rows([(k, t, t0) for k, t in enumerate(texts)], "block_key long, content string, ingested_at timestamp").repartition(8).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = moved(spark)
+        pairs, members = neardup.similar_texts(df, "block_key", "content", "ingested_at")
+        eligible = neardup.long_enough(neardup.among(df, "block_key", "content", members), "block_key", "content")
+        assert {tuple(r) for r in neardup.expand(pairs, members, eligible).collect()} == {(0, 160), (1, 161), (2, 162), (3, 163)}
+        assert moved(spark) - start < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("threshold, least, tile, bits", [(0.6, 10, 2048, 27), (0.3, 5, 5, 16)])
+def test_pairs_and_groups_by_bitmaps(rows, monkeypatch, threshold, least, tile, bits):
+    """Bitmaps of keys in place of broadcast tables change no pair."""
+    monkeypatch.setattr(neardup, "FEW", 0, raising=False)
+    test_pairs_and_groups(rows, monkeypatch, threshold, least, tile, bits)
