@@ -49,6 +49,30 @@ def test_similarity_modes(spark):
     assert similarity.exact(df.limit(0), df, "k", "t").count() == 0
 
 
+def test_minhash_meets_no_pairs_far_apart(spark, monkeypatch):
+    shared = " ".join(f"s{k}" for k in range(20))
+    texts = [f"{shared} " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (60, texts[0]), (61, f"{texts[3]} more"), (62, None)], "k long, t string")
+    met, written, join, write = [], [], similarity.salted_join, similarity.materialize
+
+    def counted(*args, **kw):
+        met.append(join(*args, **kw))
+        return met[-1]
+
+    def kept(rows, label):
+        written.append(write(rows, label))
+        return written[-1]
+
+    monkeypatch.setattr(similarity, "salted_join", counted)
+    monkeypatch.setattr(similarity, "materialize", kept)
+    found = {(r.target, r.ref): r.similarity for r in similarity.minhash(df, df.where("k % 3 = 0 AND k < 60"), "k", "t").collect()}
+    assert found == {(60, 0): 1.0, (61, 3): 79 / 81}
+    # a third of the items in common, as all texts have here, is no reason to meet
+    assert sum(m.select("t_rep", "r_rep").distinct().count() for m in met) == 21
+    # nor are the sets of the other targets written
+    assert sum(w.selectExpr("sum(size(items)) n").first().n for w in written if "items" in w.columns and "digest" in w.columns) < 40 * 79
+
+
 def test_hot_keys_are_split(spark, monkeypatch):
     from sievework.operators import skew
 
