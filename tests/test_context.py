@@ -56,3 +56,21 @@ def test_fallback_blocks(spark):
     parsed = spark.createDataFrame([("t", "a.c", 1), ("t", "a.c", 2)], schema)
     files = spark.createDataFrame([("t", "a.c", 3), ("u", "a.c", 4), ("t", "b.c", 5), ("t", None, 6)], schema)
     assert {r.block_key for r in dedup.with_fallback(parsed, files, ["tree_id", "path"]).collect()} == {1, 2, 4, 5, 6}
+
+
+def test_decide_takes_each_text_once(spark, monkeypatch):
+    from sievework.plans import decide
+
+    code, known, _ = made(spark)
+    chosen = spark.createDataFrame([(v, "t", k) for v in ("V", "W", "X") for k in (4, 5, 6, 8)], "vuln_id string, tree_id string, block_key long")
+    apart, texts = context.shown_apart(chosen, code)
+    # block 6 is shown as the function 5 that holds it
+    assert sorted(r.text_key for r in texts.collect()) == [4, 5, 8]
+    known = spark.createDataFrame([("V", "d", DIFF), ("W", "d", "+ none"), ("X", None, None)], "vuln_id string, desc_text string, patch_diff string")
+    names = spark.createDataFrame([("V", "x.py")], "vuln_id string, name string")
+    answer = lambda prompt: f'{{"important_ids": ["{prompt.count("ID=")}"]}}' if "important_ids" in prompt else f"YES\n0.5\n{prompt}"
+    whole = {tuple(r) for r in decide.decide(known, context.shown(chosen, code), names, answer, answer).collect()}
+    monkeypatch.setattr(decide, "HOT", 2)
+    split = {tuple(r) for r in decide.decide(known, apart, names, answer, answer, texts=texts).collect()}
+    assert whole == split and {r[:4] for r in split} == {(v, "t", 4, 1) for v in ("V", "W", "X")}
+    assert all("def f(a):\n    return OPTION_RE" in r[-1] and "~ " in r[-1] for r in split)
